@@ -47,6 +47,12 @@ def above(c: Column, bands: Iterable[tuple[float, object]], otherwise: object) -
     return F.lit(otherwise) if out is None else out.otherwise(F.lit(otherwise))
 
 
+def settled(c: Column) -> Column:
+    """A computed double without its last digits, so that a threshold test does not
+    depend on the order in which partitions were added up."""
+    return F.round(c, 12)
+
+
 def unit_interval(c: Column) -> Column:
     return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
 

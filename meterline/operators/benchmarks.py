@@ -27,6 +27,7 @@ TEXT_ROI_REVIEW = "Revisar estimativas antes de apresentar ROI"
 
 
 def level_of(value: Column, cutoffs: tuple[float, float, float], lower_is_better: bool) -> Column:
+    value = C.settled(value)
     out = F.when(value.isNull(), NO_DATA)
     for cutoff, level in zip(cutoffs, LEVELS):
         out = out.when(value <= cutoff if lower_is_better else value >= cutoff, level)
@@ -145,7 +146,7 @@ def reconcile_billing(
             F.when(F.col("_actual").isNotNull(), 0.0)
         )
     )
-    known, pct = est.isNotNull(), F.col("_pct")
+    known, pct = est.isNotNull(), C.settled(F.col("_pct"))
     both = known & F.col("_actual").isNotNull()
     status = (
         F.when(~known, NO_DATA)
@@ -205,7 +206,7 @@ def roi_confidence(
         .otherwise(settled)
     )
     c = F.col("_c")
-    return rows.withColumn("_c", final).select(
+    return rows.withColumn("_c", C.settled(final)).select(
         "workspace_name",
         "estimated_savings",
         F.round(c, 2).alias("roi_confidence"),

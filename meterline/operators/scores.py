@@ -98,7 +98,7 @@ def actual_monthly_cost(daily: DataFrame, *, cfg: EngineConfig = DEFAULT) -> Dat
 
 
 def cost_change_score(change: Column, cfg: EngineConfig = DEFAULT) -> Column:
-    scored = C.below(change, cfg.cost_change_bands, cfg.cost_change_floor)
+    scored = C.below(C.settled(change), cfg.cost_change_bands, cfg.cost_change_floor)
     return F.when(change.isNull(), F.lit(cfg.cost_unknown)).otherwise(scored)
 
 
@@ -288,7 +288,7 @@ def maturity_scores(
         F.coalesce(cost_dim.cast("double"), F.lit(cfg.cost_unknown)).alias("costs_score"),
     )
     total = sum((F.col(f"{d}_score") * weights[d] for d in DIMENSIONS), F.lit(0.0))
-    return scored.withColumn("_total", total).select(
+    return scored.withColumn("_total", C.settled(total)).select(
         "workspace_name",
         F.round("_total", 4).alias("maturity_score"),
         C.at_least(F.col("_total"), MATURITY_LEVELS, LOWEST_LEVEL).alias("maturity_level"),

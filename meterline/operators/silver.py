@@ -23,7 +23,7 @@ def latest_snapshot(
 ) -> DataFrame:
     """Newest appended row of each resource, optionally as it was known at ``as_of``."""
     rows = df if as_of is None else seen_by(df, as_of, stamp)
-    return latest(rows, ["workspace_name", *keys], [F.col(stamp).desc()])
+    return latest(rows, [*keys, "workspace_name"], [F.col(stamp).desc()])
 
 
 def latest_runs(df: DataFrame) -> DataFrame:
@@ -43,7 +43,8 @@ def latest_runs(df: DataFrame) -> DataFrame:
         F.col("cluster_instance"),
         F.col("error"),
     ]
-    return latest(df, ["workspace_name", "run_id"], order)
+    # The numeric id leads the keys: its sort prefix settles nearly every comparison.
+    return latest(df, ["run_id", "workspace_name"], order)
 
 
 def silver_clusters(

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from meterline import fixtures_payloads as files
 from meterline.fixtures import BASELINE, Estate
 from meterline.operators import (
     allocation,
@@ -54,12 +55,12 @@ _CLUSTER_FLAGS = (
     "is_idle is_overprovisioned utilization_score~ has_autoscaling"
 )
 _JOB_STATS = (
-    "total_runs successful_runs failed_runs avg_duration_hours~ max_duration_hours~ "
+    "total_runs successful_runs failed_runs avg_duration_hours~8 max_duration_hours~8 "
     "min_duration_hours~ total_duration_hours~ success_rate~ failure_rate~ efficiency_score~"
 )
 _ISSUE = (
     "workspace_name issue_type category resource_id resource_name table_name severity "
-    "recommended_action idle_hours~ num_workers size_gb~ failed_runs avg_duration_hours~"
+    "recommended_action idle_hours~ num_workers size_gb~ failed_runs avg_duration_hours~8"
 )
 _SAVING = (
     "current_monthly_cost~ estimated_monthly_cost~ estimated_monthly_savings~ "
@@ -73,7 +74,7 @@ _MATURITY = (
 _PIPE = (
     "workspace_name resource_id resource_name pipeline_name product_name sla_tier "
     "estimated_monthly_cost~ estimated_dbu_cost~ cost_per_run~ total_runs_monthly "
-    "avg_duration_hours~"
+    "avg_duration_hours~8"
 )
 
 _EST = (
@@ -117,7 +118,50 @@ def _roi_confidence(e: Estate) -> DataFrame:
     return benchmarks.roi_confidence(e.reconciliation, saved, cfg=e.cfg)
 
 
+_BILL = "workspace_name cloud date resource_id service cost~6 currency"
+
 REPORTS: dict[str, Report] = {
+    # ---- sources and streams
+    "src_clusters": Report(
+        lambda e: files.src_clusters(e.bronze),
+        "workspace_name cloud cluster_id cluster_name state spark_version num_workers "
+        "autotermination_minutes cluster_source start_time terminated_time last_activity_time "
+        "cluster_memory_mb~ max_workers tag_owner is_pinned init_scripts collect_ms",
+    ),
+    "src_jobs": Report(
+        lambda e: files.src_jobs(e.bronze),
+        "workspace_name cloud job_id job_name job_type max_concurrent_runs existing_cluster_id "
+        "cron tag_owner collect_ms",
+    ),
+    "src_job_runs": Report(
+        lambda e: files.src_job_runs(e.bronze),
+        "workspace_name cloud job_id run_id run_name state result_state start_time end_time "
+        "setup_duration execution_duration cleanup_duration used_cluster error_code",
+    ),
+    "src_tables": Report(
+        lambda e: files.src_tables(e.bronze),
+        "workspace_name cloud metastore_type catalog schema table_name full_table_name "
+        "table_type num_files size_in_bytes n_partition_columns last_modified_ms last_access_ms "
+        "collect_ms",
+    ),
+    "lake_inventory": Report(
+        lambda e: files.lake_inventory(e.bronze), "table_name num_files has_bytes"
+    ),
+    "src_billing_azure": Report(
+        lambda e: files.src_billing_azure(e.bronze),
+        "workspace_name cloud date resource_id resource_type resource_group cost~6 currency",
+    ),
+    "src_billing_aws": Report(lambda e: files.src_billing_aws(e.bronze), _BILL),
+    "src_billing_gcp": Report(lambda e: files.src_billing_gcp(e.bronze), _BILL),
+    "src_billing": Report(lambda e: files.src_billing(e.bronze), f"{_BILL} resource_type"),
+    "stream_job_runs": Report(
+        lambda e: files.stream_job_runs(e.bronze),
+        "workspace_name job_id run_id result_state execution_duration setup_duration "
+        "cleanup_duration duration_hours~ is_success is_failed is_cancelled has_error",
+    ),
+    "stream_daily_cost": Report(
+        lambda e: files.stream_daily_cost(e.bronze), "workspace_name date_parsed daily_cost_usd~6"
+    ),
     # ---- silver
     "silver_clusters": Report(
         lambda e: e.clusters,
@@ -179,12 +223,12 @@ REPORTS: dict[str, Report] = {
     "daily_cost": Report(lambda e: e.daily, "workspace_name date_parsed daily_cost_usd~6"),
     "monthly_cost": Report(
         lambda e: gold.monthly_cost(e.daily),
-        "workspace_name year month monthly_cost_usd~6 avg_daily_cost_usd~",
+        "workspace_name year month monthly_cost_usd~6 avg_daily_cost_usd~8",
     ),
     "gold_billing": Report(
         lambda e: e.gold_billing,
         "workspace_name date_parsed year month daily_cost_usd~6 monthly_cost_usd~6 "
-        "avg_daily_cost_usd~",
+        "avg_daily_cost_usd~8",
     ),
     # ---- cost and allocation
     "dbu_cost": Report(lambda e: e.estimates, f"cloud is_running {_EST}"),
@@ -224,7 +268,7 @@ REPORTS: dict[str, Report] = {
             silver.runs_since(e.runs, e.cfg.lookback_days, as_of=e.as_of), e.estimates, cfg=e.cfg
         ),
         "workspace_name job_id total_dbu_cost~ avg_dbu_cost_per_run~ total_runs "
-        "avg_duration_hours~",
+        "avg_duration_hours~8",
     ),
     "pipeline_costs": Report(lambda e: e.pipelines, _PIPE),
     "cost_by_product": Report(
@@ -236,7 +280,7 @@ REPORTS: dict[str, Report] = {
         lambda e: scores.score_compute(e.flags, e.gold_jobs), "workspace_name compute_score~"
     ),
     "score_storage": Report(
-        lambda e: scores.score_storage(e.tables), "workspace_name storage_score~"
+        lambda e: scores.score_storage(e.tables), "workspace_name storage_score~8"
     ),
     "score_governance": Report(
         lambda e: scores.score_governance(e.tables), "workspace_name governance_score~"
@@ -358,7 +402,7 @@ REPORTS: dict[str, Report] = {
     ),
     "savings_jobs": Report(
         lambda e: savings.savings_jobs(e.gold_jobs, cfg=e.cfg),
-        f"workspace_name job_id action {_SAVING}",
+        "workspace_name job_id action " + _SAVING.replace("~", "~7"),
     ),
     "total_roi": Report(
         lambda e: e.roi,
@@ -394,7 +438,7 @@ REPORTS: dict[str, Report] = {
     "kpi_inefficient_jobs": Report(
         lambda e: kpis.kpi_inefficient_jobs(e.gold_jobs),
         "workspace_name job_name job_id total_runs successful_runs failed_runs success_rate~ "
-        "failure_rate~ avg_duration_hours~ efficiency_score~",
+        "failure_rate~ avg_duration_hours~8 efficiency_score~",
     ),
     "kpi_archive_candidates": Report(
         lambda e: kpis.kpi_archive_candidates(e.gold_tables),
@@ -409,7 +453,7 @@ REPORTS: dict[str, Report] = {
     ),
     "kpi_daily_costs": Report(
         lambda e: kpis.kpi_daily_costs(e.gold_billing, as_of=e.as_of),
-        "workspace_name date_parsed daily_cost_usd~6 monthly_cost_usd~6 avg_daily_cost_usd~",
+        "workspace_name date_parsed daily_cost_usd~6 monthly_cost_usd~6 avg_daily_cost_usd~8",
     ),
     "kpi_maturity_latest": Report(
         lambda e: kpis.kpi_maturity_latest(_both_maturities(e)), _MATURITY
@@ -458,7 +502,7 @@ REPORTS: dict[str, Report] = {
     ),
     "q_cost_by_sla": Report(
         lambda e: kpis.q_cost_by_sla(e.pipelines),
-        "workspace_name sla_tier pipeline_count total_monthly_cost~ avg_duration~",
+        "workspace_name sla_tier pipeline_count total_monthly_cost~ avg_duration~8",
     ),
     "q_benchmark_latest": Report(
         lambda e: kpis.q_benchmark_latest(e.benchmarks),
@@ -473,7 +517,7 @@ REPORTS: dict[str, Report] = {
     "q_top_pipelines": Report(
         lambda e: kpis.q_top_pipelines(e.pipelines),
         "workspace_name resource_id pipeline_name product_name sla_tier estimated_monthly_cost~ "
-        "cost_per_run~ total_runs_monthly avg_duration_hours~",
+        "cost_per_run~ total_runs_monthly avg_duration_hours~8",
     ),
     "q_exec_report": Report(
         lambda e: kpis.q_exec_report(e.report),
@@ -532,7 +576,7 @@ REPORTS: dict[str, Report] = {
     ),
     "q_job_run_minutes": Report(
         lambda e: kpis.q_job_run_minutes(e.bronze.runs, as_of=e.as_of),
-        "workspace_name job_id total_runs successful_runs avg_duration_minutes~",
+        "workspace_name job_id total_runs successful_runs avg_duration_minutes~8",
     ),
     "q_large_tables": Report(
         lambda e: kpis.q_large_tables(e.tables),
@@ -565,7 +609,7 @@ REPORTS: dict[str, Report] = {
     "q_job_status": Report(
         lambda e: kpis.q_job_status(e.gold_jobs),
         "workspace_name job_id job_name total_runs success_rate~ failure_rate~ "
-        "avg_duration_hours~ status",
+        "avg_duration_hours~8 status",
     ),
     "q_cold_risk": Report(
         lambda e: kpis.q_cold_risk(e.storage),

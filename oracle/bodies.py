@@ -10,6 +10,37 @@ def _top(source: str, n: int, order: str, where: str = "true") -> str:
 
 
 BODIES: dict[str, str] = {
+    "src_clusters": """
+select workspace_name, cloud, cluster_id, cluster_name, state, '' as spark_version, cast(num_workers as integer) as num_workers, cast(0 as integer) as autotermination_minutes, cluster_source,
+  nullif(start_time, 0) as start_time, nullif(terminated_time, 0) as terminated_time, nullif(last_activity_time, 0) as last_activity_time, cluster_memory_mb,
+  nullif(regexp_extract(coalesce(autoscale, ''), '"max_workers": ([0-9]+)', 1), '') as max_workers, nullif(regexp_extract(custom_tags, '"owner": "([^"]*)"', 1), '') as tag_owner,
+  false as is_pinned, '[]' as init_scripts, collect_ms
+from fx_clusters""",
+    "src_jobs": """
+select workspace_name, cloud, job_id, job_name, '' as job_type, cast(1 as integer) as max_concurrent_runs, existing_cluster_id,
+  nullif(regexp_extract(coalesce(schedule, ''), '"cron": "([^"]*)"', 1), '') as cron, nullif(regexp_extract(coalesce(tags, ''), '"owner": "([^"]*)"', 1), '') as tag_owner, collect_ms
+from fx_jobs""",
+    "src_job_runs": """
+select workspace_name, cloud, job_id, run_id, '' as run_name, '' as state, result_state, start_ms as start_time, cast(null as bigint) as end_time, setup_duration, execution_duration,
+  cast(cleanup_duration as bigint) as cleanup_duration, regexp_extract(cluster_instance, '"cluster_id": "([^"]*)"', 1) as used_cluster, nullif(regexp_extract(error, '"code": "([^"]*)"', 1), '') as error_code
+from fx_runs where start_ms >= 996624000000 - 30 * 86400000::bigint""",
+    "src_tables": """
+select workspace_name, cloud, metastore_type, case when metastore_type = 'unity_catalog' then 'main' end as catalog, db as schema, table_name,
+  case when metastore_type = 'unity_catalog' then concat('main.', full_table_name) else full_table_name end as full_table_name, table_type, cast(num_files as integer) as num_files, size_in_bytes,
+  cast(case partition_columns when '[]' then 0 when '[''dt'']' then 1 else 2 end as integer) as n_partition_columns, last_modified_ms, last_access_ms, collect_ms
+from fx_tables""",
+    "lake_inventory": """
+select concat(cloud, '_costs') as table_name, cast(count(distinct currency) as integer) as num_files, true as has_bytes from fx_billing group by cloud""",
+    "src_billing_azure": """
+select workspace_name, cloud, cast(cost_date as varchar) as date, resource_id, 'cluster' as resource_type, 'rg' as resource_group, cost, currency from fx_billing where cloud = 'azure'""",
+    "src_billing_aws": "select *, cast(cost_date as varchar) as date from fx_billing where cloud = 'aws'",
+    "src_billing_gcp": "select *, cast(cost_date as varchar) as date from fx_billing where cloud = 'gcp'",
+    "src_billing": """
+select workspace_name, cloud, cast(cost_date as varchar) as date, resource_id, case when cloud <> 'azure' then service end as service, cost, currency,
+  case when cloud = 'azure' then 'cluster' end as resource_type
+from fx_billing""",
+    "stream_job_runs": "runs_2",
+    "stream_daily_cost": "daily_2",
     "silver_clusters": "clusters_2",
     "silver_jobs": "jobs_2",
     "silver_job_runs": "runs_2",
@@ -72,7 +103,7 @@ select *, case when c >= 0.8e0 then 'high' when c >= 0.6e0 then 'medium' else 'l
   case when c >= 0.8e0 then 'ROI confiável' else 'Revisar estimativas antes de apresentar ROI' end as recommendation
 from (
   select workspace_name, estimated_savings, reconciliation_status, variance_percentage,
-    case when estimated_savings > 10000 then least(base + 0.1e0, 1e0) when estimated_savings < 100 then greatest(base - 0.1e0, 0.3e0) else base end as c
+    round(case when estimated_savings > 10000 then least(base + 0.1e0, 1e0) when estimated_savings < 100 then greatest(base - 0.1e0, 0.3e0) else base end, 12) as c
   from (
     select r.workspace_name, r.estimated_monthly_savings as estimated_savings, coalesce(q.reconciliation_status, 'no_data') as reconciliation_status, q.variance_percentage,
       case when coalesce(q.variance_percentage, 0) <> 0

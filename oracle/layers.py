@@ -166,13 +166,13 @@ from gjobs_@S group by workspace_name
 """,
     "s_compute_@S": """
 select coalesce(c.workspace_name, j.workspace_name) as workspace_name,
-  case when c.n is null then 0e0 else least(greatest(0.5e0 * (c.util * (1 - 0.5e0 * c.idle_ratio)) + 0.2e0 * (0.3e0 * c.auto_ratio)
-    + 0.3e0 * (0.4e0 * coalesce(j.success, 0) + 0.3e0 * coalesce(j.eff, 0)), 0e0), 1e0) end as compute_score
+  case when c.n is null then 0e0 else least(greatest(c.util * (1 - c.idle_ratio * 0.5e0) * 0.5e0 + c.auto_ratio * 0.3e0 * 0.2e0
+    + (coalesce(j.success, 0) * 0.4e0 + coalesce(j.eff, 0) * 0.3e0) * 0.3e0, 0e0), 1e0) end as compute_score
 from mclusters_@S c full join mjobs_@S j on c.workspace_name = j.workspace_name
 """,
     "s_storage_@S": """
-select workspace_name, 0.4e0 * count(*) filter (where is_partitioned) / count(*) + 0.3e0 * (1 - count(*) filter (where has_small_files) / cast(count(*) as double))
-  + 0.3e0 * (1 - count(*) filter (where is_abandoned) / cast(count(*) as double)) as storage_score
+select workspace_name, count(*) filter (where is_partitioned) / cast(count(*) as double) * 0.4e0 + (1 - count(*) filter (where has_small_files) / cast(count(*) as double)) * 0.3e0
+  + (1 - count(*) filter (where is_abandoned) / cast(count(*) as double)) * 0.3e0 as storage_score
 from tables_@S group by workspace_name
 """,
     "s_governance_@S": """
@@ -180,7 +180,7 @@ select workspace_name, case when count(*) filter (where metastore_type = 'unity_
 from tables_@S group by workspace_name
 """,
     "s_pipelines_@S": """
-select workspace_name, least(greatest(0.3e0 * sched_ratio + 0.4e0 * coalesce(success, 0) + 0.3e0 * coalesce(eff, 0), 0e0), 1e0) as pipelines_score from mjobs_@S
+select workspace_name, least(greatest(sched_ratio * 0.3e0 + coalesce(success, 0) * 0.4e0 + coalesce(eff, 0) * 0.3e0, 0e0), 1e0) as pipelines_score from mjobs_@S
 """,
     "tags_@S": """
 select workspace_name, sum(c) as nc, sum(ct) as nct, sum(j) as nj, sum(jt) as njt
@@ -191,13 +191,13 @@ from (
 group by workspace_name
 """,
     "s_observability_@S": """
-select workspace_name, case when nc = 0 then 0e0 else 0.5e0 * nct / nc + case when nj = 0 then 0e0 else 0.5e0 * njt / nj end end as observability_score from tags_@S
+select workspace_name, case when nc = 0 then 0e0 else nct / cast(nc as double) * 0.5e0 + case when nj = 0 then 0e0 else njt / cast(nj as double) * 0.5e0 end end as observability_score from tags_@S
 """,
     "s_costs_2": """
 select workspace_name, case when change is null then 0.5e0 when change < -0.1e0 then 1e0 when change < 0 then 0.7e0 when change < 0.1e0 then 0.5e0 else 0.3e0 end as costs_score
 from (
   select coalesce(n.workspace_name, b.workspace_name) as workspace_name,
-    (n.m - coalesce(nullif(b.m, 0), n.m)) / nullif(coalesce(nullif(b.m, 0), n.m), 0) as change
+    round((n.m - coalesce(nullif(b.m, 0), n.m)) / nullif(coalesce(nullif(b.m, 0), n.m), 0), 12) as change
   from (select workspace_name, sum(estimated_monthly_cost) as m from est_2 group by workspace_name) n
   full join (select workspace_name, total_estimated_monthly_cost as m from wscost_0) b on n.workspace_name = b.workspace_name) t
 """,
@@ -212,7 +212,7 @@ select workspace_name, round(m, 4) as maturity_score,
   round(compute_score, 4) as compute_score, round(storage_score, 4) as storage_score, round(governance_score, 4) as governance_score,
   round(pipelines_score, 4) as pipelines_score, round(observability_score, 4) as observability_score, round(costs_score, 4) as costs_score
 from (
-  select *, 0.25e0 * compute_score + 0.25e0 * storage_score + 0.2e0 * governance_score + 0.15e0 * pipelines_score + 0.1e0 * observability_score + 0.05e0 * costs_score as m
+  select *, round(compute_score * 0.25e0 + storage_score * 0.25e0 + governance_score * 0.2e0 + pipelines_score * 0.15e0 + observability_score * 0.1e0 + costs_score * 0.05e0, 12) as m
   from (
     select n.workspace_name, coalesce(compute_score, 0e0) as compute_score, coalesce(storage_score, 0e0) as storage_score, coalesce(governance_score, 0e0) as governance_score,
       coalesce(pipelines_score, 0.5e0) as pipelines_score, coalesce(observability_score, 0e0) as observability_score, coalesce(costs_score, 0.5e0) as costs_score
@@ -225,8 +225,8 @@ from (select *, row_number() over (partition by workspace_name order by date_par
 """,
     "trend_@S": """
 select workspace_name, days, recent_avg, older_avg,
-  case when days < 2 or older_avg = 0 then 0.5e0 when (recent_avg - older_avg) / older_avg < -0.1e0 then 1e0 when (recent_avg - older_avg) / older_avg < 0 then 0.7e0
-       when (recent_avg - older_avg) / older_avg < 0.1e0 then 0.5e0 else 0.3e0 end as cost_trend_score
+  case when days < 2 or older_avg = 0 then 0.5e0 when round((recent_avg - older_avg) / older_avg, 12) < -0.1e0 then 1e0 when round((recent_avg - older_avg) / older_avg, 12) < 0 then 0.7e0
+       when round((recent_avg - older_avg) / older_avg, 12) < 0.1e0 then 0.5e0 else 0.3e0 end as cost_trend_score
 from (
   select workspace_name, count(*) as days, avg(case when rn <= 7 then daily_cost_usd end) as recent_avg,
     coalesce(avg(case when rn > 7 then daily_cost_usd end), avg(case when rn <= 7 then daily_cost_usd end)) as older_avg
@@ -255,11 +255,11 @@ from (
       case l4 when 'excellent' then 4 when 'good' then 3 when 'average' then 2 when 'poor' then 1 else 0 end as p4
     from (
       select n.workspace_name, t.cost_per_tb, c.util, j.success, s.cold_size_tb / nullif(s.total_size_tb, 0) as cold,
-        case when t.cost_per_tb is null then 'no_data' when t.cost_per_tb <= 50 then 'excellent' when t.cost_per_tb <= 100 then 'good' when t.cost_per_tb <= 200 then 'average' else 'poor' end as l1,
-        case when c.util is null then 'no_data' when c.util >= 0.8e0 then 'excellent' when c.util >= 0.6e0 then 'good' when c.util >= 0.4e0 then 'average' else 'poor' end as l2,
-        case when j.success is null then 'no_data' when j.success >= 0.98e0 then 'excellent' when j.success >= 0.95e0 then 'good' when j.success >= 0.9e0 then 'average' else 'poor' end as l3,
-        case when s.cold_size_tb / nullif(s.total_size_tb, 0) is null then 'no_data' when s.cold_size_tb / nullif(s.total_size_tb, 0) <= 0.1e0 then 'excellent'
-             when s.cold_size_tb / nullif(s.total_size_tb, 0) <= 0.2e0 then 'good' when s.cold_size_tb / nullif(s.total_size_tb, 0) <= 0.3e0 then 'average' else 'poor' end as l4
+        case when t.cost_per_tb is null then 'no_data' when round(t.cost_per_tb, 12) <= 50 then 'excellent' when round(t.cost_per_tb, 12) <= 100 then 'good' when round(t.cost_per_tb, 12) <= 200 then 'average' else 'poor' end as l1,
+        case when c.util is null then 'no_data' when round(c.util, 12) >= 0.8e0 then 'excellent' when round(c.util, 12) >= 0.6e0 then 'good' when round(c.util, 12) >= 0.4e0 then 'average' else 'poor' end as l2,
+        case when j.success is null then 'no_data' when round(j.success, 12) >= 0.98e0 then 'excellent' when round(j.success, 12) >= 0.95e0 then 'good' when round(j.success, 12) >= 0.9e0 then 'average' else 'poor' end as l3,
+        case when s.cold_size_tb / nullif(s.total_size_tb, 0) is null then 'no_data' when round(s.cold_size_tb / nullif(s.total_size_tb, 0), 12) <= 0.1e0 then 'excellent'
+             when round(s.cold_size_tb / nullif(s.total_size_tb, 0), 12) <= 0.2e0 then 'good' when round(s.cold_size_tb / nullif(s.total_size_tb, 0), 12) <= 0.3e0 then 'average' else 'poor' end as l4
       from names_@S n left join cpt_@S t using (workspace_name) left join mclusters_@S c using (workspace_name) left join mjobs_@S j using (workspace_name)
       left join storage_@S s using (workspace_name)) a) b) c
 """,
@@ -271,7 +271,7 @@ select workspace_name, round(est, 2) as estimated_monthly_cost, case when both_k
   case when est is null then null when not both_known then 'Integrar billing real para maior precisão' when pct < 5 then 'Billing real integrado'
        else 'Revisar estimativas ou integrar billing real' end as recommendation
 from (
-  select *, est is not null and act is not null as both_known, case when act > 0 then abs(est - act) / act * 100 else 0e0 end as pct
+  select *, est is not null and act is not null as both_known, case when act > 0 then round(abs(est - act) / act * 100, 12) else 0e0 end as pct
   from (
     select coalesce(e.workspace_name, r.workspace_name) as workspace_name, e.est, nullif(r.actual_monthly_cost, 0) as act
     from (select workspace_name, sum(estimated_monthly_cost) as est from est_@S group by workspace_name) e full join recent_@S r on e.workspace_name = r.workspace_name) a) b
