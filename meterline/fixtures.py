@@ -293,12 +293,9 @@ class Estate:
     @cached_property
     def maturity(self) -> DataFrame:
         return scores.maturity_scores(
-            flags=self.flags,
-            gold_jobs=self.gold_jobs,
+            clusters=self.clusters,
+            jobs=self.gold_jobs,
             tables=self.tables,
-            silver_clusters=self.clusters,
-            silver_jobs=self.jobs,
-            estimates=self.estimates,
             baselines=self.before.cost_baseline if self.before else None,
             as_of=self.as_of,
             cfg=self.cfg,
@@ -349,6 +346,7 @@ class Estate:
             flags=self.flags,
             tables=self.gold_tables,
             jobs=self.gold_jobs,
+            plain_jobs=self.jobs,
             runs=self.runs,
             as_of=self.as_of,
             cfg=self.cfg,
@@ -392,7 +390,7 @@ class Estate:
             issues=self.issues,
             statuses=self.statuses,
             new_resources=self.new_resources,
-            roi=self.roi,
+            daily=self.daily,
             baseline=self.before.as_of,
             as_of=self.as_of,
             cfg=self.cfg,

@@ -185,11 +185,17 @@ def audit_all(
     jobs: DataFrame,
     runs: DataFrame,
     as_of: T.AsOf,
+    plain_jobs: DataFrame | None = None,
     cfg: EngineConfig = DEFAULT,
 ) -> DataFrame:
-    """Every issue of the three audits in one frame."""
+    """Every issue of the three audits in one frame.
+
+    ``plain_jobs``, jobs without run statistics, spares the schedule check a
+    join when ``jobs`` is not a stored table.
+    """
+    scheduled = jobs if plain_jobs is None else plain_jobs
     return (
         audit_storage(tables, as_of=as_of, cfg=cfg)
         .unionByName(audit_compute(flags, jobs, as_of=as_of, cfg=cfg))
-        .unionByName(audit_workflows(jobs, runs, as_of=as_of, cfg=cfg))
+        .unionByName(audit_workflows(scheduled, runs, as_of=as_of, cfg=cfg))
     )

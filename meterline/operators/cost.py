@@ -23,15 +23,16 @@ def _rate_from_config(cfg: EngineConfig) -> Column:
     return rate.otherwise(_card(cfg, cfg.fallback_cloud)[kind])
 
 
-def dbu_cost(
+def with_cost(
     silver_clusters: DataFrame,
     *,
     as_of: T.AsOf,
     rate_card: DataFrame | None = None,
     cfg: EngineConfig = DEFAULT,
 ) -> DataFrame:
-    """Estimated cost of each cluster's uptime and of ``cfg.monthly_hours`` hours of it.
+    """Silver clusters with their rate and cost columns added.
 
+    The cost is that of each cluster's uptime and of ``cfg.monthly_hours`` hours of it.
     ``rate_card`` (cloud, cluster_type, dbu_rate) replaces the configured rates;
     it is joined without a hint, so its size decides how Spark joins it.
     """
@@ -73,21 +74,31 @@ def dbu_cost(
             * cfg.monthly_hours
             / F.when(F.col("uptime_hours") > 0, F.col("uptime_hours")).otherwise(1.0),
         )
-        .select(
-            "workspace_name",
-            "cloud",
-            "cluster_id",
-            "cluster_name",
-            "cluster_type",
-            "num_workers",
-            "is_running",
-            "uptime_hours",
-            "dbu_rate",
-            "dbu_per_hour",
-            "estimated_dbu_cost",
-            "estimated_monthly_cost",
-            T.as_of_ts(as_of).alias("process_timestamp"),
-        )
+    )
+
+
+def dbu_cost(
+    silver_clusters: DataFrame,
+    *,
+    as_of: T.AsOf,
+    rate_card: DataFrame | None = None,
+    cfg: EngineConfig = DEFAULT,
+) -> DataFrame:
+    """Cost estimate rows of all clusters."""
+    return with_cost(silver_clusters, as_of=as_of, rate_card=rate_card, cfg=cfg).select(
+        "workspace_name",
+        "cloud",
+        "cluster_id",
+        "cluster_name",
+        "cluster_type",
+        "num_workers",
+        "is_running",
+        "uptime_hours",
+        "dbu_rate",
+        "dbu_per_hour",
+        "estimated_dbu_cost",
+        "estimated_monthly_cost",
+        T.as_of_ts(as_of).alias("process_timestamp"),
     )
 
 

@@ -9,10 +9,26 @@ from meterline.functions import columns as C, timeutil as T
 from meterline.functions.frames import spread_rank
 
 
-def cluster_flags(silver: DataFrame, *, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Per-cluster flags without the rank; what every other operator needs."""
+def with_flags(silver: DataFrame, *, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Silver clusters with idle, overprovisioned and utilization columns added."""
     idle = F.col("idle_hours")
-    return silver.select(
+    return silver.withColumns(
+        {
+            "is_idle": C.truthy(idle > cfg.idle_hours),
+            "is_overprovisioned": C.truthy(
+                (F.col("num_workers") > cfg.overprovisioned_workers)
+                & (idle > cfg.overprovisioned_idle_hours)
+            ),
+            "utilization_score": F.when(idle.isNull(), F.lit(cfg.utilization_unknown)).otherwise(
+                C.below(idle, cfg.utilization_bands, cfg.utilization_floor)
+            ),
+        }
+    )
+
+
+def cluster_flags(silver: DataFrame, *, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Per-cluster summary without the rank; what most other operators need."""
+    return with_flags(silver, cfg=cfg).select(
         "workspace_name",
         "cluster_id",
         "cluster_name",
@@ -21,14 +37,9 @@ def cluster_flags(silver: DataFrame, *, cfg: EngineConfig = DEFAULT) -> DataFram
         "memory_gb",
         "uptime_hours",
         "idle_hours",
-        C.truthy(idle > cfg.idle_hours).alias("is_idle"),
-        C.truthy(
-            (F.col("num_workers") > cfg.overprovisioned_workers)
-            & (idle > cfg.overprovisioned_idle_hours)
-        ).alias("is_overprovisioned"),
-        F.when(idle.isNull(), F.lit(cfg.utilization_unknown))
-        .otherwise(C.below(idle, cfg.utilization_bands, cfg.utilization_floor))
-        .alias("utilization_score"),
+        "is_idle",
+        "is_overprovisioned",
+        "utilization_score",
         "has_autoscaling",
         "process_timestamp",
     )

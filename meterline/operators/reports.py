@@ -106,13 +106,10 @@ def quick_wins(issues: DataFrame, *, cfg: EngineConfig = DEFAULT) -> DataFrame:
     )
 
 
-def _listed(df: DataFrame, order: list[str], row: Column, alias: str) -> DataFrame:
-    """Rows of a workspace as one sorted array. Callers pass at most a few dozen each."""
+def _packed(order: list[str], row: Column) -> Column:
+    """Aggregate: the group's rows as one array sorted by ``order``."""
     keyed = F.struct(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(order)], row.alias("row"))
-    packed = df.groupBy("workspace_name").agg(F.sort_array(F.collect_list(keyed)).alias("_l"))
-    return packed.select(
-        "workspace_name", F.transform("_l", lambda x: x["row"]).alias(alias)
-    )
+    return F.transform(F.sort_array(F.collect_list(keyed)), lambda x: x["row"])
 
 
 ISSUE_FIELDS = (
@@ -136,69 +133,50 @@ STATUS_FIELDS = (
     "baseline_date",
     "validation_timestamp",
 )
-ROI_FIELDS = (
-    "workspace_name",
-    "current_monthly_cost",
-    "estimated_monthly_cost",
-    "estimated_monthly_savings",
-    "estimated_annual_savings",
-    "reduction_percentage",
-    "confidence",
-    "margin_of_error",
-    "calculation_timestamp",
-)
-
-
 def executive_report(
     *,
     maturity: DataFrame,
     issues: DataFrame,
     statuses: DataFrame,
     new_resources: DataFrame,
-    roi: DataFrame,
+    daily: DataFrame,
     baseline: int | datetime,
     as_of: int | datetime,
     cfg: EngineConfig = DEFAULT,
 ) -> DataFrame:
     """One nested row per workspace.
 
-    Every part is reduced to one row per workspace first. The arrays hold at
-    most ``critical_issues_listed`` issues and the baseline's top
-    recommendations, so no array grows with the workspace.
+    Every part is reduced to one row per workspace first: counts and savings come
+    from one pass over the issues, outcome counts and list from one over the
+    statuses. The arrays hold at most ``critical_issues_listed`` issues and the
+    baseline's top recommendations, so no array grows with the workspace.
     """
-    severity = F.col("severity")
-    counts = issues.groupBy("workspace_name").agg(
-        F.count(F.lit(1)).cast("int").alias("total_issues"),
-        F.count_if(severity == "high").cast("int").alias("high_issues"),
-        F.count_if(severity == "medium").cast("int").alias("medium_issues"),
-    )
     worst = top_n(
-        issues.filter(severity == "high").select(*ISSUE_FIELDS),
+        issues.filter(F.col("severity") == "high").select(*ISSUE_FIELDS),
         cfg.critical_issues_listed,
         ["workspace_name"],
         [F.col("issue_type"), F.col("resource_id")],
     )
-    critical = _listed(
-        worst, ["issue_type", "resource_id"], F.struct(*ISSUE_FIELDS), "critical_issues"
+    critical = worst.groupBy("workspace_name").agg(
+        _packed(["issue_type", "resource_id"], F.struct(*ISSUE_FIELDS)).alias("critical_issues")
     )
     status = F.col("status")
     outcome = statuses.groupBy("workspace_name").agg(
         F.count_if(status == texts.IMPLEMENTED).cast("int").alias("n_implemented"),
         F.count_if(status == texts.NOT_IMPLEMENTED).cast("int").alias("n_open"),
         F.count_if(status == texts.REGRESSION).cast("int").alias("n_regressed"),
-    )
-    told = _listed(
-        statuses, ["rule_id", "resource_id"], F.struct(*STATUS_FIELDS), "recommendations_status"
+        _packed(["rule_id", "resource_id"], F.struct(*STATUS_FIELDS)).alias(
+            "recommendations_status"
+        ),
     )
     merged = per_workspace(
         maturity.drop("process_timestamp"),
-        counts,
+        S.issue_totals(issues, cfg=cfg),
         critical,
         outcome,
-        told,
         new_resources,
-        roi.select("workspace_name", F.struct(*ROI_FIELDS).alias("roi_analysis")),
-    )
+        S.monthly_actual(daily, cfg=cfg),
+    ).withColumn("roi_analysis", F.struct("workspace_name", *S.roi_columns(as_of)))
 
     def n(name: str) -> Column:
         return F.coalesce(name, F.lit(0))
@@ -221,13 +199,9 @@ def executive_report(
             n("n_implemented").alias("recommendations_implemented"),
             n("n_open").alias("recommendations_not_implemented"),
             n("n_regressed").alias("regressions_detected"),
-            F.coalesce(roi_part["estimated_monthly_savings"], F.lit(0.0)).alias(
-                "estimated_monthly_savings"
-            ),
-            F.coalesce(roi_part["estimated_annual_savings"], F.lit(0.0)).alias(
-                "estimated_annual_savings"
-            ),
-            F.coalesce(roi_part["reduction_percentage"], F.lit(0.0)).alias("reduction_percentage"),
+            roi_part["estimated_monthly_savings"].alias("estimated_monthly_savings"),
+            roi_part["estimated_annual_savings"].alias("estimated_annual_savings"),
+            roi_part["reduction_percentage"].alias("reduction_percentage"),
         ).alias("executive_summary"),
         F.struct(
             *[n(c).cast("int").alias(c) for c in ("new_clusters", "new_tables", "new_jobs")]

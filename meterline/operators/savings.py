@@ -140,22 +140,22 @@ def issue_savings(cfg: EngineConfig = DEFAULT) -> Column:
     )
 
 
-def total_roi(
-    issues: DataFrame, daily: DataFrame, *, as_of: T.AsOf, cfg: EngineConfig = DEFAULT
-) -> DataFrame:
-    """Savings of all high issues against the actual monthly cost, per workspace."""
-    saved = (
-        issues.filter(F.col("severity") == "high")
-        .groupBy("workspace_name")
-        .agg(F.sum(issue_savings(cfg)).alias("saved"))
-    )
-    merged = per_workspace(
-        saved, actual_monthly_cost(daily, cfg=cfg).select("workspace_name", "actual_monthly_cost")
+def issue_totals(issues: DataFrame, *, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Issue counts and the savings of the high ones, from one pass over the issues."""
+    high = F.col("severity") == "high"
+    return issues.groupBy("workspace_name").agg(
+        F.count(F.lit(1)).cast("int").alias("total_issues"),
+        F.count_if(high).cast("int").alias("high_issues"),
+        F.count_if(F.col("severity") == "medium").cast("int").alias("medium_issues"),
+        F.sum(F.when(high, issue_savings(cfg))).alias("saved"),
     )
+
+
+def roi_columns(as_of: T.AsOf) -> list[Column]:
+    """ROI figures from the columns ``saved`` and ``actual_monthly_cost``."""
     cost = C.zero_if_null(F.col("actual_monthly_cost"))
     gain = C.zero_if_null(F.col("saved"))
-    return merged.select(
-        "workspace_name",
+    return [
         F.round(cost, 2).alias("current_monthly_cost"),
         F.round(cost - gain, 2).alias("estimated_monthly_cost"),
         F.round(gain, 2).alias("estimated_monthly_savings"),
@@ -166,4 +166,19 @@ def total_roi(
         F.lit("medium").alias("confidence"),
         F.lit(texts.MARGIN_OF_ERROR).alias("margin_of_error"),
         T.as_of_ts(as_of).alias("calculation_timestamp"),
+    ]
+
+
+def monthly_actual(daily: DataFrame, *, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    return actual_monthly_cost(daily, cfg=cfg).select("workspace_name", "actual_monthly_cost")
+
+
+def total_roi(
+    issues: DataFrame, daily: DataFrame, *, as_of: T.AsOf, cfg: EngineConfig = DEFAULT
+) -> DataFrame:
+    """Savings of all high issues against the actual monthly cost, per workspace."""
+    totals = issue_totals(issues.filter(F.col("severity") == "high"), cfg=cfg)
+    merged = per_workspace(
+        totals.select("workspace_name", "saved"), monthly_actual(daily, cfg=cfg)
     )
+    return merged.select("workspace_name", *roi_columns(as_of))

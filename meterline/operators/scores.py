@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from meterline.config import DEFAULT, EngineConfig
 from meterline.functions import columns as C, timeutil as T
 from meterline.functions.frames import per_workspace, top_n
+from meterline.operators.cost import with_cost
+from meterline.operators.gold import with_flags
 
 # Maturity levels by lower bound.
 MATURITY_LEVELS = ((0.8, "Otimizado"), (0.6, "Avançado"), (0.4, "Intermediário"))
@@ -20,22 +22,30 @@ DIMENSIONS = ("compute", "storage", "governance", "pipelines", "observability",
 # ---------------------------------------------------------------- metrics
 
 
-def cluster_metrics(flags: DataFrame) -> DataFrame:
-    return flags.groupBy("workspace_name").agg(
+def _cluster_aggregates() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("n_clusters"),
         F.avg("utilization_score").alias("avg_utilization"),
         F.count_if("is_idle").alias("idle_clusters"),
         F.count_if("has_autoscaling").alias("autoscaling_clusters"),
-    )
+    ]
 
 
-def job_metrics(gold_jobs: DataFrame) -> DataFrame:
-    return gold_jobs.groupBy("workspace_name").agg(
+def _job_aggregates() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("n_jobs"),
         F.avg("success_rate").alias("avg_success_rate"),
         F.avg("efficiency_score").alias("avg_efficiency"),
         F.count_if("has_schedule").alias("scheduled_jobs"),
-    )
+    ]
+
+
+def cluster_metrics(flags: DataFrame) -> DataFrame:
+    return flags.groupBy("workspace_name").agg(*_cluster_aggregates())
+
+
+def job_metrics(gold_jobs: DataFrame) -> DataFrame:
+    return gold_jobs.groupBy("workspace_name").agg(*_job_aggregates())
 
 
 def table_metrics(tables: DataFrame) -> DataFrame:
@@ -249,35 +259,75 @@ def score_costs(
     return m.select("workspace_name", costs_score(cfg).alias("costs_score"))
 
 
+def inventory_metrics(
+    clusters: DataFrame,
+    jobs: DataFrame,
+    tables: DataFrame,
+    *,
+    as_of: T.AsOf,
+    rate_card: DataFrame | None = None,
+    cfg: EngineConfig = DEFAULT,
+) -> list[DataFrame]:
+    """All score inputs from one aggregation per inventory.
+
+    Flags and costs are per-row expressions, so deriving them again from the
+    silver clusters is cheaper than reading and shuffling three cluster tables.
+    """
+    profile = with_cost(
+        with_flags(clusters, cfg=cfg), as_of=as_of, rate_card=rate_card, cfg=cfg
+    ).withColumn("tagged", C.is_present(F.col("custom_tags")))
+    cluster_frame = profile.groupBy("workspace_name").agg(
+        *_cluster_aggregates(),
+        F.count(F.lit(1)).alias("taggable_clusters"),
+        F.count_if("tagged").alias("tagged_clusters"),
+        F.sum("estimated_monthly_cost").alias("current_monthly_cost"),
+    )
+    job_frame = (
+        jobs.withColumn("tagged", C.is_present(F.col("tags")))
+        .groupBy("workspace_name")
+        .agg(
+            *_job_aggregates(),
+            F.count(F.lit(1)).alias("taggable_jobs"),
+            F.count_if("tagged").alias("tagged_jobs"),
+        )
+    )
+    return [cluster_frame, job_frame, table_metrics(tables)]
+
+
 def maturity_scores(
     *,
-    flags: DataFrame,
-    gold_jobs: DataFrame,
+    clusters: DataFrame,
+    jobs: DataFrame,
     tables: DataFrame,
-    silver_clusters: DataFrame,
-    silver_jobs: DataFrame,
     as_of: T.AsOf,
-    estimates: DataFrame | None = None,
     baselines: DataFrame | None = None,
     daily: DataFrame | None = None,
+    rate_card: DataFrame | None = None,
     weights: Mapping[str, float] | None = None,
     cfg: EngineConfig = DEFAULT,
 ) -> DataFrame:
-    """Six dimension scores, their weighted sum and its level for every workspace."""
+    """Six dimension scores, their weighted sum and its level for every workspace.
+
+    ``clusters`` and ``tables`` are silver frames; ``jobs`` is the job summary
+    with the jobs' ``tags``. Costs are compared with the newest of ``baselines``;
+    when ``daily`` is given the billing trend takes the place of that comparison.
+    """
     weights = dict(weights or cfg.weights)
     missing = set(DIMENSIONS) - set(weights)
     if missing:
         raise ValueError(f"weights missing: {sorted(missing)}")
-    frames = [
-        cluster_metrics(flags),
-        job_metrics(gold_jobs),
-        table_metrics(tables),
-        tag_metrics(silver_clusters, silver_jobs),
-    ]
-    if estimates is not None or daily is not None:
-        frames.append(score_costs(estimates, baselines, daily, cfg=cfg))
+    frames = inventory_metrics(
+        clusters, jobs, tables, as_of=as_of, rate_card=rate_card, cfg=cfg
+    )
+    cost_dim = costs_score(cfg)
+    if daily is not None:
+        frames.append(score_costs(None, daily=daily, cfg=cfg))
+        cost_dim = F.coalesce("costs_score", F.lit(cfg.cost_unknown))
+    elif baselines is not None:
+        frames.append(baseline_cost(baselines))
     merged = per_workspace(*frames)
-    cost_dim = F.col("costs_score") if "costs_score" in merged.columns else F.lit(None)
+    if "baseline_monthly_cost" not in merged.columns:
+        merged = merged.withColumn("baseline_monthly_cost", F.lit(None).cast("double"))
     scored = merged.select(
         "workspace_name",
         compute_score().alias("compute_score"),
@@ -285,7 +335,7 @@ def maturity_scores(
         governance_score().alias("governance_score"),
         pipelines_score().alias("pipelines_score"),
         observability_score().alias("observability_score"),
-        F.coalesce(cost_dim.cast("double"), F.lit(cfg.cost_unknown)).alias("costs_score"),
+        cost_dim.alias("costs_score"),
     )
     total = sum((F.col(f"{d}_score") * weights[d] for d in DIMENSIONS), F.lit(0.0))
     return scored.withColumn("_total", C.settled(total)).select(

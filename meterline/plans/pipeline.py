@@ -22,7 +22,6 @@ from meterline.operators import (
     history,
     reports,
     rules,
-    savings,
     scores,
     silver,
 )
@@ -100,12 +99,11 @@ class Warehouse:
             earlier = known.filter(F.col("baseline_date") < before)
         self.replace(
             scores.maturity_scores(
-                flags=flags,
-                gold_jobs=gold_jobs,
+                clusters=clusters,
+                jobs=gold_jobs.join(
+                    jobs.select("workspace_name", "job_id", "tags"), ["workspace_name", "job_id"]
+                ),
                 tables=self.read("silver.storage_tables"),
-                silver_clusters=clusters,
-                silver_jobs=jobs,
-                estimates=estimates,
                 baselines=earlier,
                 as_of=at,
                 cfg=cfg,
@@ -194,9 +192,7 @@ class Warehouse:
             issues=issues,
             statuses=statuses,
             new_resources=fresh,
-            roi=savings.total_roi(
-                issues, self.read("gold.billing_costs_summary"), as_of=at, cfg=cfg
-            ),
+            daily=self.read("gold.billing_costs_summary"),
             baseline=baseline,
             as_of=at,
             cfg=cfg,

@@ -342,7 +342,7 @@ REPORTS: dict[str, Report] = {
         lambda e: audit.audit_compute(e.flags, e.gold_jobs, as_of=e.as_of, cfg=e.cfg), _ISSUE
     ),
     "audit_workflows": Report(
-        lambda e: audit.audit_workflows(e.gold_jobs, e.runs, as_of=e.as_of, cfg=e.cfg), _ISSUE
+        lambda e: audit.audit_workflows(e.jobs, e.runs, as_of=e.as_of, cfg=e.cfg), _ISSUE
     ),
     "recommendation_status": Report(
         lambda e: e.statuses,

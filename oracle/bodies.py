@@ -99,7 +99,7 @@ from baseline_0 a join baseline_2 b on a.workspace_name = b.workspace_name and a
     "benchmarks": "bench_2",
     "reconcile_billing": "recon_2",
     "roi_confidence": """
-select *, case when c >= 0.8e0 then 'high' when c >= 0.6e0 then 'medium' else 'low' end as confidence_level, c as roi_confidence,
+select *, case when c >= 0.8e0 then 'high' when c >= 0.6e0 then 'medium' else 'low' end as confidence_level, round(c, 2) as roi_confidence,
   case when c >= 0.8e0 then 'ROI confiável' else 'Revisar estimativas antes de apresentar ROI' end as recommendation
 from (
   select workspace_name, estimated_savings, reconciliation_status, variance_percentage,
