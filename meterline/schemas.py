@@ -212,46 +212,45 @@ class Table:
         return f"{warehouse.rstrip('/')}/{self.layer}/{self.name}"
 
 
+# Folders: the workspace everywhere (its cloud follows from it), months for the two
+# big facts, and one day level for history tables (added by the writer). Finer
+# folders, by category or product, would hold a handful of rows each.
+_BY_WORKSPACE = ("workspace_name",)
+
+# bronze table -> (columns, order inside files)
 _BRONZE = {
-    "compute_clusters": (_COMPUTE_CLUSTERS, ("workspace_name", "cloud"), ("cluster_id",)),
-    "compute_jobs": (_COMPUTE_JOBS, ("workspace_name", "cloud"), ("job_id",)),
-    "compute_job_runs": (_COMPUTE_JOB_RUNS, ("workspace_name", "cloud"), ("start_time",)),
-    "storage_tables": (_STORAGE_TABLES, ("workspace_name", "cloud"), ("full_table_name",)),
-    "billing_costs": (_BILLING_COSTS, ("workspace_name", "cloud"), ("date",)),
+    "compute_clusters": (_COMPUTE_CLUSTERS, ("cluster_id",)),
+    "compute_jobs": (_COMPUTE_JOBS, ("job_id",)),
+    "compute_job_runs": (_COMPUTE_JOB_RUNS, ("start_time",)),
+    "storage_tables": (_STORAGE_TABLES, ("full_table_name",)),
+    "billing_costs": (_BILLING_COSTS, ("date",)),
 }
 
 _SILVER_PARTITIONS = {
-    "compute_job_runs": (("workspace_name", "cloud", "start_month"), ("start_time",)),
-    "billing_costs": (("workspace_name", "cloud", "year", "month"), ("date_parsed",)),
+    "compute_job_runs": ("workspace_name", "start_month"),
+    "billing_costs": ("workspace_name", "year", "month"),
 }
 
-_GOLD_LAYOUT: dict[str, tuple[tuple[str, ...], bool]] = {
-    "billing_costs_summary": (("workspace_name", "year", "month"), False),
-    "maturity_scores": (("workspace_name",), True),
-    "recommendations": (("workspace_name", "category"), True),
-    "assessment_baselines": (("workspace_name", "baseline_date"), True),
-    "cost_allocation": (("workspace_name", "cost_center"), False),
-    "costs_dbu_estimates": (("workspace_name", "cloud"), False),
-    "cost_allocation_pipelines": (("workspace_name", "product_name"), False),
-    "billing_reconciliation": (("workspace_name",), True),
-    "automation_actions": (("workspace_name", "automation_level"), False),
-    "observability_enhanced": (("workspace_name", "analysis_type"), False),
-    "benchmarks": (("workspace_name",), True),
-    "rule_conditions": (("workspace_name",), True),
-    "executive_reports": (("workspace_name",), True),
-    "technical_checklist": (("workspace_name", "category"), False),
+# Gold tables that keep one set of rows per assessment.
+_GOLD_HISTORY = {
+    "maturity_scores",
+    "recommendations",
+    "assessment_baselines",
+    "billing_reconciliation",
+    "benchmarks",
+    "rule_conditions",
+    "executive_reports",
 }
 
 
 def _catalog() -> dict[str, Table]:
     tables: list[Table] = []
-    for name, (ddl, parts, order) in _BRONZE.items():
-        tables.append(Table("bronze", name, ddl, parts, order, append=True))
-        s_parts, s_order = _SILVER_PARTITIONS.get(name, (parts, order))
-        tables.append(Table("silver", name, f"{ddl}, {_SILVER_ADDS[name]}", s_parts, s_order))
+    for name, (ddl, order) in _BRONZE.items():
+        tables.append(Table("bronze", name, ddl, _BY_WORKSPACE, order, append=True))
+        parts = _SILVER_PARTITIONS.get(name, _BY_WORKSPACE)
+        tables.append(Table("silver", name, f"{ddl}, {_SILVER_ADDS[name]}", parts, order))
     for name, ddl in _GOLD.items():
-        parts, append = _GOLD_LAYOUT.get(name, (("workspace_name",), False))
-        tables.append(Table("gold", name, ddl, parts, (), append))
+        tables.append(Table("gold", name, ddl, _BY_WORKSPACE, (), name in _GOLD_HISTORY))
     return {t.logical: t for t in tables}
 
 

@@ -12,10 +12,29 @@ from meterline.schemas import TABLES
 from meterline.sources import layers
 
 
+class FewWorkspaces(Bronze):
+    """Three workspaces, and facts stamped with the collection that first saw them."""
+
+    def _kept(self, name):
+        df = getattr(Bronze(self.spark, self.folder), name)
+        df = df.filter(F.col("workspace_name").isin("ws_1", "ws_2", "ws_3"))
+        if name not in ("runs", "billing"):
+            return df
+        at = F.unix_millis("collect_timestamp")
+        seen = F.least(*[F.when(at <= ms, F.lit(ms)) for ms in SNAPSHOTS])
+        return df.withColumn("collect_timestamp", F.timestamp_millis(seen))
+
+    clusters = property(lambda self: self._kept("clusters"))
+    jobs = property(lambda self: self._kept("jobs"))
+    runs = property(lambda self: self._kept("runs"))
+    tables = property(lambda self: self._kept("tables"))
+    billing = property(lambda self: self._kept("billing"))
+
+
 @pytest.fixture(scope="module")
 def run(spark, tiny, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("warehouse"))
-    bronze = Bronze(spark, tiny)
+    bronze = FewWorkspaces(spark, tiny)
     Warehouse(spark, path, AS_OF).collect(
         {
             "compute_clusters": bronze.clusters,
