@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,6 +12,29 @@ from meterline.functions.frames import per_workspace
 from meterline.operators import gold, rules, silver
 
 
+# Key columns of each state table; maturity has one row per workspace.
+STATE_KEYS = {
+    "clusters": ("cluster_id",),
+    "tables": ("full_table_name",),
+    "jobs": ("job_id",),
+    "recommendations": ("rule_id", "resource_id"),
+    "maturity": (),
+}
+
+
+def state_at(
+    history: Mapping[str, DataFrame], *, as_of: T.AsOf | None = None
+) -> dict[str, DataFrame]:
+    """Newest row of every resource as known at ``as_of``, or now.
+
+    ``history`` maps names of ``STATE_KEYS`` to frames appended per assessment.
+    """
+    return {
+        name: silver.latest_snapshot(df, list(STATE_KEYS[name]), as_of, "process_timestamp")
+        for name, df in history.items()
+    }
+
+
 def first_seen(bronze: DataFrame, key: str) -> DataFrame:
     return bronze.groupBy("workspace_name", key).agg(
         F.min("collect_timestamp").alias("first_seen")

@@ -21,7 +21,11 @@ def seen_by(df: DataFrame, as_of: T.AsOf, stamp: str = "collect_timestamp") -> D
 def latest_snapshot(
     df: DataFrame, keys: list[str], as_of: T.AsOf | None = None, stamp: str = "collect_timestamp"
 ) -> DataFrame:
-    """Newest appended row of each resource, optionally as it was known at ``as_of``."""
+    """Newest appended row of each resource, optionally as it was known at ``as_of``.
+
+    A resource is collected once per timestamp, so the order is total; rows that
+    share both are copies of each other.
+    """
     rows = df if as_of is None else seen_by(df, as_of, stamp)
     return latest(rows, [*keys, "workspace_name"], [F.col(stamp).desc()])
 

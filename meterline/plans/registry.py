@@ -145,7 +145,7 @@ REPORTS: dict[str, Report] = {
         "collect_ms",
     ),
     "lake_inventory": Report(
-        lambda e: files.lake_inventory(e.bronze), "table_name num_files has_bytes"
+        lambda e: files.lake_inventory(e.bronze), "table_name has_files has_bytes"
     ),
     "src_billing_azure": Report(
         lambda e: files.src_billing_azure(e.bronze),
@@ -189,6 +189,18 @@ REPORTS: dict[str, Report] = {
         "workspace_name cloud date_parsed year month day resource_id service cost~6 currency "
         "cost_usd~6",
     ),
+    "baseline_state": Report(
+        lambda e: history.state_at(
+            {
+                "clusters": gold.cluster_flags(
+                    silver.silver_clusters(e.bronze.clusters, as_of=F.col("collect_timestamp")),
+                    cfg=e.cfg,
+                )
+            },
+            as_of=BASELINE,
+        )["clusters"],
+        _CLUSTER_FLAGS,
+    ),
     "latest_snapshot": Report(
         lambda e: silver.latest_snapshot(e.bronze.clusters, ["cluster_id"], e.as_of),
         "workspace_name cluster_id cluster_name state num_workers",

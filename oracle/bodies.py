@@ -30,7 +30,7 @@ select workspace_name, cloud, metastore_type, case when metastore_type = 'unity_
   cast(case partition_columns when '[]' then 0 when '[''dt'']' then 1 else 2 end as integer) as n_partition_columns, last_modified_ms, last_access_ms, collect_ms
 from fx_tables""",
     "lake_inventory": """
-select concat(cloud, '_costs') as table_name, cast(count(distinct currency) as integer) as num_files, true as has_bytes from fx_billing group by cloud""",
+select concat(cloud, '_costs') as table_name, true as has_files, true as has_bytes from fx_billing group by cloud""",
     "src_billing_azure": """
 select workspace_name, cloud, cast(cost_date as varchar) as date, resource_id, 'cluster' as resource_type, 'rg' as resource_group, cost, currency from fx_billing where cloud = 'azure'""",
     "src_billing_aws": "select *, cast(cost_date as varchar) as date from fx_billing where cloud = 'aws'",
@@ -47,6 +47,7 @@ from fx_billing""",
     "silver_tables": "tables_2",
     "silver_billing": "billing_2",
     "latest_snapshot": "clusters_2",
+    "baseline_state": "flags_0",
     "runs_lookback": "select * from runs_2 where start_ms >= 996624000000 - 7 * 86400000::bigint",
     "cloud_from_url": """
 select workspace_name, case when contains(workspace_url, 'azuredatabricks.net') or contains(workspace_url, 'adb-') then 'azure'

