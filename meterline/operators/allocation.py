@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from meterline.config import DEFAULT, EngineConfig
 from meterline.functions import columns as C, timeutil as T
@@ -111,15 +111,15 @@ def run_cost_per_job(
     )
 
 
-def pipeline_name(job_name) -> "F.Column":
+def pipeline_name(job_name: Column) -> Column:
     return F.substring_index(job_name, "_", 1)
 
 
-def product_name(job_name) -> "F.Column":
+def product_name(job_name: Column) -> Column:
     return F.when(job_name.contains("-"), F.substring_index(job_name, "-", 1)).otherwise("default")
 
 
-def sla_tier(avg_hours, cfg: EngineConfig = DEFAULT) -> "F.Column":
+def sla_tier(avg_hours: Column, cfg: EngineConfig = DEFAULT) -> Column:
     return (
         F.when(avg_hours < cfg.sla_fast_hours, "fast")
         .when(avg_hours > cfg.sla_slow_hours, "slow")

@@ -23,7 +23,7 @@ from (select *, row_number() over (partition by workspace_name, job_id order by
 where rn = 1
 """,
     "runs_@S": """
-select workspace_name, cloud, job_id, run_id, result_state, start_ms, execution_duration, setup_duration, cleanup_duration, cluster_instance, error,
+select workspace_name, cloud, job_id, run_id, result_state, start_ms, execution_duration, setup_duration, cast(cleanup_duration as bigint) as cleanup_duration, cluster_instance, error,
   execution_duration / 1000e0 as duration_seconds, execution_duration / 3600000e0 as duration_hours,
   result_state = 'SUCCESS' as is_success, result_state = 'FAILED' as is_failed, result_state = 'CANCELLED' as is_cancelled,
   (error is not null and trim(error) not in ('', 'null', 'None', '{}', '[]')) as has_error
