@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +62,47 @@ def held_out(doc_id: str = "doc_id"):
     """True for the fifth of documents that no model learns from."""
     text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     return F.crc32(text.cast("binary")) % 5 == 0
+
+
+class WordTable:
+    """Numbers (hashes, token ids) of distinct words, and their concatenation for a text.
+
+    ``learn`` gives the numbers of a list of new words. A task's table starts
+    afresh beyond ``limit`` words, so its memory does not grow with the input.
+    """
+
+    def __init__(self, learn: Callable[[list[bytes]], list], dtype, limit: int = 400_000) -> None:
+        self.learn, self.dtype, self.limit = learn, dtype, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.at = np.zeros(1 << 12, np.int64)  # where word i begins; word i + 1 ends it
+        self.flat = np.zeros(1 << 13, self.dtype)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """A number of each word; until the next call, equal numbers mean equal words."""
+        if len(self.number) > self.limit:
+            self._clear()
+        known = self.number
+        if new := [w for w in dict.fromkeys(words) if w not in known]:
+            values = self.learn(new)
+            no, size = len(known), np.fromiter(map(len, values), np.int64, len(new))
+            ends = self.at[no] + np.cumsum(size)
+            while len(self.at) < no + len(new) + 1:
+                self.at = np.concatenate((self.at, np.zeros_like(self.at)))
+            while len(self.flat) < ends[-1]:
+                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+            self.at[no + 1 : no + len(new) + 1] = ends
+            self.flat[self.at[no] : ends[-1]] = [x for v in values for x in v]
+            known.update(zip(new, range(no, no + len(new))))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The words' values one after the other."""
+        first = self.at[numbers]
+        size = self.at[numbers + 1] - first
+        ends = np.cumsum(size)
+        if not len(ends) or not ends[-1]:
+            return np.zeros(0, self.dtype)
+        return self.flat[np.arange(ends[-1]) + np.repeat(first - ends + size, size)]
