@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterline.llm import quality_llr, simhash_cover, vector_packing
+from meterline.llm import language_id, quality_llr, secret_scan, simhash_cover, vector_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": quality_llr.query,
     "op6_best_fit_packing": vector_packing.query,
+    "op8_language_id": language_id.query,
+    "op9_secret_scan": secret_scan.query,
     "op10_simhash_near_dedup": simhash_cover.query,
 }
 SQL: dict[str, str] = {}
