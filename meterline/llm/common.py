@@ -34,6 +34,10 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    return to_arrow_schema(T.StructType.fromDDL(ddl))
+
+
 def per_row(
     df: DataFrame, schema: str, make: Callable[[], Callable[..., tuple | None]]
 ) -> DataFrame:
@@ -43,7 +47,7 @@ def per_row(
     the row's columns in order and returns the output columns (None: no row).
     Batches go out as they come in, so a task holds one batch at a time.
     """
-    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = make()

@@ -6,9 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterline.llm import language_id, quality_llr, secret_scan, simhash_cover, vector_packing
+from meterline.llm import (
+    byte_bpe,
+    language_id,
+    prefix_hash,
+    quality_llr,
+    secret_scan,
+    simhash_cover,
+    vector_packing,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_prefix_fingerprints": prefix_hash.query,
+    "op2_byte_bpe": byte_bpe.query,
     "op5_quality_rules": quality_llr.query,
     "op6_best_fit_packing": vector_packing.query,
     "op8_language_id": language_id.query,
