@@ -14,15 +14,19 @@ from meterline.llm import (
     secret_scan,
     simhash_cover,
     vector_packing,
+    warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prefix_fingerprints": prefix_hash.query,
     "op2_byte_bpe": byte_bpe.query,
+    "op3_warc": warc.query,
     "op5_quality_rules": quality_llr.query,
     "op6_best_fit_packing": vector_packing.query,
     "op8_language_id": language_id.query,
     "op9_secret_scan": secret_scan.query,
     "op10_simhash_near_dedup": simhash_cover.query,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_warc": warc.SQL,
+}
