@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,18 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(text.cast("binary")) % 5 == 0
 
 
+class _Numbered(dict):
+    """Gives each new key the next number and notes it in ``fresh``."""
+
+    def __init__(self) -> None:
+        self.fresh: list = []
+
+    def __missing__(self, key):
+        self[key] = no = len(self)
+        self.fresh.append(key)
+        return no
+
+
 class WordTable:
     """Numbers (hashes, token ids) of distinct words, and their concatenation for a text.
 
@@ -80,7 +93,7 @@ class WordTable:
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = _Numbered()
         self.at = np.zeros(1 << 12, np.int64)  # where word i begins; word i + 1 ends it
         self.flat = np.zeros(1 << 13, self.dtype)
 
@@ -88,19 +101,19 @@ class WordTable:
         """A number of each word; until the next call, equal numbers mean equal words."""
         if len(self.number) > self.limit:
             self._clear()
-        known = self.number
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
+        no = len(self.number)
+        found = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if new := self.number.fresh:
+            self.number.fresh = []
             values = self.learn(new)
-            no, size = len(known), np.fromiter(map(len, values), np.int64, len(new))
-            ends = self.at[no] + np.cumsum(size)
+            ends = self.at[no] + np.cumsum(np.fromiter(map(len, values), np.int64, len(new)))
             while len(self.at) < no + len(new) + 1:
                 self.at = np.concatenate((self.at, np.zeros_like(self.at)))
             while len(self.flat) < ends[-1]:
                 self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
             self.at[no + 1 : no + len(new) + 1] = ends
-            self.flat[self.at[no] : ends[-1]] = [x for v in values for x in v]
-            known.update(zip(new, range(no, no + len(new))))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            self.flat[self.at[no] : ends[-1]] = np.fromiter(chain.from_iterable(values), self.dtype, ends[-1] - self.at[no])
+        return found
 
     def gather(self, numbers: np.ndarray) -> np.ndarray:
         """The words' values one after the other."""

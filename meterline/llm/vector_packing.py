@@ -36,16 +36,22 @@ GROUP = 8192
 #: Weights of tokens, documents and attention cost.
 WEIGHTS = (1.0, 0.02, 0.02)
 
-# Fixed value: the vocabulary's pattern of words, for texts of ASCII characters only.
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+# The vocabulary's pattern of words, for lower-case words that only have
+# printable ASCII and the composed letters of two Latin blocks (all of them letters
+# that the normal form leaves alone and whose lower case is one letter).
+_SIMPLE = re.compile("[\\x20-\\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]*")
+_LETTER = "a-z\u00df-\u00f6\u00f8-\u017e"
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\\s0-9{_LETTER}]+")
+#: Distinct words and word parts that a task remembers before it starts afresh.
+MEMORY = 800_000
 
 
 class WordIds:
     """Token ids of words without ASCII white space.
 
     The vocabulary never joins across white space, and its normal form works on
-    single words, so words are encoded one by one. Printable ASCII words only need
-    lower case and the pattern; others go through the tokenizer's own
+    single words, so words are encoded one by one. Simple words need lower case,
+    the pattern and the byte alphabet; others go through the tokenizer's own
     normalisation and splitting.
     """
 
@@ -55,26 +61,35 @@ class WordIds:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.known: dict[str, list[int]] = {}
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.alphabet = {c: split(chr(c))[0][0] for c in range(0xC0, 0x17F) if chr(c).isalpha()}
 
     def __call__(self, words: list[bytes]) -> list[list[int]]:
-        if len(self.known) > 300_000:
+        if len(self.known) > MEMORY:
             self.known.clear()
-        return [self._ids(w.decode()) for w in words]
+        joined = b" ".join(words).decode()
+        if not _SIMPLE.fullmatch(joined):
+            return [self._ids(w) for w in joined.split(" ")]
+        alphabet = self.alphabet
+        return [
+            self._of(parts if w.isascii() else [p.translate(alphabet) for p in parts])
+            for w in joined.lower().split(" ")
+            if (parts := _PARTS.findall(w)) is not None
+        ]
 
     def _ids(self, word: str) -> list[int]:
-        if word.isascii() and word.isprintable():
-            parts = _ASCII.findall(word.lower())
-        else:
-            normal = self.tokenizer.normalizer.normalize_str(word)
-            parts = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
-        if len(parts) == 1:
-            return self._part(parts[0])
-        return [i for p in parts for i in self._part(p)]
+        if _SIMPLE.fullmatch(word):
+            return self._of([p.translate(self.alphabet) for p in _PARTS.findall(word.lower())])
+        normal = self.tokenizer.normalizer.normalize_str(word)
+        return self._of([p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)])
 
-    def _part(self, part: str) -> list[int]:
-        if (ids := self.known.get(part)) is None:
-            ids = self.known[part] = [t.id for t in self.model.tokenize(part)]
-        return ids
+    def _of(self, parts: list[str]) -> list[int]:
+        out, known = [], self.known
+        for part in parts:
+            if (ids := known.get(part)) is None:
+                ids = known[part] = [t.id for t in self.model.tokenize(part)]
+            out += ids
+        return out
 
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -99,7 +114,7 @@ def pieces(
     types = {"piece": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTable(WordIds(path), np.uint32, 250_000)
+        words = WordTable(WordIds(path), np.uint32, MEMORY)
         slot = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         for batch in batches:
             of, rows, ids_of = [], [], []
