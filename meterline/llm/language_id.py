@@ -236,6 +236,22 @@ def predict(docs: DataFrame, model: Model | None, keys: tuple[str, ...] = ("doc_
     return per_row(docs.select(*keys, "text"), schema, make)
 
 
+def certain(spark: SparkSession, model: Model | None, least: float):
+    """For ``where_text``: texts whose predicted language scores ``least`` or more."""
+    sent = spark.sparkContext.broadcast(model)
+
+    def make():
+        grams, model = Grams(), sent.value
+
+        def keep(text: str | None) -> bool:
+            found = grams(text) if model else None
+            return found is not None and float(model.probabilities(*found).max()) >= least
+
+        return keep
+
+    return make
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; see ``fit`` and ``predict``."""
     docs = table(spark, sf_dir, "documents")

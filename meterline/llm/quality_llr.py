@@ -146,6 +146,22 @@ def ratios(docs: DataFrame, labels: DataFrame, most: int = MAX_TRUSTED) -> np.nd
     return np.log((target + SMOOTH) / (raw * (target.sum() / raw.sum()) + SMOOTH))
 
 
+class Judge:
+    """Base counts, score and verdict of texts; one for each task."""
+
+    def __init__(self, ratio: np.ndarray, min_score: float) -> None:
+        self.tokens, self.ratio, self.min_score = token_table(), ratio, min_score
+
+    def __call__(self, text: str | None) -> tuple:
+        words = _words(text)
+        numbers = self.tokens.numbers(words)
+        base = base_counts(text, words, numbers)
+        failed = len(words) < LEAST_WORDS or 100 * base[-1] > MOST_REPEATED * len(words)
+        at = buckets(self.tokens.gather(numbers))
+        score = float(self.ratio[at].mean()) if len(at) else 0.0
+        return (len(words), *base, failed, score, not failed and score >= self.min_score)
+
+
 COLUMNS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, score double, kept boolean"
@@ -169,24 +185,24 @@ def judge(
     ratio = docs.sparkSession.sparkContext.broadcast(ratios(docs, labels, most_trusted))
 
     def make():
-        tokens, of = token_table(), ratio.value
-
-        def row(*values):
-            text = values[-1]
-            words = _words(text)
-            numbers = tokens.numbers(words)
-            base = base_counts(text, words, numbers)
-            failed = len(words) < LEAST_WORDS or 100 * base[-1] > MOST_REPEATED * len(words)
-            at = buckets(tokens.gather(numbers))
-            score = float(of[at].mean()) if len(at) else 0.0
-            return (*values[:-1], len(words), *base, failed, score, not failed and score >= min_score)
-
-        return row
+        of = Judge(ratio.value, min_score)
+        return lambda *values: (*values[:-1], *of(values[-1]))
 
     kinds = dict(docs.dtypes)
     schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + COLUMNS
     return per_row(docs.select(*keys, "text"), schema, make)
 
 
+def keeper(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCORE):
+    """For ``where_text``: texts that ``judge`` would keep, by the counts of ``docs``."""
+    ratio = docs.sparkSession.sparkContext.broadcast(ratios(docs, labels))
+
+    def make():
+        of = Judge(ratio.value, min_score)
+        return lambda text: of(text)[-1]
+
+    return make
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from meterline.llm import (
     byte_bpe,
     language_id,
@@ -42,6 +43,7 @@ _ALL: dict[str, Query] = {
     "op8_language_id": language_id.query,
     "op9_secret_scan": secret_scan.query,
     "op10_simhash_near_dedup": simhash_cover.query,
+    "pipeline": corpus_pipeline.run,
 }
 QUERIES: dict[str, Query] = {name: _shipped(query) for name, query in _ALL.items()}
 SQL: dict[str, str] = {

@@ -16,8 +16,11 @@ import binascii
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from meterline.llm.common import per_row, table
 
@@ -262,5 +265,26 @@ def redact(text: str | None, limit: int = MAX_LAYER) -> str | None:
     return "".join([*out, text[at:]])
 
 
+def redacted(docs: DataFrame, limit: int = MAX_LAYER) -> DataFrame:
+    """Every row of ``docs`` with its secrets replaced (see ``redact``). n_chars, where there
+    is such a column, follows the text; null texts and all other columns stay."""
+    arrow = to_arrow_schema(docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(names.index("text")).to_pylist()
+            new = [redact(t, limit) for t in texts]
+            columns = list(batch.columns)
+            columns[names.index("text")] = pa.array(new, arrow.field("text").type)
+            if "n_chars" in names:
+                of = batch.column(names.index("n_chars")).to_pylist()
+                sizes = [n if t is None else len(t) for n, t in zip(of, new)]
+                columns[names.index("n_chars")] = pa.array(sizes, arrow.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = docs.columns
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"))

@@ -189,8 +189,8 @@ def near_duplicates(
     keys: tuple[str, ...] = (),
     bucket_limit: int = BUCKET_LIMIT,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, ``keys``, ``fp`` and ``component_id``, the smallest id
-    reachable over links of four bits or fewer.
+    """One row per row of ``docs``: id, ``keys``, ``fp``, ``root`` and ``component_id``, the
+    smallest fingerprint and the smallest id reachable over links of four bits or fewer.
 
     A null or blank text has fingerprint zero and is linked like any other.
     Repeated rows each get a row. Rows with a null id count as no smaller id than
@@ -204,8 +204,8 @@ def near_duplicates(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     small = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(small, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(id_col, *keys, "fp", "component_id")
+    named = placed.join(small, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select(id_col, *keys, "fp", "root", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
