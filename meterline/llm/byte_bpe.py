@@ -1,12 +1,13 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 1. Tasks split texts into pre-tokens and number their positions inside a block of
-   documents. Pre-tokens are exploded already combined: one row for each distinct
-   word of a block, with its positions.
-2. Rows meet by word, sorted, so each distinct word of the whole input is encoded
-   once and its ids join every block's row of it. A word that is frequent in its
-   block sends a number instead of its positions, which travel with the block:
-   a hot word costs its task one short row a block.
+   documents. Pre-tokens are exploded already combined: a distinct word of a block
+   stands once, with its positions, and the words that share a shard (by hash) are
+   one compressed row.
+2. Rows meet by shard, so each distinct word of the whole input is encoded once and
+   its ids join the positions of every block that has it. A word that is frequent
+   in its block sends a number instead of its positions, which travel with the
+   block: a hot word costs its task a few bytes a block.
 3. Rows meet again by block, where ids are put at their positions.
 
 Decoding is a join with the table of token bytes. That table has as many rows as
@@ -18,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,7 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,13 +78,21 @@ def _small(values: np.ndarray) -> np.ndarray:
     return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
 
+def _packed(value) -> bytes:
+    return zstandard.compress(pickle.dumps(value, 5), 3)
+
+
+def _unpacked(data: bytes):
+    return pickle.loads(zstandard.decompress(data))
+
+
 class _Splitter:
-    """Task of step 1: rows (word, block, packed) of each block, and one of its documents."""
+    """Task of step 1: a row for each shard of a block's words, and one of its documents."""
 
-    SCHEMA = "word string, block long, packed binary"
+    SCHEMA = "shard int, block long, head boolean, payload binary"
 
-    def __init__(self, pattern: str, keys: int, block: int, frequent: int) -> None:
-        self.pattern, self.keys, self.block, self.frequent = pattern, keys, block, frequent
+    def __init__(self, pattern: str, keys: int, block: int, frequent: int, shards: int) -> None:
+        self.pattern, self.keys, self.block, self.frequent, self.shards = pattern, keys, block, frequent, shards
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(self.pattern).findall
@@ -122,46 +133,54 @@ class _Splitter:
         with pa.ipc.new_stream(sink, owners.schema) as out:
             out.write_table(owners)
         sizes = np.array([len(t) for t in self.tokens], np.int64)
-        tokens = np.concatenate(self.tokens)
-        words = list(self.known)
-        counts = np.bincount(tokens, minlength=len(words))
+        spelt = [w.encode() for w in self.known]
+        shard = np.fromiter((zlib.crc32(w) % self.shards for w in spelt), np.int64, len(spelt))
+        by_shard = np.argsort(shard, kind="stable")  # words are renumbered shard by shard
+        rank = np.empty(len(spelt), np.int32)
+        rank[by_shard] = np.arange(len(spelt), dtype=np.int32)
+        tokens, spelt, shard = rank[np.concatenate(self.tokens)], [spelt[i] for i in by_shard.tolist()], shard[by_shard]
+        counts = np.bincount(tokens, minlength=len(spelt))
         order = np.argsort(tokens, kind="stable")  # positions word by word, each in order
         first = np.cumsum(counts) - counts
         steps = order.copy()
         steps[1:] -= order[:-1]
-        steps[first[counts > 0]] = order[first[counts > 0]]
+        steps[first] = order[first]
         often = counts >= self.frequent
         of_often = np.repeat(often, counts)
         often_bytes, _ = varints(steps[of_often])
         # a rare word packs 0 and its steps, a frequent one its number plus one
-        lead = np.where(often, np.arange(len(words)) + 1, 0)
         each = 1 + np.where(often, 0, counts)
         at = np.cumsum(each) - each
         values = np.zeros(int(each.sum()), np.int64)
-        values[at] = lead
+        values[at] = np.where(often, np.arange(len(spelt)) + 1, 0)
         rest = np.ones(len(values), bool)
         rest[at] = False
         values[rest] = steps[~of_often]
         data, sizes_of = varints(values)
-        bounds = np.concatenate(([0], np.cumsum(np.add.reduceat(sizes_of, at)))) if len(words) else np.zeros(1, np.int64)
+        lengths = np.add.reduceat(sizes_of, at) if len(spelt) else np.zeros(0, np.int64)
+        bounds = np.concatenate(([0], np.cumsum(lengths)))
         block, self.no = self.no, self.no + 1
-        head = pickle.dumps(
-            (sink.getvalue().to_pybytes(), _small(sizes), _small(np.flatnonzero(often)), _small(counts[often]), often_bytes), 5
+        head = (sink.getvalue().to_pybytes(), _small(sizes), _small(np.flatnonzero(often)), _small(counts[often]), often_bytes)
+        rows = [(block % self.shards, block, True, _packed(head))]
+        edges = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(spelt)] if len(spelt) else []
+        for a, b in zip(edges, edges[1:]):
+            part = spelt[a:b]
+            payload = (
+                _small(np.fromiter(map(len, part), np.int64, b - a)),
+                b"".join(part),
+                _small(lengths[a:b]),
+                data[bounds[a] : bounds[b]].tobytes(),
+            )
+            rows.append((int(shard[a]), block, False, _packed(payload)))
+        types = (pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["shard", "block", "head", "payload"]
         )
-        packed = pa.BinaryArray.from_buffers(
-            pa.binary(), len(words), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]
-        )
-        names = ["word", "block", "packed"]
-        same = lambda n: pa.array(np.full(n, block, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), same(1), pa.array([head], pa.binary())], names=names)
-        for a in range(0, len(words), 10_000):
-            part = words[a : a + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), same(len(part)), packed.slice(a, len(part))], names=names)
         self._start()
 
 
 class _Encoder:
-    """Task of step 2: rows sorted by word in, (block, head, ids) out."""
+    """Task of step 2: rows in order of their shard in, (block, head, payload) out."""
 
     SCHEMA = "block long, head boolean, payload binary"
 
@@ -171,38 +190,26 @@ class _Encoder:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=self.sent.value, special_tokens={})
         encode = encoding._encode_single_piece
-        last, last_ids = None, None
+
+        class Ids(dict):
+            def __missing__(self, word: bytes) -> list[int]:
+                ids = self[word] = encode(word)
+                return ids
+
+        known, last = Ids(), None
         for batch in batches:
-            out: list[tuple[int, bool, bytes]] = []
-            heads = batch.filter(batch.column(0).is_null())
-            out += [(b, True, p) for b, p in zip(heads.column(1).to_pylist(), heads.column(2).to_pylist())]
-            batch = batch.filter(batch.column(0).is_valid())
-            ids_of, run = [], np.zeros(batch.num_rows, np.int64)
-            for i, word in enumerate(batch.column(0).to_pylist()):
-                if word != last:
-                    last, last_ids = word, encode(word)
-                    ids_of.append(last_ids)
-                elif not ids_of:  # the word that ended the batch before
-                    ids_of.append(last_ids)
-                run[i] = len(ids_of) - 1
-            if batch.num_rows:
-                blocks = batch.column(1).to_numpy()
-                order = np.argsort(blocks, kind="stable")
-                blocks, run = blocks[order], run[order]
-                packed = batch.column(2).take(pa.array(order)).to_pylist()
-                edges = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
-                for a, b in zip(edges, edges[1:]):
-                    ids = [ids_of[i] for i in run[a:b].tolist()]
-                    payload = (
-                        _small(np.fromiter(map(len, ids), np.int64, b - a)),
-                        _small(np.array([x for y in ids for x in y], np.int64)),
-                        _small(np.fromiter(map(len, packed[a:b]), np.int64, b - a)),
-                        b"".join(packed[a:b]),
-                    )
-                    out.append((int(blocks[a]), False, pickle.dumps(payload, 5)))
-            if out:
+            for shard, block, head, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if shard != last:  # no later shard has a word of this one
+                    known, last = Ids(), shard
+                if not head:
+                    sizes, joined, lengths, data = _unpacked(payload)
+                    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+                    ids = [known[joined[a:b]] for a, b in zip([0, *ends[:-1]], ends)]
+                    n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
+                    flat = np.fromiter((x for y in ids for x in y), np.int64, int(n_ids.sum()))
+                    payload = _packed((_small(n_ids), _small(flat), lengths, data))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.bool_(), pa.binary()))],
+                    [pa.array([block]), pa.array([head]), pa.array([payload], pa.binary())],
                     names=["block", "head", "payload"],
                 )
 
@@ -218,8 +225,8 @@ def _positions(counts: np.ndarray, steps: np.ndarray) -> np.ndarray:
 def reassemble(payloads: list[tuple[bool, bytes]]) -> tuple[pa.Table, list[list[int]], list[np.ndarray]]:
     """A block's keys, the ids of its distinct words, and each document's word numbers."""
     head = next(p for is_head, p in payloads if is_head)
-    keys, sizes, often, often_counts, often_bytes = pickle.loads(head)
-    chunks = [pickle.loads(p) for is_head, p in payloads if not is_head]
+    keys, sizes, often, often_counts, often_bytes = _unpacked(head)
+    chunks = [_unpacked(p) for is_head, p in payloads if not is_head]
     owners = pa.ipc.open_stream(keys).read_all()
     sizes = sizes.astype(np.int64)
     word_at = np.full(int(sizes.sum()), -1, np.int64)
@@ -261,12 +268,14 @@ def encode(
     pattern: str = public_tokenizers.PATTERN,
     block: int = BLOCK,
     frequent: int = FREQUENT,
+    shards: int | None = None,
 ) -> DataFrame:
     """``keys`` and the columns of ``schema`` for every row of ``docs``.
 
     ``finish(token_bytes, ids_of, words)`` runs once a block and returns an iterator
     with a tuple of ``schema`` for each of its documents: ids_of are the ids of the
     block's distinct words, words their numbers for each document.
+    ``shards`` should grow with the input, as the shuffle partitions it follows do.
     Null texts count as empty. Repeated rows and null keys each get their row.
     """
     spark = docs.sparkSession
@@ -275,9 +284,10 @@ def encode(
     kinds = dict(docs.dtypes)
     full = "".join(f"`{k}` {kinds[k]}, " for k in keys) + schema
     arrow = arrow_schema(full)
-    split = docs.select(*keys, "text").mapInArrow(_Splitter(pattern, len(keys), block, frequent), _Splitter.SCHEMA)
-    by_word = split.repartition(F.when(F.col("word").isNull(), F.xxhash64("block")).otherwise(F.xxhash64("word"))).sortWithinPartitions("word")
-    encoded = by_word.mapInArrow(_Encoder(sent, pattern), _Encoder.SCHEMA)
+    shards = shards or 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    splitter = _Splitter(pattern, len(keys), block, frequent, shards)
+    by_shard = docs.select(*keys, "text").mapInArrow(splitter, _Splitter.SCHEMA).repartition("shard").sortWithinPartitions("shard")
+    encoded = by_shard.mapInArrow(_Encoder(sent, pattern), _Encoder.SCHEMA)
 
     def run(part: pa.Table) -> pa.Table:
         token_bytes: list[bytes] = [b""] * (max(sent.value.values(), default=-1) + 1)
