@@ -30,6 +30,7 @@ DAY = 86_400_000
 AS_OF = 996_624_000_000  # 2001-08-01T00:00:00Z
 SNAPSHOTS = (AS_OF - 60 * DAY, AS_OF - 30 * DAY, AS_OF)
 BASELINE = SNAPSHOTS[0]
+RUN_SHIFT = 95  # days: the last run starts on the day of AS_OF
 
 _CLOUD = "case ({k} % 25) % 3 when 0 then 'azure' when 1 then 'aws' else 'gcp' end as cloud"
 _WS = "concat('ws_', cast({k} % 25 as string)) as workspace_name"
@@ -112,36 +113,38 @@ class Bronze:
 
     @cached_property
     def runs(self) -> DataFrame:
+        """Every line item is a run; each ninth was first collected while it was running."""
         k = "l_partkey"
         failed = "(l_orderkey * 31 + l_linenumber * 17) % 100 < l_partkey % 45"
         columns = (
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate",
         )
         # Days since the epoch need no session time zone.
-        started = f"cast(datediff(l_shipdate, date'1970-01-01') as bigint) * {DAY}"
+        started = f"(cast(datediff(l_shipdate, date'1970-01-01') as bigint) - {RUN_SHIFT}) * {DAY}"
+        caught = "(l_orderkey + l_linenumber) % 9 = 0"
         return (
             self.table("lineitem")
             .select(*columns)
-            .filter("l_shipdate <= timestamp_ntz'2001-08-01 00:00:00'")
+            .selectExpr("*", f"explode(if({caught}, array(true, false), array(false))) as flying")
             .selectExpr(
                 _WS.format(k=k),
                 _CLOUD.format(k=k),
                 "l_partkey as job_id",
-                "l_orderkey * 10 + l_linenumber as run_id",
+                "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey as run_id",
                 "cast(null as string) as run_name",
-                f"case when {failed} then 'FAILED' "
+                f"case when flying then 'RUNNING' when {failed} then 'FAILED' "
                 "when (l_orderkey + l_linenumber) % 50 = 0 then 'CANCELLED' else 'SUCCESS' end "
                 "as result_state",
                 f"{started} as start_time",
                 "l_suppkey * 1000 as setup_duration",
-                "cast(l_quantity as bigint) * (l_partkey % 12 + 1) * 60000 as execution_duration",
-                "cast(l_linenumber * 1500 as bigint) as cleanup_duration",
+                "if(flying, 0L, cast(l_quantity as bigint) * (l_partkey % 12 + 1) * 60000) as execution_duration",
+                "if(flying, 0L, cast(l_linenumber * 1500 as bigint)) as cleanup_duration",
                 """concat('{"cluster_id": "c-', """
                 """cast(l_partkey % 25 + 25 * (l_orderkey % 8) as string), '"}') """
                 "as cluster_instance",
-                f"""case when {failed} then concat('{{"code": "E', """
+                f"""case when {failed} and not flying then concat('{{"code": "E', """
                 """cast(l_suppkey % 12 as string), '"}') else '{}' end as error""",
-                f"timestamp_millis({started}) as collect_timestamp",
+                f"timestamp_millis({started} + if({caught} and not flying, {DAY}, 0)) as collect_timestamp",
             )
         )
 
@@ -177,14 +180,21 @@ class Bronze:
 
     @cached_property
     def billing(self) -> DataFrame:
+        """Every order is a billing line, collected on its day and again 20 days later.
+
+        The first collection lacks some lines and has preliminary costs; the second
+        corrects them and withdraws others.
+        """
         k = "o_custkey"
         columns = (
             "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority",
         )
+        seen = "if(again, o_orderkey % 13 <> 4, o_orderkey % 7 <> 3)"
         return (
             self.table("orders")
             .select(*columns)
-            .filter("o_orderdate <= timestamp_ntz'2001-08-01 00:00:00'")
+            .selectExpr("*", "explode(array(false, true)) as again")
+            .filter(seen)
             .selectExpr(
                 _WS.format(k=k),
                 _CLOUD.format(k=k),
@@ -192,10 +202,10 @@ class Bronze:
                 "concat('c-', cast(o_custkey as string)) as resource_id",
                 "cast(null as string) as resource_type",
                 "o_orderpriority as service",
-                "o_totalprice / 1000 as cost",
+                "o_totalprice / if(again or o_orderkey % 11 <> 5, 1000, 2000) as cost",
                 "case when o_orderkey % 10 = 0 then 'EUR' else 'USD' end as currency",
-                "timestamp_millis(cast(datediff(o_orderdate, date'1970-01-01') as bigint) "
-                f"* {DAY}) as collect_timestamp",
+                "timestamp_millis((cast(datediff(o_orderdate, date'1970-01-01') as bigint) "
+                f"+ if(again, 20, 0)) * {DAY}) as collect_timestamp",
             )
         )
 
@@ -237,7 +247,8 @@ class Estate:
     @cached_property
     def billing(self) -> DataFrame:
         known = silver.seen_by(self.bronze.billing, self.as_of)
-        return silver.silver_billing(known, as_of=self.as_of, cfg=self.cfg)
+        newest = silver.newest_collection(known)
+        return silver.silver_billing(newest, as_of=self.as_of, cfg=self.cfg)
 
     # gold
     @cached_property
@@ -340,8 +351,7 @@ class Estate:
             self.flags, self.gold_tables, self.gold_jobs, as_of=self.as_of, cfg=self.cfg
         )
 
-    @cached_property
-    def issues(self) -> DataFrame:
+    def issues_of(self, kinds: tuple[str, ...] = audit.ALL_KINDS) -> DataFrame:
         return audit.audit_all(
             flags=self.flags,
             tables=self.gold_tables,
@@ -350,8 +360,13 @@ class Estate:
             runs=self.runs,
             as_of=self.as_of,
             cfg=self.cfg,
+            kinds=kinds,
         )
 
+    @cached_property
+    def issues(self) -> DataFrame:
+        return self.issues_of()
+
     @cached_property
     def statuses(self) -> DataFrame:
         """Fate of the earlier assessment's recommendations."""
@@ -379,7 +394,8 @@ class Estate:
 
     @cached_property
     def roi(self) -> DataFrame:
-        return savings.total_roi(self.issues, self.daily, as_of=self.as_of, cfg=self.cfg)
+        high = self.issues_of(reports.BACKLOG_KINDS)  # all other kinds are of medium severity
+        return savings.total_roi(high, self.daily, as_of=self.as_of, cfg=self.cfg)
 
     @cached_property
     def report(self) -> DataFrame:

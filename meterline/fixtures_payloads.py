@@ -13,7 +13,7 @@ from meterline.session import shared_folder
 from meterline.sources import billing, payloads
 from meterline.streaming import costs, runs
 
-ALL_DAYS = 20_000
+GCP_DAYS = 1000
 STREAM_CUT = AS_OF - 365 * DAY
 
 
@@ -220,7 +220,7 @@ def src_billing_gcp(b: Bronze) -> DataFrame:
             "cost",
             "currency",
             F.unix_millis("collect_timestamp").alias("collected_at"),
-            # Month folders keep the copy small; the suffix range still covers every day.
+            # Month folders keep the copy small; the suffix range drops the oldest of them.
             F.concat(F.regexp_replace(F.substring("date", 1, 7), "-", ""), F.lit("01")).alias(
                 "table_suffix"
             ),
@@ -229,7 +229,7 @@ def src_billing_gcp(b: Bronze) -> DataFrame:
         .write.partitionBy("table_suffix")
         .parquet(path)
     )
-    return billing.read_billing_gcp(b.spark, path, as_of=AS_OF, days_back=ALL_DAYS)
+    return billing.read_billing_gcp(b.spark, path, as_of=AS_OF, days_back=GCP_DAYS)
 
 
 def src_billing(b: Bronze) -> DataFrame:
@@ -237,32 +237,32 @@ def src_billing(b: Bronze) -> DataFrame:
 
 
 def stream_job_runs(b: Bronze) -> DataFrame:
-    """Two collections whose last 30 days overlap, streamed one after the other."""
+    """Two collections that overlap: runs in flight come again when they are finished."""
     spark = b.spark
     folder = shared_folder(spark, "stream-runs")
     source, target, checkpoint = (f"{folder}/{p}" for p in ("in", "out", "checkpoint"))
-    once = silver.latest_runs(b.runs)
-    started = F.col("start_time")
-    for part in (
-        once.filter(started < STREAM_CUT),
-        once.filter(started >= STREAM_CUT - 30 * DAY),
-    ):
+    known = silver.seen_by(b.runs, AS_OF)
+    at = F.unix_millis("collect_timestamp")
+    # half of the finished copies of runs started before the cut come late, after newer runs
+    late = F.pmod(F.xxhash64("run_id"), F.lit(2)) == 0
+    second = (at >= STREAM_CUT) | (late & (F.col("result_state") != "RUNNING"))
+    for part in (known.filter(~second), known.filter(second | (at >= STREAM_CUT - 30 * DAY))):
         part.write.mode("append").parquet(source)
-        stream = runs.unique_runs(runs.bronze_stream(spark, source), as_of=AS_OF)
-        runs.ingest(stream, target, checkpoint).awaitTermination()
-    return spark.read.parquet(target)
+        runs.store_updates(runs.bronze_stream(spark, source), target, checkpoint).awaitTermination()
+    return silver.silver_job_runs(runs.current_runs(spark, target), as_of=AS_OF)
 
 
 def stream_daily_cost(b: Bronze) -> DataFrame:
-    """Two batches of billing lines; the second brings late lines for the week before the cut."""
+    """Two batches of billing lines; the second collects days of the first again."""
     spark = b.spark
     folder = shared_folder(spark, "stream-costs")
     source, target, checkpoint = (f"{folder}/{p}" for p in ("in", "out", "checkpoint"))
+    known = silver.seen_by(b.billing, AS_OF)
     at = F.unix_millis("collect_timestamp")
     late = (at >= STREAM_CUT - 7 * DAY) & (F.pmod(F.xxhash64("resource_id"), F.lit(2)) == 0)
     second = (at >= STREAM_CUT) | late
-    for part in (b.billing.filter(~second), b.billing.filter(second)):
+    for part in (known.filter(~second), known.filter(second)):
         part.write.mode("append").parquet(source)
         lines = silver.silver_billing(costs.billing_stream(spark, source), as_of=AS_OF)
-        costs.store_updates(costs.daily_cost_stream(lines), target, checkpoint).awaitTermination()
+        costs.store_updates(lines, target, checkpoint).awaitTermination()
     return costs.current_daily_cost(spark, target)

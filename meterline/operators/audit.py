@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meterline.config import DEFAULT, EngineConfig
@@ -20,6 +22,25 @@ FACTS = {
 }
 
 
+KINDS = {
+    "storage": ("missing_optimize", "abandoned_table"),
+    "clusters": ("idle_cluster", "missing_autoscaling"),
+    "jobs": ("high_failure_job",),
+    "schedules": ("job_without_schedule",),
+    "runs": ("long_running_job",),
+}
+ALL_KINDS = tuple(kind for kinds in KINDS.values() for kind in kinds)
+
+
+def _found(df: DataFrame, kinds: tuple[str, ...], pairs: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Issues of the wanted kinds; rules that are not wanted are not in the plan."""
+    return matches(df, *[pair for kind, pair in pairs.items() if kind in kinds])
+
+
+def _all_of(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _issue(
     kind: str,
     *,
@@ -56,13 +77,16 @@ def _stamped(issues: DataFrame, as_of: T.AsOf) -> DataFrame:
 
 
 def audit_storage(
-    tables: DataFrame, *, as_of: T.AsOf, cfg: EngineConfig = DEFAULT
+    tables: DataFrame,
+    *,
+    as_of: T.AsOf,
+    cfg: EngineConfig = DEFAULT,
+    kinds: tuple[str, ...] = KINDS["storage"],
 ) -> DataFrame:
     size, full = F.col("size_gb"), F.col("full_table_name")
     unoptimised = F.col("is_delta") & F.col("has_small_files") & (size > cfg.optimize_min_gb)
-    issues = matches(
-        tables,
-        (
+    pairs = {
+        "missing_optimize": (
             unoptimised,
             _issue(
                 "missing_optimize",
@@ -74,7 +98,7 @@ def audit_storage(
                 facts=("size_gb",),
             ),
         ),
-        (
+        "abandoned_table": (
             F.col("is_abandoned"),
             _issue(
                 "abandoned_table",
@@ -86,18 +110,22 @@ def audit_storage(
                 facts=("size_gb",),
             ),
         ),
-    )
-    return _stamped(issues, as_of)
+    }
+    return _stamped(_found(tables, kinds, pairs), as_of)
 
 
 def audit_compute(
-    flags: DataFrame, jobs: DataFrame, *, as_of: T.AsOf, cfg: EngineConfig = DEFAULT
+    flags: DataFrame,
+    jobs: DataFrame,
+    *,
+    as_of: T.AsOf,
+    cfg: EngineConfig = DEFAULT,
+    kinds: tuple[str, ...] = KINDS["clusters"] + KINDS["jobs"],
 ) -> DataFrame:
     idle, workers = F.col("idle_hours"), F.col("num_workers")
     named = dict(resource_id=F.col("cluster_id"), resource_name=F.col("cluster_name"))
-    cluster_issues = matches(
-        flags,
-        (
+    on_clusters = {
+        "idle_cluster": (
             F.col("is_idle") & (idle > cfg.idle_hours),
             _issue(
                 "idle_cluster",
@@ -108,7 +136,7 @@ def audit_compute(
                 facts=("idle_hours", "num_workers"),
             ),
         ),
-        (
+        "missing_autoscaling": (
             ~F.col("has_autoscaling") & (workers > cfg.autoscaling_min_workers),
             _issue(
                 "missing_autoscaling",
@@ -118,10 +146,9 @@ def audit_compute(
                 facts=("idle_hours", "num_workers"),
             ),
         ),
-    )
-    job_issues = matches(
-        jobs,
-        (
+    }
+    on_jobs = {
+        "high_failure_job": (
             is_failing(cfg),
             _issue(
                 "high_failure_job",
@@ -133,49 +160,52 @@ def audit_compute(
                 facts=("failed_runs", "avg_duration_hours"),
             ),
         ),
-    )
-    return _stamped(cluster_issues.unionByName(job_issues), as_of)
+    }
+    parts = [
+        _found(df, kinds, pairs)
+        for df, pairs in ((flags, on_clusters), (jobs, on_jobs))
+        if any(kind in kinds for kind in pairs)
+    ]
+    return _stamped(_all_of(parts), as_of)
 
 
 def audit_workflows(
-    jobs: DataFrame, runs: DataFrame, *, as_of: T.AsOf, cfg: EngineConfig = DEFAULT
+    jobs: DataFrame,
+    runs: DataFrame,
+    *,
+    as_of: T.AsOf,
+    cfg: EngineConfig = DEFAULT,
+    kinds: tuple[str, ...] = KINDS["schedules"] + KINDS["runs"],
 ) -> DataFrame:
-    unscheduled = matches(
-        jobs,
-        (
-            ~F.col("has_schedule"),
-            _issue(
-                "job_without_schedule",
-                resource_id=F.col("job_id"),
-                resource_name=F.col("job_name"),
-                severity="medium",
-            ),
-        ),
-    )
-    spent = F.col("duration_hours")
-    long_runs = top_n(
-        runs_since(runs, cfg.long_runs_days, as_of=as_of)
-        .filter(spent > cfg.long_run_hours)
-        .select("workspace_name", "run_id", "run_name", "duration_hours"),
-        cfg.long_runs_listed,
-        ["workspace_name"],
-        [spent.desc(), F.col("run_id")],
-    )
-    running_long = matches(
-        long_runs.withColumn("avg_duration_hours", spent),
-        (
-            F.lit(True),
-            _issue(
-                "long_running_job",
-                resource_id=F.col("run_id"),
-                resource_name=F.col("run_name"),
-                severity="medium",
-                say=(spent,),
-                facts=("avg_duration_hours",),
-            ),
-        ),
-    )
-    return _stamped(unscheduled.unionByName(running_long), as_of)
+    parts = []
+    if "job_without_schedule" in kinds:
+        row = _issue(
+            "job_without_schedule",
+            resource_id=F.col("job_id"),
+            resource_name=F.col("job_name"),
+            severity="medium",
+        )
+        parts.append(matches(jobs, (~F.col("has_schedule"), row)))
+    if "long_running_job" in kinds:
+        spent = F.col("duration_hours")
+        long_runs = top_n(
+            runs_since(runs, cfg.long_runs_days, as_of=as_of)
+            .filter(spent > cfg.long_run_hours)
+            .select("workspace_name", "run_id", "run_name", "duration_hours"),
+            cfg.long_runs_listed,
+            ["workspace_name"],
+            [spent.desc(), F.col("run_id")],
+        )
+        row = _issue(
+            "long_running_job",
+            resource_id=F.col("run_id"),
+            resource_name=F.col("run_name"),
+            severity="medium",
+            say=(spent,),
+            facts=("avg_duration_hours",),
+        )
+        parts.append(matches(long_runs.withColumn("avg_duration_hours", spent), (F.lit(True), row)))
+    return _stamped(_all_of(parts), as_of)
 
 
 def audit_all(
@@ -187,15 +217,20 @@ def audit_all(
     as_of: T.AsOf,
     plain_jobs: DataFrame | None = None,
     cfg: EngineConfig = DEFAULT,
+    kinds: tuple[str, ...] = ALL_KINDS,
 ) -> DataFrame:
-    """Every issue of the three audits in one frame.
+    """Every issue of the wanted kinds in one frame; inputs no wanted rule reads stay unread.
 
     ``plain_jobs``, jobs without run statistics, spares the schedule check a
     join when ``jobs`` is not a stored table.
     """
+    if unknown := set(kinds) - set(ALL_KINDS) or not kinds:
+        raise ValueError(f"unknown kinds: {unknown}" if kinds else "no kinds")
     scheduled = jobs if plain_jobs is None else plain_jobs
-    return (
-        audit_storage(tables, as_of=as_of, cfg=cfg)
-        .unionByName(audit_compute(flags, jobs, as_of=as_of, cfg=cfg))
-        .unionByName(audit_workflows(scheduled, runs, as_of=as_of, cfg=cfg))
+    audits = (
+        (KINDS["storage"], lambda k: audit_storage(tables, as_of=as_of, cfg=cfg, kinds=k)),
+        (KINDS["clusters"] + KINDS["jobs"], lambda k: audit_compute(flags, jobs, as_of=as_of, cfg=cfg, kinds=k)),
+        (KINDS["schedules"] + KINDS["runs"], lambda k: audit_workflows(scheduled, runs, as_of=as_of, cfg=cfg, kinds=k)),
     )
+    wanted = [(tuple(k for k in of if k in kinds), audit) for of, audit in audits]
+    return _all_of([audit(k) for k, audit in wanted if k])

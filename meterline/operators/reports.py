@@ -13,6 +13,12 @@ from meterline.operators import savings as S
 from meterline.operators.scores import DIMENSIONS
 
 
+# Kinds of issues that a report can show; asking an audit for these alone keeps its plan short.
+STORAGE_KINDS = ("missing_optimize", "abandoned_table")
+QUICK_WIN_KINDS = ("idle_cluster", "abandoned_table")
+BACKLOG_KINDS = ("missing_optimize", "abandoned_table", "idle_cluster", "high_failure_job")
+
+
 def technical_checklist(issues: DataFrame) -> DataFrame:
     return issues.select(
         "workspace_name",

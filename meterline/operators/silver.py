@@ -132,6 +132,23 @@ def silver_tables(tables: DataFrame, *, as_of: T.AsOf, cfg: EngineConfig = DEFAU
     )
 
 
+def newest_collection(costs: DataFrame) -> DataFrame:
+    """Billing lines of the newest collection of each workspace, cloud and day.
+
+    Days are collected again for a month and appended; several true lines may share
+    every key, so a whole day's collection replaces the one before: lines that were
+    corrected or withdrawn go with it. A day is known to be collected by its lines.
+    """
+    day = ["workspace_name", "cloud", "date"]
+    newest = costs.groupBy(*day).agg(F.max("collect_timestamp").alias("_newest")).select(
+        *[F.col(c).alias(f"_{c}") for c in day], "_newest"
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in day]
+    stamp = F.col("collect_timestamp").eqNullSafe(F.col("_newest"))
+    on = same[0] & same[1] & same[2] & stamp
+    return costs.join(newest, on, "left_semi")
+
+
 def silver_billing(
     costs: DataFrame,
     *,

@@ -65,7 +65,7 @@ class Warehouse:
             self.replace(derive(newest, as_of=at, cfg=cfg), f"silver.{name}")
         runs = silver.latest_runs(self.known("bronze.compute_job_runs"))
         self.replace(silver.silver_job_runs(runs, as_of=at, cfg=cfg), "silver.compute_job_runs")
-        costs = self.known("bronze.billing_costs")
+        costs = silver.newest_collection(self.known("bronze.billing_costs"))
         self.replace(silver.silver_billing(costs, as_of=at, cfg=cfg), "silver.billing_costs")
 
         clusters, tables = self.read("silver.compute_clusters"), self.read("silver.storage_tables")

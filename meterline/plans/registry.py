@@ -68,8 +68,8 @@ _SAVING = (
 )
 _REC = "workspace_name rule_id resource_id category priority title impact complexity action"
 _MATURITY = (
-    "workspace_name maturity_score~ maturity_level compute_score~ storage_score~ "
-    "governance_score~ pipelines_score~ observability_score~ costs_score~"
+    "workspace_name maturity_score~8 maturity_level compute_score~8 storage_score~8 "
+    "governance_score~8 pipelines_score~8 observability_score~8 costs_score~8"
 )
 _PIPE = (
     "workspace_name resource_id resource_name pipeline_name product_name sla_tier "
@@ -82,9 +82,9 @@ _EST = (
     "dbu_per_hour~ estimated_dbu_cost~ estimated_monthly_cost~"
 )
 _BASE = (
-    "workspace_name baseline_date cloud framework_version maturity_score~ maturity_level "
-    "compute_score~ storage_score~ governance_score~ pipelines_score~ observability_score~ "
-    "costs_score~ estimated_monthly_cost~ estimated_annual_cost~ total_clusters total_jobs "
+    "workspace_name baseline_date cloud framework_version maturity_score~8 maturity_level "
+    "compute_score~8 storage_score~8 governance_score~8 pipelines_score~8 observability_score~8 "
+    "costs_score~8 estimated_monthly_cost~ estimated_annual_cost~ total_clusters total_jobs "
     "total_tables total_storage_tb~"
 )
 
@@ -118,6 +118,34 @@ def _roi_confidence(e: Estate) -> DataFrame:
     return benchmarks.roi_confidence(e.reconciliation, saved, cfg=e.cfg)
 
 
+_ROI = (
+    "current_monthly_cost", "estimated_monthly_cost", "estimated_monthly_savings",
+    "estimated_annual_savings", "reduction_percentage", "confidence", "margin_of_error",
+)
+
+
+def _flat_report(report: DataFrame) -> DataFrame:
+    """All fields of the nested report; each array is one text of its rows in order."""
+
+    def listed(name: str, *fields: str):
+        row = F.transform(name, lambda x: F.concat_ws("|", *[x[f] for f in fields]))
+        return F.array_join(row, ";")
+
+    return report.select(
+        "workspace_name",
+        "report_date",
+        "baseline_date",
+        "executive_summary.*",
+        "new_resources.*",
+        listed(
+            "recommendations_status", "recommendation_title", "category", "priority", "status"
+        ).alias("statuses"),
+        listed("critical_issues", "issue_type", "resource_id", "severity", "recommended_action").alias("critical"),
+        *[F.col(f"roi_analysis.{c}").alias(f"roi_{c}") for c in _ROI],
+        "maturity_breakdown.*",
+    )
+
+
 _BILL = "workspace_name cloud date resource_id service cost~6 currency"
 
 REPORTS: dict[str, Report] = {
@@ -289,24 +317,24 @@ REPORTS: dict[str, Report] = {
     ),
     # ---- scores
     "score_compute": Report(
-        lambda e: scores.score_compute(e.flags, e.gold_jobs), "workspace_name compute_score~"
+        lambda e: scores.score_compute(e.flags, e.gold_jobs), "workspace_name compute_score~8"
     ),
     "score_storage": Report(
         lambda e: scores.score_storage(e.tables), "workspace_name storage_score~8"
     ),
     "score_governance": Report(
-        lambda e: scores.score_governance(e.tables), "workspace_name governance_score~"
+        lambda e: scores.score_governance(e.tables), "workspace_name governance_score~8"
     ),
     "score_pipelines": Report(
-        lambda e: scores.score_pipelines(e.gold_jobs), "workspace_name pipelines_score~"
+        lambda e: scores.score_pipelines(e.gold_jobs), "workspace_name pipelines_score~8"
     ),
     "score_observability": Report(
         lambda e: scores.score_observability(e.clusters, e.jobs),
-        "workspace_name observability_score~",
+        "workspace_name observability_score~8",
     ),
     "score_costs": Report(
         lambda e: scores.score_costs(e.estimates, e.before.cost_baseline, cfg=e.cfg),
-        "workspace_name costs_score~",
+        "workspace_name costs_score~8",
     ),
     "cost_trend_score": Report(
         lambda e: scores.cost_trend_score(e.daily, cfg=e.cfg),
@@ -320,7 +348,7 @@ REPORTS: dict[str, Report] = {
     "create_baseline": Report(lambda e: e.baseline, _BASE),
     "latest_baseline": Report(
         lambda e: baselines.latest_baseline(_both_baselines(e)),
-        "workspace_name baseline_date maturity_score~ estimated_monthly_cost~ total_clusters "
+        "workspace_name baseline_date maturity_score~8 estimated_monthly_cost~ total_clusters "
         "total_jobs",
     ),
     "compare_baselines": Report(
@@ -426,20 +454,27 @@ REPORTS: dict[str, Report] = {
         "workspace_name category issue_type resource_name severity recommended_action status",
     ),
     "prioritized_backlog": Report(
-        lambda e: reports.prioritized_backlog(e.issues, cfg=e.cfg),
+        lambda e: reports.prioritized_backlog(e.issues_of(reports.BACKLOG_KINDS), cfg=e.cfg),
         "workspace_name priority category issue_type resource_id action "
         "estimated_savings_usd_month~ estimated_savings_usd_year~ complexity effort_hours~",
     ),
     "quick_wins": Report(
-        lambda e: reports.quick_wins(e.issues, cfg=e.cfg),
+        lambda e: reports.quick_wins(e.issues_of(reports.QUICK_WIN_KINDS), cfg=e.cfg),
         "workspace_name alert_type category resource_id title action "
         "estimated_savings_usd_month~ estimated_savings_usd_year~ effort_hours~ complexity "
         "urgency",
     ),
     "executive_report": Report(
-        lambda e: e.report,
-        "workspace_name report_date baseline_date executive_summary new_resources "
-        "recommendations_status critical_issues roi_analysis maturity_breakdown",
+        lambda e: _flat_report(e.report),
+        "workspace_name report_date baseline_date current_maturity_score~8 "
+        "current_maturity_level total_issues high_priority_issues medium_priority_issues "
+        "recommendations_implemented recommendations_not_implemented regressions_detected "
+        "estimated_monthly_savings~ estimated_annual_savings~ reduction_percentage~ new_clusters "
+        "new_tables new_jobs statuses critical roi_current_monthly_cost~ "
+        "roi_estimated_monthly_cost~ roi_estimated_monthly_savings~ "
+        "roi_estimated_annual_savings~ roi_reduction_percentage~ roi_confidence "
+        "roi_margin_of_error compute_score~8 storage_score~8 governance_score~8 "
+        "pipelines_score~8 observability_score~8 costs_score~8",
     ),
     # ---- published queries
     "kpi_top_clusters": Report(
@@ -473,7 +508,7 @@ REPORTS: dict[str, Report] = {
     "kpi_recommendations": Report(lambda e: kpis.kpi_recommendations(e.recommendations), _REC),
     "q_list_baselines": Report(
         lambda e: kpis.q_list_baselines(_both_baselines(e)),
-        "workspace_name baseline_date maturity_score~ maturity_level estimated_monthly_cost~ "
+        "workspace_name baseline_date maturity_score~8 maturity_level estimated_monthly_cost~ "
         "total_clusters total_jobs framework_version",
     ),
     "q_dbu_by_cluster": Report(lambda e: kpis.q_dbu_by_cluster(e.estimates), _EST),
@@ -533,7 +568,7 @@ REPORTS: dict[str, Report] = {
     ),
     "q_exec_report": Report(
         lambda e: kpis.q_exec_report(e.report),
-        "workspace_name report_date current_maturity_score~ current_maturity_level total_issues "
+        "workspace_name report_date current_maturity_score~8 current_maturity_level total_issues "
         "high_priority_issues estimated_monthly_savings~ estimated_annual_savings~ "
         "reduction_percentage~",
     ),
@@ -542,17 +577,19 @@ REPORTS: dict[str, Report] = {
         "workspace_name recommendation_title category priority status",
     ),
     "q_quick_wins": Report(
-        lambda e: kpis.q_quick_wins(reports.quick_wins(e.issues, cfg=e.cfg)),
+        lambda e: kpis.q_quick_wins(reports.quick_wins(e.issues_of(reports.QUICK_WIN_KINDS), cfg=e.cfg)),
         "workspace_name title category action estimated_savings_usd_month~ "
         "estimated_savings_usd_year~ effort_hours~ complexity",
     ),
     "q_backlog": Report(
-        lambda e: kpis.q_backlog(reports.backlog_items(e.issues, cfg=e.cfg)),
+        lambda e: kpis.q_backlog(reports.backlog_items(e.issues_of(reports.BACKLOG_KINDS), cfg=e.cfg)),
         "workspace_name priority category action estimated_savings_usd_month~ "
         "estimated_savings_usd_year~ complexity effort_hours~",
     ),
     "q_checklist_by_category": Report(
-        lambda e: kpis.q_checklist_by_category(reports.technical_checklist(e.issues), "storage"),
+        lambda e: kpis.q_checklist_by_category(
+            reports.technical_checklist(e.issues_of(reports.STORAGE_KINDS)), "storage"
+        ),
         "workspace_name category severity issue_type resource_name recommended_action status",
     ),
     "q_roi_analysis": Report(
@@ -580,14 +617,14 @@ REPORTS: dict[str, Report] = {
         lambda e: kpis.q_score_history(_both_maturities(e)).withColumn(
             "scored_on", F.col("process_timestamp").cast("date")
         ),
-        "workspace_name scored_on maturity_score~ maturity_level compute_score~ storage_score~",
+        "workspace_name scored_on maturity_score~8 maturity_level compute_score~8 storage_score~8",
     ),
     "q_job_schedule_type": Report(
-        lambda e: kpis.q_job_schedule_type(e.bronze.jobs),
+        lambda e: kpis.q_job_schedule_type(e.jobs),
         "workspace_name job_id job_name tipo_execucao",
     ),
     "q_job_run_minutes": Report(
-        lambda e: kpis.q_job_run_minutes(e.bronze.runs, as_of=e.as_of),
+        lambda e: kpis.q_job_run_minutes(e.runs, as_of=e.as_of),
         "workspace_name job_id total_runs successful_runs avg_duration_minutes~8",
     ),
     "q_large_tables": Report(
@@ -595,7 +632,7 @@ REPORTS: dict[str, Report] = {
         "workspace_name full_table_name size_in_bytes size_gb~ num_files days_since_accessed",
     ),
     "q_daily_cost_currency": Report(
-        lambda e: kpis.q_daily_cost_currency(e.bronze.billing, as_of=e.as_of),
+        lambda e: kpis.q_daily_cost_currency(e.billing, as_of=e.as_of),
         "workspace_name date currency daily_cost~6",
     ),
     "q_cluster_status": Report(

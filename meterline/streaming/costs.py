@@ -1,14 +1,13 @@
-"""Incremental daily cost: tumbling one-day windows with late rows."""
+"""Incremental daily cost: a day's newest collection counts, however late it comes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from meterline.functions.frames import latest
 from meterline.schemas import TABLES
 
-COST_DELAY = "35 days"
+DAY = ["workspace_name", "cloud", "date_parsed"]
 
 
 def billing_stream(spark: SparkSession, path: str, *, files_per_trigger: int = 1000) -> DataFrame:
@@ -20,39 +19,30 @@ def billing_stream(spark: SparkSession, path: str, *, files_per_trigger: int = 1
     )
 
 
-def daily_cost_stream(silver_billing: DataFrame, *, delay: str = COST_DELAY) -> DataFrame:
-    """Cost per workspace and day; a late row inside ``delay`` changes its day again."""
-    return (
-        silver_billing.withColumn("ts", F.col("date_parsed").cast("timestamp"))
-        .withWatermark("ts", delay)
-        .groupBy("workspace_name", F.window("ts", "1 day").alias("day"))
-        .agg(F.sum("cost_usd").alias("daily_cost_usd"))
-        .select("workspace_name", F.col("day.start").cast("date").alias("date_parsed"), "daily_cost_usd")
-    )
-
-
 def store_updates(
-    daily: DataFrame, target: str, checkpoint: str, *, available_now: bool = True
+    silver_billing: DataFrame, target: str, checkpoint: str, *, available_now: bool = True
 ) -> StreamingQuery:
-    """Keep every update of a day under its batch number.
+    """Keep each batch's cost of every workspace, cloud, day and collection.
 
-    A batch that is retried writes the same folder again, so no update is stored
-    twice.
+    A later collection replaces a day instead of adding to it, so sums stay apart by
+    the time of collection; one collection may come in several batches. Nothing is
+    remembered between batches and no row is too late. A batch that is retried writes
+    the same folder again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch_id={number}")
+        sums = batch.groupBy(*DAY, "collect_timestamp").agg(F.sum("cost_usd").alias("cost_usd"))
+        sums.write.mode("overwrite").parquet(f"{target}/batch_id={number}")
 
-    writer = daily.writeStream.outputMode("update").foreachBatch(write).option(
-        "checkpointLocation", checkpoint
-    )
+    writer = silver_billing.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
 
 
 def current_daily_cost(spark: SparkSession, target: str) -> DataFrame:
-    """Newest value of each day."""
-    updates = spark.read.parquet(target)
-    newest = latest(updates, ["date_parsed", "workspace_name"], [F.col("batch_id").desc()])
-    return newest.drop("batch_id")
+    """Cost of each workspace and day by the newest collection of each of its clouds."""
+    sums = spark.read.parquet(target)
+    by_collection = sums.groupBy(*DAY, "collect_timestamp").agg(F.sum("cost_usd").alias("cost_usd"))
+    newest = by_collection.groupBy(*DAY).agg(F.max_by("cost_usd", "collect_timestamp").alias("cost_usd"))
+    return newest.groupBy("workspace_name", "date_parsed").agg(F.sum("cost_usd").alias("daily_cost_usd"))

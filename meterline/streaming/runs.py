@@ -1,19 +1,14 @@
-"""Incremental run ingest: every run once, although pages repeat the last 30 days."""
+"""Incremental run ingest: the newest state of every run, although pages repeat."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from meterline.config import DEFAULT, EngineConfig
-from meterline.functions import timeutil as T
-from meterline.operators.silver import silver_job_runs
+from meterline.operators.silver import latest_runs
 from meterline.schemas import TABLES, struct_of
 from meterline.sources.payloads import RUN_LINE, runs_of_pages
 
-# Longer than the collector's look-back, so a repeat always meets its first copy's state.
-RUN_DELAY = "35 days"
-
 
 def page_stream(spark: SparkSession, path: str, *, files_per_trigger: int = 1000) -> DataFrame:
     """New page files as bronze runs."""
@@ -34,35 +29,32 @@ def bronze_stream(spark: SparkSession, path: str, *, files_per_trigger: int = 10
     )
 
 
-def unique_runs(
-    runs: DataFrame, *, as_of: T.AsOf, delay: str = RUN_DELAY, cfg: EngineConfig = DEFAULT
-) -> DataFrame:
-    """Silver runs, first arrival of each. State is dropped once a run is older than ``delay``.
+def store_updates(
+    runs: DataFrame, target: str, checkpoint: str, *, available_now: bool = True
+) -> StreamingQuery:
+    """Keep each batch's newest copy of every run under the batch's number.
 
-    The event time is the collection time: a repeat arrives at most one look-back
-    after its first copy, whatever the run's own age.
+    Pages repeat the last 30 days, and a run that was in flight comes again when it
+    is finished. Nothing is remembered between batches and no row is too late; a
+    batch that is retried writes the same folder again.
     """
-    once = runs.withWatermark("collect_timestamp", delay).dropDuplicatesWithinWatermark(
-        ["workspace_name", "run_id"]
-    )
-    return silver_job_runs(once, as_of=as_of, cfg=cfg)
 
+    def write(batch: DataFrame, number: int) -> None:
+        latest_runs(batch).write.mode("overwrite").parquet(f"{target}/batch_id={number}")
 
-def ingest(
-    silver_runs: DataFrame, target: str, checkpoint: str, *, available_now: bool = True
-) -> StreamingQuery:
-    """Write the stream as parquet; the file sink and checkpoint give each run exactly once.
-
-    Folders are months only: a micro-batch holds a few recent months, so the number
-    of files stays near the number of tasks whatever the number of workspaces.
-    """
-    writer = (
-        silver_runs.writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy("start_month")
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-    )
+    writer = runs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def current_runs(spark: SparkSession, target: str) -> DataFrame:
+    """Newest copy of each run over all batches, as the batch path has it."""
+    return latest_runs(spark.read.parquet(target).drop("batch_id"))
+
+
+def compact(spark: SparkSession, target: str, compacted: str) -> None:
+    """Write the current runs as one batch of a new folder, by month of their start."""
+    month = F.trunc(F.timestamp_millis("start_time").cast("date"), "month")
+    rows = current_runs(spark, target).withColumn("start_month", month)
+    rows.hint("rebalance", "start_month").write.partitionBy("start_month").parquet(f"{compacted}/batch_id=-1")

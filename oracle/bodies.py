@@ -34,11 +34,13 @@ select concat(cloud, '_costs') as table_name, true as has_files, true as has_byt
     "src_billing_azure": """
 select workspace_name, cloud, cast(cost_date as varchar) as date, resource_id, 'cluster' as resource_type, 'rg' as resource_group, cost, currency from fx_billing where cloud = 'azure'""",
     "src_billing_aws": "select *, cast(cost_date as varchar) as date from fx_billing where cloud = 'aws'",
-    "src_billing_gcp": "select *, cast(cost_date as varchar) as date from fx_billing where cloud = 'gcp'",
+    "src_billing_gcp": """
+select *, cast(cost_date as varchar) as date from fx_billing
+where cloud = 'gcp' and date_trunc('month', cost_date) between date '2001-08-01' - 1000 and date '2001-08-01'""",
     "src_billing": """
 select workspace_name, cloud, cast(cost_date as varchar) as date, resource_id, case when cloud <> 'azure' then service end as service, cost, currency,
   case when cloud = 'azure' then 'cluster' end as resource_type
-from fx_billing""",
+from fx_billing where cloud <> 'gcp' or date_trunc('month', cost_date) between date '2001-08-01' - 1000 and date '2001-08-01'""",
     "stream_job_runs": "runs_2",
     "stream_daily_cost": "daily_2",
     "silver_clusters": "clusters_2",
@@ -205,6 +207,16 @@ select workspace_name, sla_tier, count(*) as pipeline_count, sum(estimated_month
 select workspace_name, cost_per_tb as meu_custo_por_tb, cost_per_tb_level, case cost_per_tb_level when 'excellent' then 'Top 10% da indústria' when 'good' then 'Top 25% da indústria'
   when 'average' then 'Mediana da indústria' else 'Abaixo da mediana' end as interpretacao from bench_2""",
     "q_top_pipelines": _top("pipes_2", 20, "estimated_monthly_cost desc, resource_id"),
+    "executive_report": """
+select n.*, coalesce(x.new_clusters, 0) as new_clusters, coalesce(x.new_tables, 0) as new_tables, coalesce(x.new_jobs, 0) as new_jobs,
+  coalesce(s.text, '') as statuses, coalesce(c.text, '') as critical,
+  r.current_monthly_cost as roi_current_monthly_cost, r.estimated_monthly_cost as roi_estimated_monthly_cost, r.estimated_monthly_savings as roi_estimated_monthly_savings,
+  r.estimated_annual_savings as roi_estimated_annual_savings, r.reduction_percentage as roi_reduction_percentage, r.confidence as roi_confidence, r.margin_of_error as roi_margin_of_error,
+  m.compute_score, m.storage_score, m.governance_score, m.pipelines_score, m.observability_score, m.costs_score
+from report n left join newres x using (workspace_name) left join roi_2 r using (workspace_name) left join maturity_2 m using (workspace_name)
+left join (select workspace_name, string_agg(concat_ws('|', recommendation_title, category, priority, status), ';' order by rule_id, resource_id) as text from fate group by workspace_name) s using (workspace_name)
+left join (select workspace_name, string_agg(concat_ws('|', issue_type, resource_id, severity, recommended_action), ';' order by issue_type, resource_id) as text
+  from (select *, row_number() over (partition by workspace_name order by issue_type, resource_id) as rn from issues_2 where severity = 'high') h where rn <= 10 group by workspace_name) c using (workspace_name)""",
     "q_exec_report": "report",
     "q_recommendation_status": "fate",
     "q_quick_wins": "select *, m as estimated_savings_usd_month from wins_2",
@@ -225,13 +237,13 @@ from report_names n left join newres r using (workspace_name)""",
 select workspace_name, date '2001-06-02' as scored_on, maturity_score, maturity_level, compute_score, storage_score from maturity_0
 union all select workspace_name, date '2001-08-01', maturity_score, maturity_level, compute_score, storage_score from maturity_2""",
     "q_job_schedule_type": """
-select workspace_name, job_id, job_name, case when schedule is not null and trim(schedule) not in ('', 'null', 'None', '{}', '[]') then 'Agendado' else 'Manual' end as tipo_execucao from fx_jobs""",
+select workspace_name, job_id, job_name, case when schedule is not null and trim(schedule) not in ('', 'null', 'None', '{}', '[]') then 'Agendado' else 'Manual' end as tipo_execucao from jobs_2""",
     "q_job_run_minutes": """
 select workspace_name, job_id, count(*) as total_runs, count(*) filter (where result_state = 'SUCCESS') as successful_runs, avg(execution_duration / 60000e0) as avg_duration_minutes
-from fx_runs where start_ms >= 996624000000 - 30 * 86400000::bigint group by workspace_name, job_id""",
+from runs_2 where start_ms >= 996624000000 - 30 * 86400000::bigint group by workspace_name, job_id""",
     "q_large_tables": _top("tables_2", 20, "size_in_bytes desc, full_table_name", "size_in_bytes > 1073741824"),
     "q_daily_cost_currency": """
-select workspace_name, cast(cost_date as varchar) as date, currency, sum(cost) as daily_cost from fx_billing where cost_date >= date '2001-07-02' group by all""",
+select workspace_name, cast(date_parsed as varchar) as date, currency, sum(cost) as daily_cost from billing_2 where date_parsed >= date '2001-07-02' group by all""",
     "q_cluster_status": "select *, case when idle_hours > 4 then 'Ocioso' when idle_hours > 2 then 'Subutilizado' else 'Ativo' end as status from clusters_2 where is_running",
     "q_cluster_class": _top(
         """(select *, case when utilization_score >= 0.8e0 then 'Otimizado' when utilization_score >= 0.6e0 then 'Bom' when utilization_score >= 0.4e0 then 'Regular' else 'Ruim' end as classificacao from flags_2) c""",

@@ -34,15 +34,21 @@ select concat('ws_', cast(p_partkey % 25 as string)) as workspace_name,
 from part cross join fx_snap where s = 2 or p_partkey % 19 <> 0
 """,
     "fx_runs": """
+with l as (
+  select *, cast(l_shipdate as date) - 95 as start_date, (l_orderkey * 31 + l_linenumber * 17) % 100 < l_partkey % 45 as fails,
+    (l_orderkey + l_linenumber) % 9 = 0 as twice from lineitem
+), c as (select *, false as flying from l union all select *, true from l where twice)
 select concat('ws_', cast(l_partkey % 25 as string)) as workspace_name,
-  case (l_partkey % 25) % 3 when 0 then 'azure' when 1 then 'aws' else 'gcp' end as cloud, l_partkey as job_id, l_suppkey,
-  l_orderkey * 10 + l_linenumber as run_id,
-  case when (l_orderkey * 31 + l_linenumber * 17) % 100 < l_partkey % 45 then 'FAILED' when (l_orderkey + l_linenumber) % 50 = 0 then 'CANCELLED' else 'SUCCESS' end as result_state,
-  cast(l_shipdate as date) as start_date, epoch_ms(cast(cast(l_shipdate as date) as timestamp)) as start_ms,
-  cast(l_quantity as bigint) * (l_partkey % 12 + 1) * 60000 as execution_duration, l_suppkey * 1000 as setup_duration, l_linenumber * 1500 as cleanup_duration,
+  case (l_partkey % 25) % 3 when 0 then 'azure' when 1 then 'aws' else 'gcp' end as cloud, l_partkey as job_id,
+  ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey as run_id,
+  case when flying then 'RUNNING' when fails then 'FAILED' when (l_orderkey + l_linenumber) % 50 = 0 then 'CANCELLED' else 'SUCCESS' end as result_state,
+  epoch_ms(cast(start_date as timestamp)) as start_ms,
+  case when flying then 0 else cast(l_quantity as bigint) * (l_partkey % 12 + 1) * 60000 end as execution_duration, l_suppkey * 1000 as setup_duration,
+  case when flying then 0 else l_linenumber * 1500 end as cleanup_duration,
   concat('{"cluster_id": "c-', cast(l_partkey % 25 + 25 * (l_orderkey % 8) as string), '"}') as cluster_instance,
-  case when (l_orderkey * 31 + l_linenumber * 17) % 100 < l_partkey % 45 then concat('{"code": "E', cast(l_suppkey % 12 as string), '"}') else '{}' end as error
-from lineitem where l_shipdate <= timestamp '2001-08-01 00:00:00'
+  case when fails and not flying then concat('{"code": "E', cast(l_suppkey % 12 as string), '"}') else '{}' end as error,
+  epoch_ms(cast(start_date as timestamp)) + case when twice and not flying then 86400000 else 0 end as collect_ms
+from c
 """,
     "fx_tables": """
 select concat('ws_', cast(p_partkey % 25 as string)) as workspace_name,
@@ -61,7 +67,10 @@ from part cross join fx_snap where s = 2 or p_partkey % 23 <> 0
 select concat('ws_', cast(o_custkey % 25 as string)) as workspace_name,
   case (o_custkey % 25) % 3 when 0 then 'azure' when 1 then 'aws' else 'gcp' end as cloud,
   cast(o_orderdate as date) as cost_date, concat('c-', cast(o_custkey as string)) as resource_id, o_orderpriority as service,
-  o_totalprice / 1000 as cost, case when o_orderkey % 10 = 0 then 'EUR' else 'USD' end as currency
-from orders where o_orderdate <= timestamp '2001-08-01 00:00:00'
+  case when pass = 0 and o_orderkey % 11 = 5 then o_totalprice / 2000 else o_totalprice / 1000 end as cost,
+  case when o_orderkey % 10 = 0 then 'EUR' else 'USD' end as currency,
+  epoch_ms(cast(cast(o_orderdate as date) as timestamp)) + pass * 20 * 86400000::bigint as collect_ms
+from orders, (select 0 as pass union all select 1)
+where case when pass = 0 then o_orderkey % 7 <> 3 else o_orderkey % 13 <> 4 end
 """,
 }

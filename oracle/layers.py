@@ -27,8 +27,8 @@ select workspace_name, cloud, job_id, run_id, result_state, start_ms, execution_
   execution_duration / 1000e0 as duration_seconds, execution_duration / 3600000e0 as duration_hours,
   result_state = 'SUCCESS' as is_success, result_state = 'FAILED' as is_failed, result_state = 'CANCELLED' as is_cancelled,
   (error is not null and trim(error) not in ('', 'null', 'None', '{}', '[]')) as has_error
-from (select *, row_number() over (partition by workspace_name, run_id order by start_date desc, job_id, execution_duration, l_suppkey) as rn
-      from fx_runs where start_ms <= @NOW) t
+from (select *, row_number() over (partition by workspace_name, run_id order by collect_ms desc) as rn
+      from fx_runs where collect_ms <= @NOW) t
 where rn = 1
 """,
     "tables_@S": """
@@ -47,7 +47,8 @@ from (
     "billing_@S": """
 select workspace_name, cloud, cost_date as date_parsed, cast(year(cost_date) as integer) as year, cast(month(cost_date) as integer) as month,
   cast(day(cost_date) as integer) as day, resource_id, service, cost, currency, cost as cost_usd
-from fx_billing where epoch_ms(cast(cost_date as timestamp)) <= @NOW
+from (select *, max(collect_ms) over (partition by workspace_name, cloud, cost_date) as newest from fx_billing where collect_ms <= @NOW) t
+where collect_ms = newest
 """,
     # ------------------------------------------------------------ gold
     "flags_@S": """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +39,18 @@ def test_top_n_is_trimmed_before_the_shuffle(spark, tiny):
     assert "Partial" in plan.split("WindowGroupLimit", 1)[1] or plan.count("WindowGroupLimit") >= 2
 
 
+@pytest.mark.parametrize("key", ["quick_wins", "q_quick_wins", "q_checklist_by_category"])
+def test_rules_that_are_not_asked_for_are_not_planned(spark, tiny, key):
+    assert "lineitem" not in plan_of(REPORTS[key].build(estate(spark, tiny)))
+
+
+@pytest.mark.parametrize("key", ["total_roi", "prioritized_backlog", "q_backlog"])
+def test_facts_are_read_once(spark, tiny, key):
+    plan = plan_of(REPORTS[key].build(estate(spark, tiny)))
+    scans = re.findall(r"FileScan parquet [^\n]*lineitem", plan)
+    assert len(scans) == 1
+
+
 def test_only_needed_columns_are_read(spark, tiny):
     e = estate(spark, tiny)
     plan = plan_of(e.daily)

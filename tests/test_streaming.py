@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meterline import fixtures_payloads as files
-from meterline.fixtures import AS_OF, DAY, Bronze, estate
+from meterline.fixtures import Bronze, estate
 from meterline.operators import silver
 from meterline.streaming import costs, runs
 
@@ -15,28 +15,46 @@ def keys(df):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
-def test_pages_streamed_twice_give_each_run_once(spark, tiny, tmp_path):
-    once = silver.latest_runs(Bronze(spark, tiny).runs)
-    cut = AS_OF - 200 * DAY
+def test_pages_streamed_twice_end_with_the_newest_state(spark, tiny, tmp_path):
+    known = Bronze(spark, tiny).runs
+    once = silver.latest_runs(known)
     source, target, checkpoint = (str(tmp_path / p) for p in ("in", "out", "cp"))
-    parts = [once.filter(F.col("start_time") < cut), once.filter(F.col("start_time") >= cut - 30 * DAY)]
-    for part in parts:
+    flying = F.col("result_state") == "RUNNING"
+    for part in (known.filter(flying), known.filter(~flying), known.filter(flying)):  # old copies come again
         files.run_pages(part).coalesce(4).write.mode("append").json(source)
-        stream = runs.unique_runs(runs.page_stream(spark, source), as_of=AS_OF)
-        runs.ingest(stream, target, checkpoint).awaitTermination()
-    assert keys(spark.read.parquet(target)) == keys(once)
+        runs.store_updates(runs.page_stream(spark, source), target, checkpoint).awaitTermination()
+    assert keys(runs.current_runs(spark, target)) == keys(once)
+    assert not [k for k in keys(once) if k[2] == "RUNNING"]
+    runs.compact(spark, target, str(tmp_path / "small"))
+    assert keys(runs.current_runs(spark, str(tmp_path / "small"))) == keys(once)
 
 
-def test_late_lines_change_their_day(spark, tiny):
+def test_stream_equals_batch(spark, tiny):
+    e = estate(spark, tiny)
+    assert keys(files.stream_job_runs(e.bronze)) == keys(e.runs)
+
+
+def test_days_collected_again_are_replaced(spark, tiny):
     e = estate(spark, tiny)
     got = {(r.workspace_name, r.date_parsed): round(r.daily_cost_usd, 6) for r in files.stream_daily_cost(e.bronze).collect()}
     want = {(r.workspace_name, r.date_parsed): round(r.daily_cost_usd, 6) for r in e.daily.collect()}
     assert got == want
 
 
+def test_collecting_twice_changes_nothing(spark, tiny):
+    bill = Bronze(spark, tiny).billing
+    total = lambda df: df.agg(F.round(F.sum("cost"), 4)).first()[0]
+    old = bill.filter("date < '1999-01-01'")
+    newest = silver.newest_collection(old)
+    both = old.unionByName(newest.withColumn("collect_timestamp", F.col("collect_timestamp") + F.expr("interval 90 days")))
+    assert total(silver.newest_collection(both)) == total(newest) < total(old)
+
+
 def test_retried_batch_is_stored_once(spark, tmp_path):
     target = str(tmp_path / "t")
-    day = spark.sql("select 'w' workspace_name, date'2024-01-01' date_parsed, 1.0D daily_cost_usd")
-    for value in (0, 0, 1):
-        day.withColumn("daily_cost_usd", F.lit(float(value))).write.mode("overwrite").parquet(f"{target}/batch_id={value}")
-    assert [r.daily_cost_usd for r in costs.current_daily_cost(spark, target).collect()] == [1.0]
+    day = spark.sql("select 'w' workspace_name, 'aws' cloud, date'2024-01-01' date_parsed, timestamp'2024-01-02' collect_timestamp, 1.0D cost_usd")
+    for number, value in ((0, 5), (0, 2), (1, 3)):
+        day.withColumn("cost_usd", F.lit(float(value))).write.mode("overwrite").parquet(f"{target}/batch_id={number}")
+    later = day.selectExpr("workspace_name", "'gcp' cloud", "date_parsed", "timestamp'2024-02-02' collect_timestamp", "7.0D cost_usd")
+    later.write.mode("overwrite").parquet(f"{target}/batch_id=2")
+    assert [r.daily_cost_usd for r in costs.current_daily_cost(spark, target).collect()] == [12.0]
