@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from meterline.llm.common import arrow_schema, table
 
 #: Code points after which a block of documents is closed.
-BLOCK = 12_000_000
+BLOCK = 32_000_000
 #: Occurrences in a block from which positions travel with the block.
 FREQUENT = 16
 
@@ -79,7 +79,7 @@ def _small(values: np.ndarray) -> np.ndarray:
 
 
 def _packed(value) -> bytes:
-    return zstandard.compress(pickle.dumps(value, 5), 3)
+    return zstandard.compress(pickle.dumps(value, 5), 9)
 
 
 def _unpacked(data: bytes):
@@ -140,7 +140,7 @@ class _Splitter:
         rank[by_shard] = np.arange(len(spelt), dtype=np.int32)
         tokens, spelt, shard = rank[np.concatenate(self.tokens)], [spelt[i] for i in by_shard.tolist()], shard[by_shard]
         counts = np.bincount(tokens, minlength=len(spelt))
-        order = np.argsort(tokens, kind="stable")  # positions word by word, each in order
+        order = np.argsort(tokens, kind="stable").astype(np.int32)  # positions word by word, each in order
         first = np.cumsum(counts) - counts
         steps = order.copy()
         steps[1:] -= order[:-1]
