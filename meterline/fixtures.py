@@ -61,7 +61,7 @@ class Bronze:
         k = "c_custkey"
         return (
             self._with_snapshots(self.table("customer").select("c_custkey", "c_mktsegment"))
-            .filter("s = 2 or c_custkey % 17 <> 0")
+            .filter("(s = 2 or c_custkey % 17 <> 0) and (s < 2 or c_custkey % 29 <> 7)")
             .selectExpr(
                 _WS.format(k=k),
                 _URL.format(k=k),
@@ -93,7 +93,7 @@ class Bronze:
         k = "p_partkey"
         return (
             self._with_snapshots(self.table("part").select(k, "p_type", "p_name", "p_size"))
-            .filter("s = 2 or p_partkey % 19 <> 0")
+            .filter("(s = 2 or p_partkey % 19 <> 0) and (s < 2 or p_partkey % 31 <> 5)")
             .selectExpr(
                 _WS.format(k=k),
                 _URL.format(k=k),
@@ -153,7 +153,7 @@ class Bronze:
         k = "p_partkey"
         return (
             self._with_snapshots(self.table("part").select(k, "p_brand", "p_size"))
-            .filter("s = 2 or p_partkey % 23 <> 0")
+            .filter("(s = 2 or p_partkey % 23 <> 0) and (s < 2 or p_partkey % 37 <> 3)")
             .selectExpr(
                 _WS.format(k=k),
                 _URL.format(k=k),

@@ -133,17 +133,16 @@ def condition_history(
     *,
     cfg: EngineConfig = DEFAULT,
 ) -> DataFrame:
-    """Rule conditions that held at each retained snapshot of the bronze inventory.
+    """Rule conditions that held at each of the instants ``snapshots``.
 
-    Every appended row is judged at its own collection time, so all snapshots
-    come from one scan of each inventory. A deployment that appends
-    ``rules.conditions`` daily reads that table instead.
+    At each instant a workspace's newest collection is judged, as the stored daily
+    run would have done; a resource that it lacks fulfils no rule. A deployment that
+    appends ``rules.conditions`` daily reads that table instead.
     """
-    at = [F.timestamp_millis(F.lit(ms).cast("bigint")) for ms in snapshots]
     stamp = F.col("collect_timestamp")
 
     def kept(df: DataFrame) -> DataFrame:
-        return df.filter(stamp.isin(*at))
+        return silver.at_instants(df, snapshots)
 
     flags = gold.cluster_flags(silver.silver_clusters(kept(clusters), as_of=stamp, cfg=cfg), cfg=cfg)
     stored = silver.silver_tables(kept(tables), as_of=stamp, cfg=cfg)

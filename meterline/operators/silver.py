@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meterline.config import DEFAULT, EngineConfig
@@ -21,13 +23,38 @@ def seen_by(df: DataFrame, as_of: T.AsOf, stamp: str = "collect_timestamp") -> D
 def latest_snapshot(
     df: DataFrame, keys: list[str], as_of: T.AsOf | None = None, stamp: str = "collect_timestamp"
 ) -> DataFrame:
-    """Newest appended row of each resource, optionally as it was known at ``as_of``.
+    """Resources of each workspace's newest collection, optionally as known at ``as_of``.
 
-    A resource is collected once per timestamp, so the order is total; rows that
-    share both are copies of each other.
+    A collection lists all resources of a workspace under one timestamp, so what the
+    newest one lacks has been removed. Rows that share key and timestamp are copies.
     """
     rows = df if as_of is None else seen_by(df, as_of, stamp)
-    return latest(rows, [*keys, "workspace_name"], [F.col(stamp).desc()])
+    newest = rows.groupBy(F.col("workspace_name").alias("_workspace")).agg(
+        F.max(stamp).alias("_newest")
+    )
+    same = F.col("workspace_name").eqNullSafe(F.col("_workspace"))
+    current = rows.join(newest, same & F.col(stamp).eqNullSafe(F.col("_newest")), "left_semi")
+    return latest(current, [*keys, "workspace_name"], [F.col(stamp).desc()])
+
+
+def at_instants(df: DataFrame, instants: Sequence[int]) -> DataFrame:
+    """The newest collection of each workspace at or before each instant, stamped with it.
+
+    Workspaces may be collected at different minutes; a collection can stand for
+    several instants.
+    """
+    stamp = F.col("collect_timestamp")
+    at = [F.timestamp_millis(F.lit(ms).cast("bigint")) for ms in instants]
+    known = df.groupBy(F.col("workspace_name").alias("_workspace")).agg(
+        *[F.max(F.when(stamp <= t, stamp)).alias(f"_{i}") for i, t in enumerate(at)]
+    )
+    pairs = F.array(
+        *[F.struct(t.alias("_instant"), F.col(f"_{i}").alias("_newest")) for i, t in enumerate(at)]
+    )
+    chosen = known.select("_workspace", F.inline(pairs)).filter("_newest is not null")
+    same = F.col("workspace_name").eqNullSafe(F.col("_workspace")) & (stamp == F.col("_newest"))
+    rows = df.join(chosen, same).withColumn("collect_timestamp", F.col("_instant"))
+    return rows.drop("_workspace", "_instant", "_newest")
 
 
 def latest_runs(df: DataFrame) -> DataFrame:

@@ -42,8 +42,8 @@ class Warehouse:
     def known(self, name: str) -> DataFrame:
         return layers.read_known(self.spark, name, self.path, as_of=self.as_of)
 
-    def replace(self, df: DataFrame, name: str) -> None:
-        layers.replace(df, name, self.path, as_of=self.as_of)
+    def replace(self, df: DataFrame, name: str, workspaces: Sequence[str] | None = None) -> None:
+        layers.replace(df, name, self.path, as_of=self.as_of, workspaces=workspaces)
 
     # ------------------------------------------------------------ stages
 

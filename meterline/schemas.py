@@ -213,7 +213,7 @@ class Table:
 
 
 # Folders: the workspace everywhere (its cloud follows from it), months for the two
-# big facts, and one day level for history tables (added by the writer). Finer
+# big facts, and a day level above them for history tables (added by the writer). Finer
 # folders, by category or product, would hold a handful of rows each.
 _BY_WORKSPACE = ("workspace_name",)
 
@@ -240,6 +240,9 @@ _GOLD_HISTORY = {
     "benchmarks",
     "rule_conditions",
     "executive_reports",
+    "cost_allocation",
+    "cost_allocation_pipelines",
+    "automation_actions",
 }
 
 

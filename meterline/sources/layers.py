@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from meterline.schemas import TABLES, Table
@@ -9,7 +12,7 @@ from meterline.schemas import TABLES, Table
 # History tables carry the day they were written for: as-of reads skip later
 # folders and writing a day again replaces it.
 DAY = "snapshot_date"
-STAMPS = ("collect_timestamp", "process_timestamp", "snapshot_timestamp")
+STAMPS = ("collect_timestamp", "process_timestamp", "snapshot_timestamp", "generated_at")
 MAX_RECORDS_PER_FILE = 5_000_000
 
 
@@ -21,7 +24,7 @@ def _table(name: str) -> Table:
 
 
 def _partitions(table: Table) -> list[str]:
-    return [*table.partition_by, DAY] if table.append else list(table.partition_by)
+    return [DAY, *table.partition_by] if table.append else list(table.partition_by)
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
@@ -42,13 +45,13 @@ def _stamp_of(df: DataFrame) -> str:
     raise ValueError("a history table needs a timestamp column")
 
 
-def _laid_out(df: DataFrame, table: Table) -> DataFrame:
+def _laid_out(df: DataFrame, table: Table, parts: list[str]) -> DataFrame:
     """Spread rows over tasks by folder; a hot folder is split, tiny ones are merged."""
-    parts = _partitions(table)
-    return df.hint("rebalance", *parts).sortWithinPartitions(*parts, *table.sort_by)
+    rows, order = df.hint("rebalance", *parts), [*parts, *table.sort_by]
+    return rows.sortWithinPartitions(*order) if order else rows
 
 
-def _dated(df: DataFrame, table: Table, as_of: int | None) -> DataFrame:
+def _dated(df: DataFrame, table: Table, as_of: int | None = None) -> DataFrame:
     if not table.append:
         return df
     if as_of is None:
@@ -56,14 +59,14 @@ def _dated(df: DataFrame, table: Table, as_of: int | None) -> DataFrame:
     return df.withColumn(DAY, F.timestamp_millis(F.lit(as_of).cast("bigint")).cast("date"))
 
 
-def _write(df: DataFrame, table: Table, warehouse: str, mode: str) -> None:
+def _write(df: DataFrame, table: Table, path: str, parts: list[str], mode: str) -> None:
     (
-        _laid_out(df, table)
+        _laid_out(df, table, parts)
         .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static")
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-        .partitionBy(*_partitions(table))
-        .parquet(table.path(warehouse))
+        .partitionBy(*parts)
+        .parquet(path)
     )
 
 
@@ -73,17 +76,36 @@ def append(
     """Add rows. ``keep_extra`` also stores columns the declared schema lacks."""
     table = _table(name)
     rows = df if keep_extra else conform(df, name)
-    _write(_dated(rows, table, as_of), table, warehouse, "append")
+    _write(_dated(rows, table, as_of), table, table.path(warehouse), _partitions(table), "append")
 
 
-def replace(df: DataFrame, name: str, warehouse: str, *, as_of: int | None = None) -> None:
-    """Replace the partitions present in ``df``; all others stay.
+def replace(
+    df: DataFrame,
+    name: str,
+    warehouse: str,
+    *,
+    as_of: int | None = None,
+    workspaces: Sequence[str] | None = None,
+) -> None:
+    """Make ``df`` the whole content of a table, or of its day if it keeps a history.
 
-    For a history table that is one day of the workspaces in ``df``, so running
-    a day again leaves one copy of it.
+    Rows that ``df`` no longer has go, whichever folder they were in, and running a
+    day again leaves one copy of it. With ``workspaces`` only those are replaced, each
+    as a whole, and ``df`` holds rows of no others.
     """
-    table = _table(name)
-    _write(_dated(conform(df, name), table, as_of), table, warehouse, "overwrite")
+    table, path, parts = _table(name), _table(name).path(warehouse), list(_table(name).partition_by)
+    rows = conform(df, name)
+    if table.append:
+        if as_of is None:
+            raise ValueError("as_of names the day of a history table")
+        path = f"{path}/{DAY}={datetime.fromtimestamp(as_of / 1000, tz=timezone.utc):%Y-%m-%d}"
+    if workspaces is None:
+        _write(rows, table, path, parts, "overwrite")
+        return
+    escape = df.sparkSession._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for one in workspaces:
+        own = rows.filter(F.col("workspace_name") == one).drop("workspace_name")
+        _write(own, table, f"{path}/workspace_name={escape(one)}", [p for p in parts if p != "workspace_name"], "overwrite")
 
 
 def read(spark: SparkSession, name: str, warehouse: str, *, evolved: bool = False) -> DataFrame:

@@ -21,7 +21,7 @@ select concat('ws_', cast(c_custkey % 25 as string)) as workspace_name,
   case when c_custkey % 4 = 0 then 0 else snap_ms - 86400000 * (c_custkey % 10) end as terminated_time,
   case when c_custkey % 13 = 0 then 0 else snap_ms - 60000 * ((c_custkey * 7 + s * 311) % 960) end as last_activity_time,
   cast(8192 * (c_custkey % 16 + 1) as double) as cluster_memory_mb, s, snap_ms as collect_ms
-from customer cross join fx_snap where s = 2 or c_custkey % 17 <> 0
+from customer cross join fx_snap where (s = 2 or c_custkey % 17 <> 0) and not (s = 2 and c_custkey % 29 = 7)
 """,
     "fx_jobs": """
 select concat('ws_', cast(p_partkey % 25 as string)) as workspace_name,
@@ -31,7 +31,7 @@ select concat('ws_', cast(p_partkey % 25 as string)) as workspace_name,
   case when p_size % 5 = 0 then concat('c-', cast(p_partkey % 25 as string)) else '' end as existing_cluster_id,
   case p_partkey % 4 when 0 then null when 1 then '{}' else '{"cost_center": "cc1", "owner": "o2"}' end as tags,
   s, snap_ms as collect_ms
-from part cross join fx_snap where s = 2 or p_partkey % 19 <> 0
+from part cross join fx_snap where (s = 2 or p_partkey % 19 <> 0) and not (s = 2 and p_partkey % 31 = 5)
 """,
     "fx_runs": """
 with l as (
@@ -61,7 +61,7 @@ select concat('ws_', cast(p_partkey % 25 as string)) as workspace_name,
   case when p_partkey % 3 = 0 then null else snap_ms - 86400000 * ((p_partkey * 5 + s * 151) % 400) end as last_access_ms,
   case p_partkey % 4 when 0 then '[]' when 1 then '[''dt'']' else '[''dt'', ''region'']' end as partition_columns,
   s, snap_ms as collect_ms
-from part cross join fx_snap where s = 2 or p_partkey % 23 <> 0
+from part cross join fx_snap where (s = 2 or p_partkey % 23 <> 0) and not (s = 2 and p_partkey % 37 = 3)
 """,
     "fx_billing": """
 select concat('ws_', cast(o_custkey % 25 as string)) as workspace_name,

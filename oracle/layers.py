@@ -13,13 +13,13 @@ select workspace_name, workspace_url, cloud, cluster_id, cluster_name, state, ca
   (nullif(terminated_time, 0) - nullif(start_time, 0)) / 3600000e0 as uptime_hours,
   case when nullif(start_time, 0) is not null then (@NOW - nullif(last_activity_time, 0)) / 3600000e0 end as idle_hours,
   cluster_memory_mb / 1024 as memory_gb, cast(0 as double) as estimated_cost_per_hour
-from (select *, row_number() over (partition by workspace_name, cluster_id order by s desc) as rn from fx_clusters where s <= @S) t
+from (select *, rank() over (partition by workspace_name order by s desc) as rn from fx_clusters where s <= @S) t
 where rn = 1
 """,
     "jobs_@S": """
 select workspace_name, cloud, job_id, job_name, existing_cluster_id, tags, existing_cluster_id <> '' as uses_existing_cluster,
   (schedule is not null and trim(schedule) not in ('', 'null', 'None', '{}', '[]')) as has_schedule, schedule
-from (select *, row_number() over (partition by workspace_name, job_id order by s desc) as rn from fx_jobs where s <= @S) t
+from (select *, rank() over (partition by workspace_name order by s desc) as rn from fx_jobs where s <= @S) t
 where rn = 1
 """,
     "runs_@S": """
@@ -41,7 +41,7 @@ from (
     cast((@NOW - last_modified_ms) // 86400000 as integer) as days_since_modified,
     cast((@NOW - last_access_ms) // 86400000 as integer) as days_since_accessed,
     partition_columns <> '[]' as is_partitioned, table_type = 'delta' as is_delta
-  from (select *, row_number() over (partition by workspace_name, full_table_name order by s desc) as rn from fx_tables where s <= @S) t
+  from (select *, rank() over (partition by workspace_name order by s desc) as rn from fx_tables where s <= @S) t
   where rn = 1) u
 """,
     "billing_@S": """

@@ -124,10 +124,49 @@ def test_one_workspace_does_not_overwrite_others(run, spark):
     total = w.read("gold.costs_dbu_estimates").count()
     one = w.read("gold.costs_dbu_estimates").filter("workspace_name = 'ws_1'")
     kept = spark.createDataFrame(one.collect(), one.schema)
-    w.replace(kept, "gold.costs_dbu_estimates")
+    w.replace(kept, "gold.costs_dbu_estimates", workspaces=["ws_1"])
     assert w.read("gold.costs_dbu_estimates").count() == total
 
 
+def test_rows_that_are_gone_do_not_stay(run, spark, tmp_path):
+    w, *_ = run
+    wins = w.read("gold.costs_dbu_estimates")
+    rows_ = spark.createDataFrame(wins.collect(), wins.schema)
+    path = str(tmp_path)
+    table = "gold.costs_dbu_estimates"
+    names = lambda: {r[0] for r in layers.read(spark, table, path).select("workspace_name").distinct().collect()}
+    layers.replace(rows_, table, path)
+    assert names() == {"ws_1", "ws_2", "ws_3"}
+    layers.replace(rows_.filter("workspace_name = 'none'"), table, path, workspaces=["ws_2"])
+    assert names() == {"ws_1", "ws_3"}
+    layers.replace(rows_.filter("workspace_name = 'ws_1'"), table, path)
+    assert names() == {"ws_1"}
+
+
+def test_a_history_day_run_again_loses_what_is_gone(run, spark, tmp_path):
+    w, *_ = run
+    rows_ = w.latest("gold.recommendations")
+    rows_ = spark.createDataFrame(rows_.collect(), rows_.schema)
+    path, table = str(tmp_path), "gold.recommendations"
+    for at, kept in ((BASELINE, rows_), (AS_OF, rows_), (AS_OF, rows_.filter("workspace_name = 'ws_1'"))):
+        layers.replace(kept, table, path, as_of=at)
+    got = layers.read(spark, table, path).groupBy(layers.DAY).agg(F.count_distinct("workspace_name").alias("n")).collect()
+    assert {str(r[0]): r.n for r in got} == {"2001-06-02": 3, "2001-08-01": 1}
+
+
+def test_allocation_and_actions_keep_their_history(run):
+    w, *_ = run
+    for name in ("gold.cost_allocation", "gold.cost_allocation_pipelines", "gold.automation_actions"):
+        assert w.read(name).select(layers.DAY).distinct().count() == 3
+
+
+def test_removed_resources_are_not_current(run):
+    w, _, now = run
+    gone = {f"c-{k}" for k in range(2000) if k % 29 == 7}
+    for df in (w.read("silver.compute_clusters"), now.clusters):
+        assert not gone & {r[0] for r in df.select("cluster_id").collect()}
+
+
 def test_as_of_read_skips_later_days(run):
     w, *_ = run
     early = layers.read_known(w.spark, "bronze.compute_clusters", w.path, as_of=BASELINE)
