@@ -135,7 +135,9 @@ class _Splitter:
         sizes = np.array([len(t) for t in self.tokens], np.int64)
         spelt = [w.encode() for w in self.known]
         shard = np.fromiter((zlib.crc32(w) % self.shards for w in spelt), np.int64, len(spelt))
-        by_shard = np.argsort(shard, kind="stable")  # words are renumbered shard by shard
+        # words are renumbered shard by shard, in order, so neighbours compress together
+        in_order = np.array(sorted(range(len(spelt)), key=spelt.__getitem__), np.int64)
+        by_shard = in_order[np.argsort(shard[in_order], kind="stable")]
         rank = np.empty(len(spelt), np.int32)
         rank[by_shard] = np.arange(len(spelt), dtype=np.int32)
         tokens, spelt, shard = rank[np.concatenate(self.tokens)], [spelt[i] for i in by_shard.tolist()], shard[by_shard]
@@ -284,7 +286,7 @@ def encode(
     kinds = dict(docs.dtypes)
     full = "".join(f"`{k}` {kinds[k]}, " for k in keys) + schema
     arrow = arrow_schema(full)
-    shards = shards or 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     splitter = _Splitter(pattern, len(keys), block, frequent, shards)
     by_shard = docs.select(*keys, "text").mapInArrow(splitter, _Splitter.SCHEMA).repartition("shard").sortWithinPartitions("shard")
     encoded = by_shard.mapInArrow(_Encoder(sent, pattern), _Encoder.SCHEMA)
