@@ -263,12 +263,12 @@ REPORTS: dict[str, Report] = {
     "daily_cost": Report(lambda e: e.daily, "workspace_name date_parsed daily_cost_usd~6"),
     "monthly_cost": Report(
         lambda e: gold.monthly_cost(e.daily),
-        "workspace_name year month monthly_cost_usd~6 avg_daily_cost_usd~8",
+        "workspace_name year month monthly_cost_usd~6 avg_daily_cost_usd~9",
     ),
     "gold_billing": Report(
         lambda e: e.gold_billing,
         "workspace_name date_parsed year month daily_cost_usd~6 monthly_cost_usd~6 "
-        "avg_daily_cost_usd~8",
+        "avg_daily_cost_usd~9",
     ),
     # ---- cost and allocation
     "dbu_cost": Report(lambda e: e.estimates, f"cloud is_running {_EST}"),
@@ -500,7 +500,7 @@ REPORTS: dict[str, Report] = {
     ),
     "kpi_daily_costs": Report(
         lambda e: kpis.kpi_daily_costs(e.gold_billing, as_of=e.as_of),
-        "workspace_name date_parsed daily_cost_usd~6 monthly_cost_usd~6 avg_daily_cost_usd~8",
+        "workspace_name date_parsed daily_cost_usd~6 monthly_cost_usd~6 avg_daily_cost_usd~9",
     ),
     "kpi_maturity_latest": Report(
         lambda e: kpis.kpi_maturity_latest(_both_maturities(e)), _MATURITY
