@@ -239,6 +239,11 @@ class Estate:
         known = silver.seen_by(self.bronze.runs, self.as_of)
         return silver.silver_job_runs(silver.latest_runs(known), as_of=self.as_of, cfg=self.cfg)
 
+    def recent(self, days: int) -> DataFrame:
+        known = silver.seen_by(self.bronze.runs, self.as_of)
+        newest = silver.recent_runs(known, days, as_of=self.as_of)
+        return silver.silver_job_runs(newest, as_of=self.as_of, cfg=self.cfg)
+
     @cached_property
     def tables(self) -> DataFrame:
         newest = silver.latest_snapshot(self.bronze.tables, ["full_table_name"], self.as_of)
@@ -297,7 +302,11 @@ class Estate:
     @cached_property
     def pipelines(self) -> DataFrame:
         return allocation.pipeline_costs(
-            self.jobs, self.runs, self.estimates, as_of=self.as_of, cfg=self.cfg
+            self.jobs,
+            self.recent(self.cfg.lookback_days),
+            self.estimates,
+            as_of=self.as_of,
+            cfg=self.cfg,
         )
 
     # scores

@@ -78,6 +78,16 @@ def latest_runs(df: DataFrame) -> DataFrame:
     return latest(df, ["run_id", "workspace_name"], order)
 
 
+def recent_runs(runs: DataFrame, days: int, *, as_of: T.AsOf) -> DataFrame:
+    """Newest copy of each run started in the last ``days`` days.
+
+    The start of a run is in its first copy and never changes, so older rows go
+    before the shuffle that finds the newest copies.
+    """
+    floor_ms = T.as_of_ms(as_of) - F.lit(days * T.MS_PER_DAY).cast("bigint")
+    return latest_runs(runs.filter(F.col("start_time") >= floor_ms))
+
+
 def silver_clusters(
     clusters: DataFrame, *, as_of: T.AsOf, cfg: EngineConfig = DEFAULT
 ) -> DataFrame:

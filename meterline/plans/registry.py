@@ -97,6 +97,11 @@ def _both_maturities(e: Estate) -> DataFrame:
     return e.before.maturity.unionByName(e.maturity)
 
 
+def _state(e: Estate, name: str, rows: DataFrame) -> DataFrame:
+    """What an assessment history said at the baseline."""
+    return history.state_at({name: rows}, as_of=BASELINE)[name]
+
+
 def _urls(e: Estate) -> DataFrame:
     url = F.col("workspace_url")
     return (
@@ -229,12 +234,30 @@ REPORTS: dict[str, Report] = {
         )["clusters"],
         _CLUSTER_FLAGS,
     ),
+    "state_tables": Report(
+        lambda e: _state(e, "tables", silver.silver_tables(e.bronze.tables, as_of=F.col("collect_timestamp"))),
+        "workspace_name full_table_name size_gb~ days_since_modified days_since_accessed "
+        "is_cold_data is_abandoned",
+    ),
+    "state_jobs": Report(
+        lambda e: _state(e, "jobs", silver.silver_jobs(e.bronze.jobs, as_of=F.col("collect_timestamp"))),
+        "workspace_name job_id job_name has_schedule uses_existing_cluster",
+    ),
+    "state_recommendations": Report(
+        lambda e: _state(
+            e, "recommendations", e.before.recommendations.unionByName(e.recommendations)
+        ),
+        _REC,
+    ),
+    "state_maturity": Report(
+        lambda e: _state(e, "maturity", _both_maturities(e)), _MATURITY
+    ),
     "latest_snapshot": Report(
         lambda e: silver.latest_snapshot(e.bronze.clusters, ["cluster_id"], e.as_of),
         "workspace_name cluster_id cluster_name state num_workers",
     ),
     "runs_lookback": Report(
-        lambda e: silver.runs_since(e.runs, 7, as_of=e.as_of),
+        lambda e: e.recent(7),
         "workspace_name job_id run_id result_state duration_hours~",
     ),
     "cloud_from_url": Report(_urls, "workspace_name cloud n_rows"),
@@ -305,7 +328,7 @@ REPORTS: dict[str, Report] = {
     ),
     "run_cost_per_job": Report(
         lambda e: allocation.run_cost_per_job(
-            silver.runs_since(e.runs, e.cfg.lookback_days, as_of=e.as_of), e.estimates, cfg=e.cfg
+            e.recent(e.cfg.lookback_days), e.estimates, cfg=e.cfg
         ),
         "workspace_name job_id total_dbu_cost~ avg_dbu_cost_per_run~ total_runs "
         "avg_duration_hours~8",
@@ -382,7 +405,10 @@ REPORTS: dict[str, Report] = {
         lambda e: audit.audit_compute(e.flags, e.gold_jobs, as_of=e.as_of, cfg=e.cfg), _ISSUE
     ),
     "audit_workflows": Report(
-        lambda e: audit.audit_workflows(e.jobs, e.runs, as_of=e.as_of, cfg=e.cfg), _ISSUE
+        lambda e: audit.audit_workflows(
+            e.jobs, e.recent(e.cfg.long_runs_days), as_of=e.as_of, cfg=e.cfg
+        ),
+        _ISSUE
     ),
     "recommendation_status": Report(
         lambda e: e.statuses,
@@ -408,7 +434,9 @@ REPORTS: dict[str, Report] = {
         "workspace_name full_table_name version_count",
     ),
     "failure_patterns": Report(
-        lambda e: observability.failure_patterns(e.runs, as_of=e.as_of, cfg=e.cfg),
+        lambda e: observability.failure_patterns(
+            e.recent(e.cfg.lookback_days), as_of=e.as_of, cfg=e.cfg
+        ),
         "workspace_name error_pattern occurrence_count severity recommendation",
     ),
     "stage_performance": Report(
@@ -624,7 +652,7 @@ REPORTS: dict[str, Report] = {
         "workspace_name job_id job_name tipo_execucao",
     ),
     "q_job_run_minutes": Report(
-        lambda e: kpis.q_job_run_minutes(e.runs, as_of=e.as_of),
+        lambda e: kpis.q_job_run_minutes(e.recent(30), as_of=e.as_of),
         "workspace_name job_id total_runs successful_runs avg_duration_minutes~8",
     ),
     "q_large_tables": Report(

@@ -50,6 +50,10 @@ from fx_billing where cloud <> 'gcp' or date_trunc('month', cost_date) between d
     "silver_billing": "billing_2",
     "latest_snapshot": "clusters_2",
     "baseline_state": "flags_0",
+    "state_tables": "tables_0",
+    "state_jobs": "jobs_0",
+    "state_recommendations": "recs_0",
+    "state_maturity": "maturity_0",
     "runs_lookback": "select * from runs_2 where start_ms >= 996624000000 - 7 * 86400000::bigint",
     "cloud_from_url": """
 select workspace_name, case when contains(workspace_url, 'azuredatabricks.net') or contains(workspace_url, 'adb-') then 'azure'

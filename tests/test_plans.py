@@ -44,6 +44,14 @@ def test_rules_that_are_not_asked_for_are_not_planned(spark, tiny, key):
     assert "lineitem" not in plan_of(REPORTS[key].build(estate(spark, tiny)))
 
 
+@pytest.mark.parametrize("key", ["runs_lookback", "failure_patterns", "run_cost_per_job", "pipeline_costs"])
+def test_lookback_is_below_the_shuffle(spark, tiny, key):
+    plan = plan_of(REPORTS[key].build(estate(spark, tiny)))
+    scan = re.search(r"FileScan parquet [^\n]*lineitem", plan)
+    above = plan[: scan.start()].rsplit("Exchange", 1)[1]
+    assert re.search(r"Filter [^\n]*>= 9\d{11}", above)
+
+
 @pytest.mark.parametrize("key", ["total_roi", "prioritized_backlog", "q_backlog"])
 def test_facts_are_read_once(spark, tiny, key):
     plan = plan_of(REPORTS[key].build(estate(spark, tiny)))
