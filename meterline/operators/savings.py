@@ -54,6 +54,10 @@ def fix_failures_saving(cfg: EngineConfig = DEFAULT) -> Column:
 # ---------------------------------------------------------------- full estimates
 
 
+def _percent(share: float) -> float:
+    return round(share * 100, 6)
+
+
 def _option(
     action: str, current: Column, target: Column | None, saved: Column, pct: float, sure: str
 ) -> Column:
@@ -86,8 +90,8 @@ def savings_clusters(flags: DataFrame, *, cfg: EngineConfig = DEFAULT) -> DataFr
         "cluster_id",
         [
             _option("terminate_idle", idle, None, idle, 100.0, "high"),
-            _option("enable_autoscaling", month, elastic, month - elastic, 40.0, "medium"),
-            _option("resize_cluster", month, resized, month - resized, 30.0, "medium"),
+            _option("enable_autoscaling", month, elastic, month - elastic, _percent(cfg.autoscaling_saved), "medium"),
+            _option("resize_cluster", month, resized, month - resized, _percent(1 - cfg.resize_factor), "medium"),
         ],
     )
 
@@ -101,9 +105,9 @@ def savings_tables(tables: DataFrame, *, cfg: EngineConfig = DEFAULT) -> DataFra
         tables,
         "full_table_name",
         [
-            _option("archive_abandoned", month, month - saved, saved, 70.0, "high"),
+            _option("archive_abandoned", month, month - saved, saved, _percent(cfg.archive_saved), "high"),
             _option("delete_abandoned", month, F.lit(0.0), month, 100.0, "high"),
-            _option("optimize_small_files", month, month - tidy, tidy, 10.0, "medium"),
+            _option("optimize_small_files", month, month - tidy, tidy, _percent(cfg.optimize_saved), "medium"),
         ],
     )
     return out.withColumn(
@@ -125,8 +129,8 @@ def savings_jobs(jobs: DataFrame, *, cfg: EngineConfig = DEFAULT) -> DataFrame:
         jobs,
         "job_id",
         [
-            _option("fix_failures", waste, waste - fixed, fixed, 80.0, "high"),
-            _option("optimize_long_runs", month, month - faster, faster, 30.0, "medium"),
+            _option("fix_failures", waste, waste - fixed, fixed, _percent(cfg.fix_failures_saved), "high"),
+            _option("optimize_long_runs", month, month - faster, faster, _percent(cfg.long_runs_saved), "medium"),
         ],
     )
 

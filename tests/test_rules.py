@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from meterline.config import DEFAULT
+from meterline.config import DEFAULT, EngineConfig
 from meterline.functions import columns as C
 from meterline.operators import (
     allocation,
@@ -437,3 +437,10 @@ def test_empty_inventories_score(spark):
     ).first()
     assert (r.compute_score, r.storage_score, r.governance_score, r.observability_score, r.costs_score) == (0, 0, 0, 0, 0.5)
     assert r.pipelines_score == 0.3 and r.maturity_level == "Básico"
+
+
+def test_stated_percentages_follow_the_shares(spark):
+    flags = gold.cluster_flags(clusters(spark, dict(num_workers=10)))
+    cfg = EngineConfig(autoscaling_saved=0.25, resize_factor=0.6)
+    got = {r.action: r.reduction_percentage for r in savings.savings_clusters(flags, cfg=cfg).collect()}
+    assert got == {"terminate_idle": 100.0, "enable_autoscaling": 25.0, "resize_cluster": 40.0}
