@@ -129,7 +129,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     ids = train.select("doc_id", "lang", F.xxhash64("doc_id").alias("order"))
     # Of each language's hashes only the lowest share, four times what is needed, gets to
     # the ranking: its size depends on the sample, not on the input or its partitions.
-    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    # The sizes are written first: a table known to be small joins without a shuffle.
+    sizes = cut(ids.groupBy("lang").agg(F.count("*").alias("n")), "language-sizes")
     share = F.col("order") / F.lit(2.0**64) + 0.5
     by_lang = Window.partitionBy("lang").orderBy("order", "doc_id")
     chosen = cut(
