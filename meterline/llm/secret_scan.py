@@ -2,10 +2,11 @@
 
 A text is the first layer. Every layer is scanned by the base rules and for
 encoded stretches: percent escapes, Unicode escapes, base64 (with either
-alphabet), and the compressed bytes that base64 may hold. Each stretch decodes to
-a new layer that joins the worklist; a layer whose content was seen before in the
-same chain of decodings or elsewhere at the same place is not taken again, so the
-list runs empty. Every layer knows which code points of the whole text each of
+alphabet), and the compressed bytes that base64 may hold. The escapes of a layer are
+decoded in place, in one new layer of its whole text, as a rule may need what stands
+before them; each base64 stretch decodes to a new layer. New layers join the worklist;
+a layer whose content was seen before in the same chain of decodings or elsewhere at
+the same place is not taken again, so the list runs empty. Every layer knows which code points of the whole text each of
 its characters came from, so findings inside it are mapped to spans of the text.
 """
 
@@ -18,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -36,11 +38,10 @@ LEAST_ACCESS = 20
 _HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 or more is one match either way
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~+:=/-])*%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~+:=/-])*")
 # The first choice of either unit peels a long chain of escaped escapes at once, so
 # a hostile chain costs one layer and not one for each of its levels.
-_PERCENT_UNIT = re.compile(r"(%(?:25){3,})|%([0-9A-Fa-f]{2})|(.)", re.DOTALL)
-_UNICODE_UNIT = re.compile(
+_PERCENT = re.compile(r"(%(?:25){3,})|%([0-9A-Fa-f]{2})")
+_UNICODE = re.compile(
     r"(?P<chain>\\(?:u005[cC]){3,}|&(?:#38;){3,})|"
     r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});"
 )
@@ -96,76 +97,83 @@ def _inflate(data: bytes, limit: int) -> bytes | None | bool:
 
 
 class _Layer:
-    """Text whose character i came from ``spans[i]`` of the whole text; without a list,
-    all characters came from ``whole``."""
+    """Text whose character i came from ``starts[i]`` to ``ends[i]`` of the whole text;
+    without these, all characters came from ``whole``, and without that, from themselves."""
 
-    def __init__(self, text: str, spans: list[tuple[int, int]] | None = None, whole: tuple[int, int] | None = None) -> None:
-        self.text, self.spans, self.whole = text, spans, whole
+    def __init__(self, text: str, starts=None, ends=None, whole: tuple[int, int] | None = None) -> None:
+        self.text, self.starts, self.ends, self.whole = text, starts, ends, whole
+
+    @property
+    def first(self) -> bool:
+        return self.starts is None and self.whole is None
 
     def at(self, start: int, end: int) -> tuple[int, int]:
-        if self.spans is not None:
-            return self.spans[start][0], self.spans[end - 1][1]
+        if self.starts is not None:
+            return int(self.starts[start]), int(self.ends[end - 1])
         return self.whole or (start, end)
 
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.starts is not None:
+            return self.starts, self.ends
+        of = np.arange(len(self.text) + 1)
+        return of[:-1], of[1:]
+
+
+def _edited(layer: _Layer, edits: list[tuple[int, int, str]]) -> _Layer:
+    """The whole text of the layer with each (start, end) replaced by one character."""
+    out, pos = [], 0
+    for start, end, new in edits:
+        out += (layer.text[pos:start], new)
+        pos = end
+    text = "".join([*out, layer.text[pos:]])
+    if layer.whole:
+        return _Layer(text, whole=layer.whole)
+    starts, ends = layer.places()
+    low, high = np.array([e[0] for e in edits]), np.array([e[1] for e in edits])
+    step = np.zeros(len(starts) + 2, np.int8)
+    step[low + 1] += 1
+    step[high] -= 1
+    kept = np.cumsum(step, dtype=np.int8)[: len(starts)] == 0
+    to = ends.copy()
+    to[low] = ends[high - 1]
+    return _Layer(text, starts[kept], to[kept])
+
 
 def _characters(data: bytes, of: list[tuple[int, int]], layer: _Layer) -> _Layer | None:
     """Layer of UTF-8 ``data`` whose byte i came from ``of[i]`` in ``layer``."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        text = data.decode("latin-1")
-        return _Layer(text, [layer.at(a, b) for a, b in of])
-    spans, at = [], 0
+    text = data.decode("utf-8")
+    if layer.whole:
+        return _Layer(text, whole=layer.whole)
+    starts, ends, at = [], [], 0
     for c in text:
         n = len(c.encode("utf-8"))
-        spans.append(layer.at(of[at][0], of[at + n - 1][1]))
+        start, end = layer.at(of[at][0], of[at + n - 1][1])
+        starts.append(start)
+        ends.append(end)
         at += n
-    return _Layer(text, spans)
+    return _Layer(text, np.array(starts, np.int64), np.array(ends, np.int64))
 
 
 def _percent(layer: _Layer):
-    if "%" not in layer.text:
-        return
-    for m in _PERCENT.finditer(layer.text):
-        data, of = bytearray(), []
-        for u in _PERCENT_UNIT.finditer(m[0]):
-            unit = b"%" if u[1] else bytes([int(u[2], 16)]) if u[2] else u[3].encode()
-            data += unit
-            of += [(m.start() + u.start(), m.start() + u.end())] * len(unit)
-        yield _characters(bytes(data), of, layer)
+    """The text with all percent escapes decoded in place, so plain keywords before them
+    stay. One character a byte: the rules and the encodings are ASCII, as UTF-8 keeps it."""
+    if "%" in layer.text and (found := list(_PERCENT.finditer(layer.text))):
+        yield _edited(layer, [(m.start(), m.end(), "%" if m[1] else chr(int(m[2], 16))) for m in found])
 
 
 def _unicode(layer: _Layer):
-    text = layer.text
-    if "\\" not in text and "&#" not in text:
+    """The text with all Unicode escapes decoded in place."""
+    if "\\" not in layer.text and "&#" not in layer.text:
         return
-    matches = list(_UNICODE_UNIT.finditer(text))
-    # neighbouring escapes and the word characters around them are one stretch
-    at = 0
-    while at < len(matches):
-        to = at
-        while to + 1 < len(matches) and not re.search(r"\s", text[matches[to].end() : matches[to + 1].start()]):
-            to += 1
-        start, end = matches[at].start(), matches[to].end()
-        while start and not text[start - 1].isspace():
-            start -= 1
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        out, spans, pos = [], [], start
-        for m in matches[at : to + 1]:
-            out += text[pos : m.start()]
-            spans += [layer.at(i, i + 1) for i in range(pos, m.start())]
-            if m["chain"]:
-                code = ord(m["chain"][0])
-            else:
-                code = int(m[7]) if m[7] else int(next(g for g in m.groups() if g), 16)
-            out.append(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd")
-            spans.append(layer.at(m.start(), m.end()))
-            pos = m.end()
-        out += text[pos:end]
-        spans += [layer.at(i, i + 1) for i in range(pos, end)]
-        yield _Layer("".join(out), spans)
-        at = to + 1
+    edits = []
+    for m in _UNICODE.finditer(layer.text):
+        if m["chain"]:
+            code = ord(m["chain"][0])
+        else:
+            code = int(m[7]) if m[7] else int(next(g for g in m.groups() if g), 16)
+        edits.append((m.start(), m.end(), chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"))
+    if edits:
+        yield _edited(layer, edits)
 
 
 def _base64(layer: _Layer, limit: int):
@@ -207,7 +215,7 @@ def scan(text: str | None, limit: int = MAX_LAYER) -> tuple[list, list]:
     work = [_Layer(text)]
     while work:
         layer = work.pop()
-        if layer.whole or layer.spans is not None:
+        if not layer.first:
             mark = (hashlib.blake2b(layer.text.encode("utf-8", "replace"), digest_size=16).digest(), layer.at(0, len(layer.text)))
             if mark in seen:
                 continue

@@ -53,6 +53,27 @@ def test_nested_layers_map_to_their_span(hidden):
     assert set(base) <= set(spans)
 
 
+ESCAPED = [
+    ALL_PERCENT,
+    lambda s: urllib.parse.quote(ALL_PERCENT(s)),
+    lambda s: "".join(f"\\u{ord(c):04x}" for c in s),
+    lambda s: "".join(f"\\x{ord(c):02x}" for c in s),
+    lambda s: "".join(f"&#{ord(c)};" for c in s),
+    lambda s: ALL_PERCENT(s[:3]) + "".join(f"&#x{ord(c):x};" for c in s[3:]),
+]
+
+
+@pytest.mark.parametrize("escaped", ESCAPED)
+@pytest.mark.parametrize("form", ['password="{}"', '"password": "{}"', "token = {}", "API_KEY:'{}' and more", "🙂 passwd: {}"])
+def test_escaped_values_behind_plain_keywords(escaped, form):
+    value = escaped("hunter22")
+    text = f"é 100% {form.format(value)} after"
+    at = text.index(value)
+    base, spans = X.scan(text)
+    assert not base and [(k, b) for _, k, b in spans] == [("assign", at + len(value))] and spans[0][0] < at
+    assert value not in X.redact(text) and X.redact(text).endswith(" after")
+
+
 def test_plain_words_and_chains_add_nothing():
     for text in ("Donaudampfschifffahrtsgesellschaft 100% sure", "%" + "25" * 40_000 + "41", "\\" + "u005c" * 20_000 + "u0041", "Ab1+" * 200_000):
         base, spans = X.scan(text)
