@@ -2,9 +2,13 @@
 
 A text is the first layer. Every layer is scanned by the base rules and for
 encoded stretches: percent escapes, Unicode escapes, base64 (with either
-alphabet), and the compressed bytes that base64 may hold. The escapes of a layer are
+alphabet), and the compressed bytes that any of them may hold. The escapes of a layer are
 decoded in place, in one new layer of its whole text, as a rule may need what stands
-before them; each base64 stretch decodes to a new layer. New layers join the worklist;
+before them. Base64 runs, joined over line ends, decode to a new layer for each of the
+four alignments, whatever stands before a value in its run. gzip members and zlib
+streams are unpacked wherever they start in a decoded layer, cut ones as far as they
+go. No decoded layer is dropped for its bytes: one character stands for each byte, and
+UTF-16 is brought together, as all rules and encodings are ASCII. New layers join the worklist;
 a layer whose content was seen before in the same chain of decodings or elsewhere at
 the same place is not taken again, so the list runs empty. Every layer knows which code points of the whole text each of
 its characters came from, so findings inside it are mapped to spans of the text.
@@ -12,7 +16,6 @@ its characters came from, so findings inside it are mapped to spans of the text.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
@@ -45,7 +48,21 @@ _UNICODE = re.compile(
     r"(?P<chain>\\(?:u005[cC]){3,}|&(?:#38;){3,})|"
     r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});"
 )
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_LETTER = "[A-Za-z0-9+/_-]"
+#: A line end inside a wrapped run, also as JSON writes it.
+_WRAP = r"[\x20\t]*(?:\r\n?|\n|\\r\\n|\\n)[\x20\t]*"
+_BASE64 = re.compile(
+    rf"(?<!{_LETTER})(?:{_LETTER}{{16,}}+(?:{_WRAP}{_LETTER}++)*+|{_LETTER}{{1,15}}+(?:{_WRAP}{_LETTER}++)++)={{0,2}}"
+)
+_LINE_END = re.compile(_WRAP)
+_STANDARD = bytes.maketrans(b"-_", b"+/")
+LEAST_RUN = 16
+#: No rule matches a shorter layer.
+LEAST_LAYER = 12
+# gzip, or one of the 32 headers of zlib without a preset dictionary
+_ZLIB = [bytes([c, f]) for c in range(0x08, 0x79, 16) for f in range(256) if not f & 32 and (c << 8 | f) % 31 == 0]
+_PACKED = re.compile("|".join(["\x1f\x8b\x08", *(re.escape(h.decode("latin-1")) for h in _ZLIB)]), re.DOTALL)
+_WIDE = re.compile(r"(?:[\x01-\x7f]\0){6,}|(?:\0[\x01-\x7f]){6,}")
 #: Layers beyond this many bytes are not unpacked; they are reported as ``opaque`` spans.
 MAX_LAYER = 64 << 20
 OPAQUE = "opaque"
@@ -73,27 +90,48 @@ def in_order(spans) -> list[tuple[int, str, int]]:
     return sorted(set(spans), key=lambda s: (s[0], rank[s[1]], s[2]))
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c in "\t\r\n") for c in text)
-    return text if text and odd * 20 <= len(text) else None
+def _inflate(data: bytes, at: int, limit: int) -> tuple[bytes | None, int, int]:
+    """Content of the gzip members or zlib streams from ``at`` on, where they end, and where
+    another may start. A damaged or cut stream gives what stands before the damage; the
+    content is None beyond the limit."""
+    out, size, again = [], 0, at + 1
+
+    def add(new: bytes) -> None:
+        nonlocal size
+        size += len(new)
+        out.append(new) if size <= limit else out.clear()
 
+    def feed(unpack, chunk: bytes) -> None:
+        while not unpack.eof:
+            new = unpack.decompress(chunk, 1 << 20)
+            chunk = unpack.unconsumed_tail
+            add(new)
+            if not chunk and len(new) < 1 << 20:
+                break
 
-def _inflate(data: bytes, limit: int) -> bytes | None | bool:
-    """Content of gzip or zlib bytes; None if they are neither, False beyond the limit."""
-    if data[:2] != b"\x1f\x8b" and not (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-        return None
-    unpack = zlib.decompressobj(wbits=47)
-    try:
-        out = unpack.decompress(data, limit + 1)
-    except zlib.error:
-        return None
-    if len(out) > limit:
-        return False
-    return out if unpack.eof else None
+    start = at
+    while at < len(data) and (at == start or _PACKED.match(data[at : at + 3].decode("latin-1"))):
+        unpack = zlib.decompressobj(wbits=47)
+        while at < len(data) and not unpack.eof:
+            chunk, before, known = data[at : at + (1 << 14)], unpack.copy(), (len(out), size)
+            try:
+                feed(unpack, chunk)
+                at += len(chunk) - len(unpack.unused_data)
+            except zlib.error:
+                if known[1] <= limit:
+                    del out[known[0] :]
+                    size = known[1]
+                try:
+                    for i in range(len(chunk)):
+                        at += 1
+                        feed(before, chunk[i : i + 1])
+                except zlib.error:
+                    pass
+                return (b"".join(out) if size <= limit else None), at, again
+        if not unpack.eof:
+            break
+        again = at
+    return (b"".join(out) if size <= limit else None), at, again
 
 
 class _Layer:
@@ -139,21 +177,6 @@ def _edited(layer: _Layer, edits: list[tuple[int, int, str]]) -> _Layer:
     return _Layer(text, starts[kept], to[kept])
 
 
-def _characters(data: bytes, of: list[tuple[int, int]], layer: _Layer) -> _Layer | None:
-    """Layer of UTF-8 ``data`` whose byte i came from ``of[i]`` in ``layer``."""
-    text = data.decode("utf-8")
-    if layer.whole:
-        return _Layer(text, whole=layer.whole)
-    starts, ends, at = [], [], 0
-    for c in text:
-        n = len(c.encode("utf-8"))
-        start, end = layer.at(of[at][0], of[at + n - 1][1])
-        starts.append(start)
-        ends.append(end)
-        at += n
-    return _Layer(text, np.array(starts, np.int64), np.array(ends, np.int64))
-
-
 def _percent(layer: _Layer):
     """The text with all percent escapes decoded in place, so plain keywords before them
     stay. One character a byte: the rules and the encodings are ASCII, as UTF-8 keeps it."""
@@ -176,34 +199,59 @@ def _unicode(layer: _Layer):
         yield _edited(layer, edits)
 
 
-def _base64(layer: _Layer, limit: int):
+def _base64(layer: _Layer):
+    """Layers of each run, wrapped lines joined, at all four alignments: groups of four decode
+    by themselves, so a value anywhere in the run is whole in one of them. One character a byte."""
     for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1 or run.islower() and run.isalpha():  # no base64, or one long word
+        if m.end() - m.start() < LEAST_RUN:
             continue
-        try:
-            data = base64.b64decode(run.translate({45: 43, 95: 47}) + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
+        at, run = np.arange(m.start(), m.end()), m[0]
+        if "\n" in run or "\r" in run or "\\" in run:
+            kept = np.ones(len(run), bool)
+            for end in _LINE_END.finditer(run):
+                kept[end.start() : end.end()] = False
+            at, run = at[kept], _LINE_END.sub("", run)
+        letters = run.rstrip("=").encode().translate(_STANDARD)
+        if len(letters) < LEAST_RUN:
             continue
-        whole = layer.at(m.start(), m.end())
-        packed = _inflate(data, limit)
-        if packed is False:
-            yield OPAQUE, whole
-            continue
-        depth = 0
-        while packed is not None and packed is not False and (deeper := _inflate(packed, limit)) is not None:
-            depth += 1
-            if deeper == packed or deeper is False:  # a cycle of compressed bytes, or too large
-                if deeper is False:
-                    yield OPAQUE, whole
-                break
-            packed = deeper
-        if packed:
-            if (text := _readable(packed)) is not None:
-                yield _Layer(text, whole=whole)
-        elif (text := _readable(data)) is not None:
-            of = [(m.start() + i // 3 * 4, min(m.end(), m.start() + i // 3 * 4 + 4)) for i in range(len(data))]
-            yield _characters(data, of, layer)
+        for by in range(4):
+            part = letters[by : len(letters) - ((len(letters) - by) % 4 == 1)]
+            data = binascii.a2b_base64(part + b"=" * (-len(part) % 4))
+            if len(data) < LEAST_LAYER:
+                continue
+            text = data.decode("latin-1")
+            if layer.whole:
+                yield _Layer(text, whole=layer.whole)
+                continue
+            group = np.arange(len(data)) // 3 * 4 + by
+            low, high = at[group], at[np.minimum(group + 3, len(at) - 1)]
+            yield _Layer(text, low, high + 1) if layer.first else _Layer(text, layer.starts[low], layer.ends[high])
+
+
+def _packed(layer: _Layer, limit: int):
+    """Content of compressed bytes anywhere in a decoded layer, whichever way it was encoded."""
+    if layer.first or not (m := _PACKED.search(layer.text)):
+        return
+    data = layer.text.encode("latin-1", "replace")
+    while m:
+        out, end, again = _inflate(data, m.start(), limit)
+        if out is None:
+            yield OPAQUE, layer.at(m.start(), end)
+        elif len(out) >= LEAST_LAYER:
+            yield _Layer(out.decode("latin-1"), whole=layer.at(m.start(), end))
+        m = _PACKED.search(layer.text, again)
+
+
+def _wide(layer: _Layer):
+    """UTF-16 of either order in a decoded layer, its ASCII brought together in place."""
+    if layer.first or "\0" not in layer.text:
+        return
+    edits = []
+    for m in _WIDE.finditer(layer.text):
+        of = m[0].replace("\0", "")
+        edits += [(m.start() + 2 * i, m.start() + 2 * i + 2, c) for i, c in enumerate(of)]
+    if edits:
+        yield _edited(layer, edits)
 
 
 def scan(text: str | None, limit: int = MAX_LAYER) -> tuple[list, list]:
@@ -223,11 +271,11 @@ def scan(text: str | None, limit: int = MAX_LAYER) -> tuple[list, list]:
             for start, kind, end in base_spans(layer.text):
                 a, b = layer.at(start, end)
                 added.add((a, kind, b))
-        for decode in (_percent(layer), _unicode(layer), _base64(layer, limit)):
+        for decode in (_percent(layer), _unicode(layer), _base64(layer), _packed(layer, limit), _wide(layer)):
             for new in decode:
                 if isinstance(new, tuple):
                     added.add((new[1][0], OPAQUE, new[1][1]))
-                elif new is not None and new.text and new.text != layer.text:
+                elif new.text != layer.text:
                     work.append(new)
     return in_order(base), in_order([*base, *added])
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import random
 import re
 import urllib.parse
 import zlib
@@ -74,6 +75,53 @@ def test_escaped_values_behind_plain_keywords(escaped, form):
     assert value not in X.redact(text) and X.redact(text).endswith(" after")
 
 
+LONG = "".join(f"line {i} of a config; " for i in range(20)) + SECRET + "".join(f"; line {i * i}" for i in range(9))
+PACKED = gzip.compress(LONG.encode(), mtime=0)
+WRAP = lambda s, n, end="\n": end.join(s[i : i + n] for i in range(0, len(s), n))
+UNICODE = lambda b: "".join(f"\\x{c:02x}" for c in b)
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        *("/x_-"[:i] + B64(SECRET) for i in range(5)),
+        *("example"[i:] + "/x/" + B64(PACKED) for i in range(4)),
+        "key_" + B64(zlib.compress(SECRET.encode())) + "_x",
+        *(WRAP(B64(LONG), n, end) for n in (10, 64, 76) for end in ("\n", "\r\n", "\n  ", "\\n")),
+        *(WRAP(B64(b), 64) for b in (PACKED, zlib.compress(LONG.encode()))),
+        "first words of\n" + WRAP(B64(PACKED), 76) + "\nlast",
+        B64(b"\xff\xfe\x00\x01\x02" * 9 + SECRET.encode() + b"\x90" * 30),
+        *(B64(b"\x07" * i + SECRET.encode(code)) for code in ("utf-16", "utf-16-le", "utf-16-be") for i in (0, 1)),
+        B64(gzip.compress(b"nothing here") + PACKED),
+        *(B64(packed[:-n]) for packed in (PACKED, zlib.compress(LONG.encode())) for n in (1, 8, 20)),
+        B64(b"\x00" * 512 + PACKED),
+        B64(gzip.compress(b"\xff" * 40 + zlib.compress(SECRET.encode(), wbits=9))),
+        "".join(f"%{c:02X}" for c in PACKED),
+        urllib.parse.quote_from_bytes(zlib.compress(SECRET.encode())),
+        UNICODE(PACKED),
+        "".join(f"&#{c};" for c in PACKED),
+    ],
+)
+def test_runs_in_any_place_and_of_any_bytes(hidden):
+    text = f"é🙂 before: {hidden}. after"
+    base, spans = X.scan(text)
+    found = [(a, b) for a, k, b in spans if k == "assign"]
+    assert not base and found and all(11 <= a < b <= 11 + len(hidden) for a, b in found)
+    assert X.redact(text).endswith(". after")
+
+
+def test_damaged_streams_give_what_stands_before():
+    whole = gzip.compress(LONG.encode() + random.Random(1).randbytes(40_000) + b"z" * 1_200_000)
+    for at in (-6, -2000, 30_000):  # checksum, end, middle
+        packed = bytearray(whole)
+        packed[at] ^= 255
+        assert "assign" in [k for _, k, _ in X.scan(B64(bytes(packed)))[1]]
+    member = gzip.compress(LONG.encode())
+    assert X._inflate(member * 3 + b"rest", 0, 1 << 20)[:2] == (LONG.encode() * 3, 3 * len(member))
+    assert X._inflate(whole, 0, 1 << 30)[0] == gzip.decompress(whole)
+    assert X._inflate(whole + b"rest", 0, 1 << 20)[:2] == (None, len(whole))
+
+
 def test_plain_words_and_chains_add_nothing():
     for text in ("Donaudampfschifffahrtsgesellschaft 100% sure", "%" + "25" * 40_000 + "41", "\\" + "u005c" * 20_000 + "u0041", "Ab1+" * 200_000):
         base, spans = X.scan(text)
