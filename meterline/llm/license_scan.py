@@ -1,12 +1,15 @@
 """License scan: winnowed template fingerprints, then banded alignment.
 
 Templates are normalised to words (letters, digits, inner dots and hyphens, lower
-case). Their word k-grams are winnowed: of every window of neighbouring hashes the
+case). ``GRAM`` words are a gram, fewer for a template in which the least coverage could
+leave shorter runs only. Grams are winnowed (of every window of neighbouring hashes the
 smallest stays, so any run of ``GRAM + WINDOW - 1`` words that a text shares with a
-template holds a fingerprint. An inverted index leads from a fingerprint to
-templates and places. All k-grams of a text are looked up; hits on nearby diagonals
-are one candidate, and a banded alignment of the whole template against that part
-of the text gives the words in common, the coverage and the span.
+template holds a fingerprint) where that coverage always leaves such a run, else all are
+kept, so words changed in place never hide a template. An inverted index leads from a
+fingerprint to templates and places. All grams of a text are looked up; hits on nearby
+diagonals are one candidate, and hits that go back in the template part its copies. A
+banded alignment of the whole template against that part of the text gives the words in
+common, the coverage and the span.
 
 The set of templates is a parameter of fixed size, so it is sent to all tasks; the
 texts are read once and nothing is shuffled.
@@ -92,36 +95,49 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> list[int]:
     return sorted(at)
 
 
+def sure_run(words: int, min_coverage: float) -> int:
+    """Words in a row that are left at least when a template keeps its least coverage."""
+    lost = words - least(words, min_coverage)
+    return -(-(words - lost) // (lost + 1))
+
+
+def least(words: int, min_coverage: float) -> int:
+    """Fewest matched words of that coverage."""
+    return next((n for n in range(1, words) if n / words >= min_coverage), words)
+
+
 @dataclass
 class Index:
-    """Word numbers of the templates (0: any other word) and their fingerprints."""
+    """Word numbers of the templates (0: any other word) and their fingerprints by gram size."""
 
     templates: dict[str, str]
+    min_coverage: float = MIN_COVERAGE
     names: list[str] = field(init=False)
     vocabulary: dict[str, int] = field(init=False)
     words: list[np.ndarray] = field(init=False)
-    hashes: np.ndarray = field(init=False)
-    places: list[list[tuple[int, int]]] = field(init=False)
+    grams: dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]] = field(init=False)
 
     def __post_init__(self) -> None:
         self.names = sorted(self.templates)
         split = [normal(self.templates[n]) for n in self.names]
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for words in split for w in words}))}
         self.words = [np.array([self.vocabulary[w] for w in words], np.int64) for words in split]
-        found: dict[int, list[tuple[int, int]]] = {}
+        found: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for no, ids in enumerate(self.words):
-            hashes = gram_hashes(ids)
-            for at in winnow(hashes):
-                found.setdefault(int(hashes[at]), []).append((no, at))
-        self.hashes = np.array(sorted(found), np.uint64)
-        self.places = [found[h] for h in sorted(found)]
+            run = sure_run(len(ids), self.min_coverage)
+            size = max(1, min(GRAM, run))
+            hashes = gram_hashes(ids, size)
+            for at in winnow(hashes) if run >= GRAM + WINDOW - 1 else range(len(hashes)):
+                found.setdefault(size, {}).setdefault(int(hashes[at]), []).append((no, at))
+        self.grams = {size: (np.array(sorted(of), np.uint64), [of[h] for h in sorted(of)]) for size, of in found.items()}
 
 
 def align(template: list[int], part: list[int], shift: int, band: int = BAND) -> tuple[int, int, int]:
     """(words in common, first, last place in ``part``) of the best alignment of the
-    template whose place j meets places j + shift - band .. j + shift + band of the part."""
-    # best[d]: (matches, -first, last) of alignments that end at diagonal d
-    none = (0, 0, -1)
+    template whose place j meets places j + shift - band .. j + shift + band of the part;
+    of equal ones the shortest, then the one nearest to the shift."""
+    # best[d]: (matches, first, -last) of alignments that end at diagonal d
+    none = (0, 0, 1)
     best = [none] * (2 * band + 1)
     for j, word in enumerate(template):
         new = []
@@ -129,44 +145,56 @@ def align(template: list[int], part: list[int], shift: int, band: int = BAND) ->
             at = j + shift - band + d
             score = best[d]  # both advance
             if 0 <= at < len(part) and part[at] == word:
-                score = (score[0] + 1, score[1] if score[0] else -at, at)
+                score = (score[0] + 1, score[1] if score[0] else at, -at)
             if d and new[-1] > score:  # the part's word is skipped
                 score = new[-1]
             if d < 2 * band and best[d + 1] > score:  # the template's word is skipped
                 score = best[d + 1]
             new.append(score)
         best = new
-    matches, first, last = max(best)
-    return matches, -first, last
+    matches, _, _, first, last = max((m, a + b, -abs(d - band), a, -b) for d, (m, a, b) in enumerate(best))
+    return matches, first, last
 
 
-def candidates(index: Index, ids: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(template, diagonal) of clusters of fingerprint hits."""
+def candidates(index: Index, ids: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(template, diagonal, low, high) of clusters of fingerprint hits, and the part of the
+    text each may use: all of it, and again what neighbouring copies leave."""
     known = np.flatnonzero(ids)
-    if len(known) < GRAM:
-        return
-    starts = known[: -GRAM + 1][known[GRAM - 1 :] - known[: -GRAM + 1] == GRAM - 1]
-    if not len(starts):
-        return
-    hashes = gram_hashes_at(ids, starts)
-    at = np.searchsorted(index.hashes, hashes)
-    hit = np.flatnonzero((at < len(index.hashes)) & (index.hashes[np.minimum(at, len(index.hashes) - 1)] == hashes))
-    diagonals: dict[int, list[int]] = {}
-    for i in hit.tolist():
-        for no, place in index.places[at[i]]:
-            diagonals.setdefault(no, []).append(int(starts[i]) - place)
-    for no, of in diagonals.items():
-        of.sort()
-        first = of[0]
-        for d, after in zip(of, [*of[1:], None]):
+    hits: dict[int, list[tuple[int, int, int]]] = {}
+    for size, (of, places) in index.grams.items():
+        if len(known) < size:
+            continue
+        starts = known[: len(known) - size + 1]
+        starts = starts[known[size - 1 :] - starts == size - 1]
+        if not len(starts):
+            continue
+        hashes = gram_hashes_at(ids, starts, size)
+        at = np.minimum(np.searchsorted(of, hashes), len(of) - 1)
+        for i in np.flatnonzero(of[at] == hashes).tolist():
+            for no, place in places[at[i]]:
+                hits.setdefault(no, []).append((int(starts[i]), place, size))
+    for no, of in hits.items():
+        diagonals = sorted({start - place for start, place, _ in of})
+        first = diagonals[0]
+        for d, after in zip(diagonals, [*diagonals[1:], None]):
             if after is None or after - first > BAND:
-                yield no, (first + d) // 2
+                yield no, (first + d) // 2, 0, len(ids)
                 first = after
-
-
-def gram_hashes_at(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        copies: list[list[tuple[int, int, int]]] = []
+        for hit in sorted(of):
+            last = copies[-1][-1] if copies else None
+            if last is None or hit[1] <= last[1] or abs(hit[0] - hit[1] - copies[-1][0][0] + copies[-1][0][1]) > BAND:
+                copies.append([])
+            copies[-1].append(hit)
+        for before, own, after in zip([None, *copies], copies, [*copies[1:], None]) if len(copies) > 1 else ():
+            of_own = [start - place for start, place, _ in own]
+            low = before[-1][0] + before[-1][2] if before else 0
+            yield no, (min(of_own) + max(of_own)) // 2, low, after[0][0] if after else len(ids)
+
+
+def gram_hashes_at(ids: np.ndarray, starts: np.ndarray, size: int = GRAM) -> np.ndarray:
     out = np.zeros(len(starts), np.uint64)
-    for i in range(GRAM):
+    for i in range(size):
         out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + ids[starts + i].astype(np.uint64) + np.uint64(1)
     return out * np.uint64(0xD6E8FEB86659FD93)
 
@@ -176,6 +204,7 @@ class Scanner:
 
     def __init__(self, index: Index, min_coverage: float = MIN_COVERAGE) -> None:
         self.index, self.min_coverage = index, min_coverage
+        self.least = [least(len(words), min_coverage) for words in index.words]
         of = index.vocabulary
         self.table = WordTable(lambda ws: [[of.get(w, 0) for w in normal(b.decode())] for b in ws], np.int64)
 
@@ -186,10 +215,12 @@ class Scanner:
         ids = self.table.gather(numbers)
         found: dict[tuple[int, int, int], tuple] = {}
         spans = None
-        for no, diagonal in candidates(self.index, ids):
+        for no, diagonal, low, high in dict.fromkeys(candidates(self.index, ids)):
             template = self.index.words[no]
-            low = max(0, diagonal - BAND)
-            part = ids[low : diagonal + len(template) + BAND]
+            low = max(low, diagonal - BAND)
+            part = ids[low : max(low, min(high, diagonal + len(template) + BAND))]
+            if np.isin(template, part).sum() < self.least[no]:
+                continue
             matches, first, last = align(template.tolist(), part.tolist(), diagonal - low)
             coverage = matches / len(template)
             if coverage < self.min_coverage:
@@ -203,13 +234,16 @@ class Scanner:
             start, end = spans[low + first][0], spans[low + last][1]
             key = (no, start, end)
             found[key] = (self.index.names[no], coverage, matches, start, end)
-        rows = sorted(found.values(), key=lambda r: (r[3], r[0], r[4]))
-        return [r for r in rows if not any(_better(other, r) for other in rows)]
+        kept: list[tuple] = []
+        for row in sorted(found.values(), key=lambda r: (-r[1], -r[2], r[4] - r[3], r[3], r[0])):
+            if not any(_better(other, row) for other in kept):
+                kept.append(row)
+        return sorted(kept, key=lambda r: (r[3], r[0], r[4]))
 
 
 def _better(a: tuple, b: tuple) -> bool:
-    """True if a overlaps b, covers more of its template, and no fewer words."""
-    return a[3] < b[4] and b[3] < a[4] and a[1] > b[1] and a[2] >= b[2]
+    """True if a overlaps b and is of its template, or covers more of its own and no fewer words."""
+    return a[3] < b[4] and b[3] < a[4] and (a[0] == b[0] or a[1] > b[1] and a[2] >= b[2])
 
 
 COLUMNS = "license string, coverage double, matched_words long, start long, end long"
@@ -228,7 +262,7 @@ def scan(
     coverage and no fewer words is that one's near relative and left out. A text without matches, a null or
     an empty one gives none. Repeated rows repeat their matches; null ids are kept.
     """
-    index = Index(TEMPLATES if templates is None else templates)
+    index = Index(TEMPLATES if templates is None else templates, min_coverage)
     sent = docs.sparkSession.sparkContext.broadcast(index)
     kinds = dict(docs.dtypes)
     schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + COLUMNS

@@ -54,6 +54,29 @@ def test_finds_spans(spark):
     assert {text[21][r.start : r.end] for r in notices} == {edited[: -len(".")]}
 
 
+def test_every_changed_word_and_every_copy_is_found():
+    scanner = L.Scanner(L.Index(L.TEMPLATES))
+    for name, template in L.TEMPLATES.items():
+        words = L.normal(template)
+        lost = len(words) - L.least(len(words), L.MIN_COVERAGE)
+        step = max(1, len(words) // (lost + 1))
+        for shift in range(min(step, len(words))):
+            places = list(range(shift, len(words), step))[:lost]
+            edited = ["zzz" if i in places else w for i, w in enumerate(words)]
+            got = scanner("before " + " ".join(edited) + " after")
+            near = [k for k, c, *_ in got if c >= 1 - lost / len(words) - 1e-9]
+            assert near, (name, edited)
+            assert name in near or L.normal(template)[0] in edited or len(words) > 5, (name, edited)
+    assert [r[0] for r in scanner("Licensed under the MIT License")] == ["mit"]
+    for line, name in (("All rights reserved.", "reserved"), ("Released under the MIT License.", "mit"), ("Licensed under CC BY 4.0.", "cc-by-4.0")):
+        text = " ".join([line] * 5)
+        assert [(k, a, b) for k, _, _, a, b in scanner(text) if k == name] == [
+            (name, i * (len(line) + 1), i * (len(line) + 1) + len(line) - 1) for i in range(5)
+        ]
+    mixed = "Released under zzz MIT License. Released under the MIT License. Released under the MIT zzz."
+    assert [r[2] for r in scanner(mixed) if r[0] == "mit"] == [4, 5, 4]
+
+
 def test_given_lines_are_all_found(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
     lines = {k: L.TEMPLATES[k] for k in ("apache-2.0", "cc-by-nc-4.0", "gpl-3.0", "mit")}
