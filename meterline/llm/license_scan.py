@@ -32,38 +32,92 @@ GRAM, WINDOW, BAND = 3, 3, 6
 #: Least share of a template's words that a report covers.
 MIN_COVERAGE = 0.8
 
-# Common notices, as their owners publish them.
+# Whole standard notices and short license texts, without the copyright line,
+# and the one-line statements that stand for a license. Texts of many pages (Apache, GPL,
+# LGPL, AGPL, MPL, Creative Commons) are found by their notices.
+_SOFTWARE = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED '
+    "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+    "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+    "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+    "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+    "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+    "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+    "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+    "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+    "materials provided with the distribution. "
+)
+
+
+def _gnu(name: str, version: str) -> str:
+    return (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+        f"{name} as published by the Free Software Foundation, either version {version} of the License, or (at your "
+        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        f"GNU {name} for more details. You should have received a copy of the GNU {name} along with this program. "
+        "If not, see <https://www.gnu.org/licenses/>."
+    )
+
+
 TEMPLATES = {
     "agpl-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "agpl-3.0-notice": _gnu("Affero General Public License", "3"),
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
         "compliance with the License. You may obtain a copy of the License at "
         "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
         'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR '
-        "CONDITIONS OF ANY KIND, either express or implied."
+        "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
+        "permissions and limitations under the License."
+    ),
+    "bsd-2-clause": _BSD + _SOFTWARE,
+    "bsd-3-clause": (
+        _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+        "or promote products derived from this software without specific prior written permission. " + _SOFTWARE
     ),
-    "bsd": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-        "that the following conditions are met:"
+    "bsl-1.0-notice": (
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at "
+        "https://www.boost.org/LICENSE_1_0.txt)"
     ),
     "cc-by-4.0": "Licensed under CC BY 4.0.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
+    "gpl-2.0-notice": _gnu("General Public License", "2"),
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0-notice": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version."
+    "gpl-3.0-notice": _gnu("General Public License", "3"),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE '
+        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR "
+        "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF "
+        "USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF "
+        "OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
     ),
+    "lgpl-2.1-notice": _gnu("Lesser General Public License", "2.1"),
+    "lgpl-3.0-notice": _gnu("Lesser General Public License", "3"),
     "mit": "Released under the MIT License.",
     "mit-notice": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-        'associated documentation files (the "Software"), to deal in the Software without restriction'
+        'associated documentation files (the "Software"), to deal in the Software without restriction, including '
+        "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+        "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+        "following conditions: The above copyright notice and this permission notice shall be included in all copies "
+        'or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, '
+        "EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, "
+        "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
-        "was not distributed with this file, You can obtain one at"
+        "was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
     "reserved": "All rights reserved.",
 }
@@ -233,17 +287,19 @@ class Scanner:
                 ]
             start, end = spans[low + first][0], spans[low + last][1]
             key = (no, start, end)
-            found[key] = (self.index.names[no], coverage, matches, start, end)
+            found[key] = (self.index.names[no], coverage, matches, start, end, last - first >= matches)
         kept: list[tuple] = []
         for row in sorted(found.values(), key=lambda r: (-r[1], -r[2], r[4] - r[3], r[3], r[0])):
             if not any(_better(other, row) for other in kept):
                 kept.append(row)
-        return sorted(kept, key=lambda r: (r[3], r[0], r[4]))
+        return [r[:5] for r in sorted(kept, key=lambda r: (r[3], r[0], r[4]))]
 
 
 def _better(a: tuple, b: tuple) -> bool:
-    """True if a overlaps b and is of its template, or covers more of its own and no fewer words."""
-    return a[3] < b[4] and b[3] < a[4] and (a[0] == b[0] or a[1] > b[1] and a[2] >= b[2])
+    """True if a overlaps b and is of its template, or covers more of its own and no fewer words,
+    or as much and more words where b skips some (GPL in AGPL)."""
+    more = a[1] > b[1] and a[2] >= b[2] or a[1] == b[1] and a[2] > b[2] and b[5]
+    return a[3] < b[4] and b[3] < a[4] and (a[0] == b[0] or more)
 
 
 COLUMNS = "license string, coverage double, matched_words long, start long, end long"
@@ -259,7 +315,8 @@ def scan(
 
     Places are code points, end exclusive. A text may match several templates and
     one template in several places, each a row, but a match that overlaps one of more
-    coverage and no fewer words is that one's near relative and left out. A text without matches, a null or
+    coverage and no fewer words, or skips words of one of equal coverage, is that one's
+    near relative and left out. A text without matches, a null or
     an empty one gives none. Repeated rows repeat their matches; null ids are kept.
     """
     index = Index(TEMPLATES if templates is None else templates, min_coverage)

@@ -77,6 +77,15 @@ def test_every_changed_word_and_every_copy_is_found():
     assert [r[2] for r in scanner(mixed) if r[0] == "mit"] == [4, 5, 4]
 
 
+def test_whole_texts_tell_families_apart():
+    scanner = L.Scanner(L.Index(L.TEMPLATES))
+    for name in ("agpl-3.0", "agpl-3.0-notice", "bsd-2-clause", "bsd-3-clause", "gpl-2.0-notice", "gpl-3.0-notice", "isc", "lgpl-2.1-notice", "lgpl-3.0-notice", "mit-notice", "mpl-2.0"):
+        text = L.TEMPLATES[name]
+        assert [(k, c) for k, c, *_ in scanner("Copyright 2020 A. B.\n\n" + text + "\nend")] == [(name, 1.0)]
+    for name in ("bsd-2-clause", "mit-notice"):  # an opening sentence alone is not the license
+        assert not scanner(" ".join(L.TEMPLATES[name].split()[:24]))
+
+
 def test_given_lines_are_all_found(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
     lines = {k: L.TEMPLATES[k] for k in ("apache-2.0", "cc-by-nc-4.0", "gpl-3.0", "mit")}
