@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from meterline.llm import (
+    binary_packing,
     byte_bpe,
     language_id,
     license_scan,
@@ -15,9 +16,11 @@ from meterline.llm import (
     quality_llr,
     secret_scan,
     simhash_cover,
+    spelling_variants,
     url_rules,
     vector_packing,
     warc,
+    word_runs,
 )
 from meterline.llm.common import ship
 
@@ -43,6 +46,9 @@ _ALL: dict[str, Query] = {
     "op8_language_id": language_id.query,
     "op9_secret_scan": secret_scan.query,
     "op10_simhash_near_dedup": simhash_cover.query,
+    "op11_spelling_variants": spelling_variants.query,
+    "op12_power_packing": binary_packing.query,
+    "op13_word_runs": word_runs.query,
     "pipeline": corpus_pipeline.run,
 }
 QUERIES: dict[str, Query] = {name: _shipped(query) for name, query in _ALL.items()}
