@@ -36,7 +36,10 @@ FILE_BYTES, RANGE_BYTES = 256 << 20, 16 << 20
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MAGIC = b"\x1f\x8b\x08"
-_MOST_HEADER = 1 << 20
+#: Bytes in which a record's version line ends; headers may be of any length.
+_VERSION_LINE = 64
+#: Reading ranges up to which each gets a task; beyond, tasks take up to ``_RANGES`` of them.
+_TASKS, _RANGES = 4096, 8
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
@@ -127,6 +130,7 @@ class Archive:
         """Headers, block and end of the record whose member starts at ``at``; None if none does."""
         unpack, data, pos = zlib.decompressobj(31), bytearray(), at
         headers = length = body = None
+        seen = 0  # bytes without the end of the headers
         while not unpack.eof:
             chunk = self.source.read_at(min(1 << 16, self.size - pos), pos) if pos < self.size else b""
             if not chunk:
@@ -139,9 +143,10 @@ class Archive:
             if headers is None:
                 if data[:5] != b"WARC/"[: len(data[:5])]:
                     return None
-                if (end := data.find(b"\r\n\r\n")) < 0:
-                    if len(data) > _MOST_HEADER:
-                        return None
+                if len(data) >= _VERSION_LINE and b"\r\n" not in data[:_VERSION_LINE]:
+                    return None
+                if (end := data.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+                    seen = len(data)
                     continue
                 headers, body = _headers(bytes(data[:end])), end + 4
                 if headers is None or not headers.get("content-length", "").isdigit():
@@ -210,12 +215,17 @@ def read(manifest: DataFrame, range_bytes: int = RANGE_BYTES, with_payload: bool
 
     A response's size and digest are those of the payload read, and the digest must
     be the recorded one; a revisit has no payload and gives those of its headers.
+    Tasks grow with the bytes: one a range, and for over ``_TASKS`` ranges one for
+    ``_RANGES`` at most. A task holds one record; headers may be of any length.
     """
     schema = RECORD + ", payload binary" * with_payload
     arrow = arrow_schema(schema)
     ranges = manifest.select(
         "file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes))).alias("start")
-    ).repartition("file", "start")
+    )
+    # a number given here is kept; without one all ranges, tiny as rows, would be merged into one task
+    n = manifest.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
+    ranges = ranges.repartition(int(max(min(n, _TASKS), -(-n // _RANGES))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import random
 
 import pyarrow as pa
 import pytest
@@ -65,6 +66,28 @@ def test_damage_is_loud():
         list(W.Archive(pa.BufferReader(data), len(data)).records(0, len(data)))
 
 
+def test_ranges_are_read_by_many_tasks(spark):
+    rows = [(i, None, random.Random(i).randbytes(300).hex()) for i in range(200)]
+    manifest = W.write(W.with_revisits(spark.createDataFrame(rows, PAGES)), shared_folder(spark, "warc"))
+    got = W.read(manifest, 1000)
+    ranges = sum(-(-r.bytes // 1000) for r in manifest.collect())
+    assert ranges > 30 and got.rdd.getNumPartitions() == ranges
+    assert sorted(r.page_id for r in got.collect()) == list(range(200))
+
+
+def test_headers_of_any_length(spark):
+    url = "http://long/" + random.Random(1).randbytes(1 << 20).hex()  # 2 MiB, hardly compressible
+    rows = [(1, None, "a" * 200), (2, url, "b" * 200), (3, None, "c" * 200)]
+    manifest = W.write(W.with_revisits(spark.createDataFrame(rows, PAGES).coalesce(1)), shared_folder(spark, "warc"))
+    for range_bytes in (100_003, 1 << 24):  # alone at the start of a range, and in step
+        got = {r.page_id: r for r in W.read(manifest, range_bytes).collect()}
+        assert sorted(got) == [1, 2, 3] and got[2].target_uri == url
+    record = gzip.compress(W.record(2, url, b"b", hashlib.sha256(b"b").hexdigest(), None))
+    data = gzip.compress(W.record(1, None, b"a", hashlib.sha256(b"a").hexdigest(), None))
+    archive = W.Archive(pa.BufferReader(data + record), len(data + record))
+    assert [o for o, _, _ in archive.records(len(data) - 5, len(data) + 5)] == [len(data)]
+
+
 def test_equals_sql(spark, small):
     assert difference(W.query(spark, small), duck(small), W.SQL) is None
 
