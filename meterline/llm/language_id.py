@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from meterline.llm.common import cut, held_out, per_row, table
 
 BUCKETS, ORDERS = 1 << 16, 3
-#: Bound of the fitted sample: documents of each language, those of the smallest hash of doc_id.
+#: Bound of the fitted sample: distinct rows of each language, those of the smallest hash of id and text.
 SAMPLE = 800
 #: Follow-the-regularised-leader: step size, its offset, penalties, passes.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.05, 0.05, 3
@@ -126,20 +126,23 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learns from text and non-null lang of documents outside the held-out fifth;
     None if there is no such document with a letter."""
     train = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = train.select("doc_id", "lang", F.xxhash64("doc_id").alias("order"))
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
+    rows = train.select("doc_id", "lang", "text", fold.alias("fold"), F.xxhash64("doc_id", "text").alias("order"))
     # Of each language's hashes only the lowest share, four times what is needed, gets to
     # the ranking: its size depends on the sample, not on the input or its partitions.
-    # The sizes are written first: a table known to be small joins without a shuffle.
-    sizes = cut(ids.groupBy("lang").agg(F.count("*").alias("n")), "language-sizes")
+    # Repeated rows count once and are merged before they are sent. The sizes are
+    # written first: a table known to be small joins without a shuffle.
+    sizes = cut(rows.groupBy("lang").agg(F.approx_count_distinct("order").alias("n")), "language-sizes")
     share = F.col("order") / F.lit(2.0**64) + 0.5
     by_lang = Window.partitionBy("lang").orderBy("order", "doc_id")
-    chosen = cut(
-        ids.join(sizes, "lang")
+    sampled = cut(
+        rows.join(sizes, "lang")
         .filter(share * F.col("n") <= 4 * sample + 100)
+        .groupBy("lang", "order", "doc_id")
+        .agg(F.min("fold").alias("fold"), F.min("text").alias("text"))
         .withColumn("no", F.row_number().over(by_lang))
         .filter(F.col("no") <= sample)
-        .select("doc_id")
-        .distinct(),
+        .select("order", "doc_id", "lang", "fold", "text"),
         "language-sample",
     )
 
@@ -173,13 +176,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, rows = Grams(), []
         for batch in batches:
-            for doc_id, lang, fold, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for order, doc_id, lang, fold, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if found := grams(text):
-                    rows.append((fold, doc_id, lang, found))
+                    rows.append((fold, (order, doc_id), lang, found))
         if not rows:
             return
         # an order that mixes languages and does not depend on how rows arrived
-        rows.sort(key=lambda r: (r[1] * 2654435761 % 4294967291, r[1], r[2]))
+        rows.sort(key=lambda r: r[1:3])
         languages = sorted({r[2] for r in rows})
         model = Model(languages, idf, np.zeros((1, 1)), 1.0)
         data = [(r[3][0], model.vector(*r[3])) for r in rows]
@@ -199,14 +202,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             names=["lang", "bucket", "weight"],
         )
 
-    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
-    fitted = (
-        train.select("doc_id", "lang", fold.alias("fold"), "text")
-        .join(chosen, "doc_id", "left_semi")
-        .coalesce(1)  # the bounded sample only
-        .mapInArrow(learn, "lang string, bucket long, weight double")
-        .toPandas()
-    )
+    # only the sample's rows, ``sample`` a language, meet in one task
+    fitted = sampled.repartition(1).mapInArrow(learn, "lang string, bucket long, weight double").toPandas()
     if not len(fitted):
         return None
     languages = sorted(fitted.lang[fitted.bucket == -1])

@@ -73,6 +73,50 @@ def test_leader_equals_the_plain_update():
     assert np.allclose(got, want, atol=1e-6)
 
 
+def test_whole_query_equals_a_plain_one(spark, tmp_path):
+    """Frequencies, fit, temperature and prediction on rows below the sample's bound."""
+    rnd = np.random.default_rng(4)
+    letters = {"xx": "abcdefg ", "yy": "efghijkl ", "zz": "klmnopa "}
+    rows = [(i, "".join(rnd.choice(list(letters[lang]), 60)), lang) for i, lang in enumerate(list(letters) * 30)]
+    rows += rows[:9] + [(200, None, "xx"), (201, "abc", None), (202, "12 3", "yy"), (203, "abc abd", "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    clashing(df).repartition(7).write.parquet(str(tmp_path / "documents.parquet"))
+    hashes = {(r.doc_id, r.text): r.h for r in df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).collect()}
+
+    crc = lambda i: zlib.crc32(str(i).encode())
+    grams, model_rows, seen, total = G.Grams(), {}, np.zeros(G.BUCKETS), 0
+    for i, text, lang in rows:
+        if crc(i) % 5 and lang and text is not None and (found := grams(text)):
+            seen[found[0]] += 1
+            total += 1
+            model_rows[hashes[i, text], i, lang] = (found, crc(i) % 5)
+    idf = np.log((1.0 + total) / (1.0 + seen)) + 1.0
+    languages = sorted(letters)
+    model = G.Model(languages, idf, np.zeros((1, 1)), 1.0)
+    ordered = [(lang, model.vector(*found), found[0], fold) for (_, _, lang), (found, fold) in sorted(model_rows.items())]
+    learnt = [r for r in ordered if r[3] != 1]
+    w = G.follow_the_leader([(at, x) for _, x, at, _ in learnt], [languages.index(r[0]) for r in learnt], 3)
+    tested = [r for r in ordered if r[3] == 1]
+    logits = np.array([x @ w[at] for _, x, at, _ in tested])
+    model = G.Model(languages, idf, w, G.temperature(logits, np.array([languages.index(r[0]) for r in tested])))
+
+    want = []
+    for i, text, _ in rows:
+        found = grams(text)
+        p = model.probabilities(*found) if found else None
+        want.append((i, languages[p.argmax()] if found else "und", float(p.max()) if found else 0.0))
+    got = [(r.doc_id, r.lang_pred, r.score) for r in G.query(spark, str(tmp_path)).collect()]
+    assert [g[:2] for g in sorted(got)] == [x[:2] for x in sorted(want)]
+    assert np.allclose([g[2] for g in sorted(got)], [x[2] for x in sorted(want)], atol=1e-5)
+
+
+def test_repeated_rows_do_not_fill_the_sample(spark):
+    same = [(1, "abc abd", "xx")] * 500
+    other = [(i, f"word {'e' * (i % 30)} zz", "yy") for i in range(2, 60)]
+    df = spark.createDataFrame(same + other, "doc_id long, text string, lang string")
+    assert G.fit(df, sample=20).languages == ["xx", "yy"]
+
+
 def test_temperature_is_the_best_on_its_grid():
     logits = np.array([[2.0, 0.0], [0.0, 1.0], [0.2, 0.0], [1.0, 0.5], [0.0, 2.0], [1.0, 0.0]])
     labels = np.array([0, 1, 1, 0, 1, 0])
