@@ -32,6 +32,8 @@ from meterline.llm.components import components
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Most fingerprints of a bucket that are compared with each other in one task.
 BUCKET_LIMIT = 8192
+#: Parts into which a component's fingerprints are dealt when they learn its smallest id.
+SALTS = 64
 
 
 def fingerprint(text: str | None) -> int:
@@ -200,14 +202,35 @@ def near_duplicates(
     rows = cut(fingerprints(docs, [id_col, *keys], text), "simhash")
     prints = cut(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-prints")
     roots = components(links(prints.select("fp"), bucket_limit))
-    placed = prints.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    small = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(small, "root").select("fp", "root", "component_id")
+    placed = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "root")
+    placed = cut(placed.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS))), "simhash-roots")
+    # a large component's rows are spread over (root, salt); each of these is told once
+    linked = placed.filter("root is not null")
+    parts = linked.groupBy("root", "salt").agg(F.min("least").alias("least"))
+    small = parts.groupBy("root").agg(F.min("least").alias("component_id"))
+    told = linked.join(parts.select("root", "salt").join(small, "root"), ["root", "salt"])
+    alone = placed.filter("root is null").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    named = told.select("fp", "root", "component_id").unionByName(alone)
     return rows.join(named, "fp").select(id_col, *keys, "fp", "root", "component_id")
 
 
+def survivors(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` of each component of near-duplicates: that of the smallest id.
+
+    Of rows that share that id, the one with the smallest hash of id and text stays,
+    once; null ids come after all others. All columns of ``docs`` are kept, whatever
+    their names. Empty in, empty out.
+    """
+    mark, own = (next(n for n in (f"__{c}{i or ''}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for c in ("row", "id"))
+    keyed = docs.withColumn(mark, F.xxhash64(id_col, text))
+    found = near_duplicates(keyed.select(id_col, text, mark), id_col, text, keys=(mark,))
+    order = F.struct(F.col(id_col).isNull(), id_col, mark)
+    first = found.groupBy("root").agg(F.min_by(F.struct(id_col, mark), order).alias("first"))
+    chosen = cut(first.select(F.col(f"first.`{id_col}`").alias(own), F.col(f"first.`{mark}`").alias(mark)), "kept")
+    rows = keyed.join(chosen, mark).filter(F.col(id_col).eqNullSafe(F.col(own)))
+    return rows.dropDuplicates([mark, id_col]).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))

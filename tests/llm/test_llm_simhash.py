@@ -70,3 +70,20 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_survivors_keep_every_column(spark):
+    docs = clashing(documents(spark)).withColumn("__row", F.col("doc_id")).withColumn("__id", F.lit("x"))
+    got = S.survivors(docs)
+    assert got.columns == docs.columns
+    rows = {r.doc_id: r for r in got.collect()}
+    assert sorted(rows, key=repr) == sorted({min(g, key=lambda i: (i is None, i)) for g in groups(spark)}, key=repr)
+    assert all(r["__row"] == i and r["__id"] == "x" for i, r in rows.items())
+
+
+def groups(spark):
+    """Ids of each component of the odd documents."""
+    out = {}
+    for r in S.near_duplicates(documents(spark)).collect():
+        out.setdefault(r.root, set()).add(r.doc_id)
+    return out.values()
