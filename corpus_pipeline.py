@@ -8,7 +8,6 @@ what their predecessor kept and learn from that alone, apart from ``labels``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from meterline.llm import language_id, quality_llr, secret_scan, simhash_cover, vector_packing
 from meterline.llm.common import cut, ship, table, where_text
@@ -31,19 +30,9 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates: that of the smallest id.
-
-    Of rows that share that id, the one with the smallest key of id and text stays,
-    once; null ids come after all others.
-    """
+    """One document of each component of near-duplicates: that of the smallest id."""
     ship(spark)
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    found = simhash_cover.near_duplicates(keyed, keys=("__row",))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
-    first = found.groupBy("root").agg(F.min_by(F.struct("doc_id", "__row"), order).alias("first"))
-    chosen = cut(first.select(F.col("first.doc_id").alias("__id"), F.col("first.__row").alias("__row")), "kept")
-    rows = keyed.join(chosen, "__row").filter(F.col("doc_id").eqNullSafe(F.col("__id")))
-    return rows.dropDuplicates(["__row", "doc_id"]).select(*docs.columns)
+    return simhash_cover.survivors(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
