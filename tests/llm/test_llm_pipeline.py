@@ -85,15 +85,16 @@ def test_null_ids_share_one_survivor(spark, folder):
     assert len(got) == 1 + (1 if len({repr(i) for i in ids}) == 2 else 0)
 
 
-def test_entry_without_the_subpackage(tmp_path):
-    """The other queries load where the subpackage and the pipeline are gone."""
+@pytest.mark.parametrize("gone", ["meterline.llm", "corpus_pipeline", "tiktoken", "tokenizers", "public_tokenizers"])
+def test_entry_without_the_subpackage(tmp_path, gone):
+    """The other queries load where the subpackage, the pipeline or a dependency is gone."""
     for name in ("__spark_entry__.py", "meterline", "oracle"):
         (tmp_path / name).symlink_to(ROOT / name)
     hide = (
         "import sys\n"
         "class Gone:\n"
         "    def find_spec(self, name, path=None, target=None):\n"
-        "        if name.startswith(('meterline.llm', 'corpus_pipeline')):\n"
+        f"        if name.startswith('{gone}'):\n"
         "            raise ModuleNotFoundError(f'No module named {name!r}', name=name)\n"
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e\n"
