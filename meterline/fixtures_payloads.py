@@ -266,3 +266,47 @@ def stream_daily_cost(b: Bronze) -> DataFrame:
         lines = silver.silver_billing(costs.billing_stream(spark, source), as_of=AS_OF)
         costs.store_updates(lines, target, checkpoint).awaitTermination()
     return costs.current_daily_cost(spark, target)
+
+
+def stream_runs_watermarked(b: Bronze) -> DataFrame:
+    """Four collections through the bounded state; finished copies come again and some come late."""
+    spark = b.spark
+    folder = shared_folder(spark, "stream-state")
+    source, target, checkpoint = (f"{folder}/{p}" for p in ("in", "out", "checkpoint"))
+    known = silver.seen_by(b.runs, AS_OF)
+    at = F.unix_millis("collect_timestamp")
+    late = (F.pmod(F.xxhash64("run_id"), F.lit(4)) == 0) & (F.col("result_state") != "RUNNING")
+    first, last = at < STREAM_CUT, at >= STREAM_CUT + 180 * DAY
+    again = (at >= STREAM_CUT - 30 * DAY) & (at < STREAM_CUT)
+    for part in (
+        known.filter(first & ~late),
+        known.filter((~first & ~last) | again & ~late),  # a month is collected again
+        known.filter(last),
+        known.filter(first & late),  # by now far behind the watermark
+    ):
+        part.write.mode("append").parquet(source)
+        runs.advance(_stream_of(part, source), target, checkpoint)
+    return silver.silver_job_runs(runs.final_runs(spark, target), as_of=AS_OF)
+
+
+def _stream_of(df: DataFrame, path: str) -> DataFrame:
+    """Files with the columns of ``df`` as a stream."""
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
+def stream_daily_windows(b: Bronze) -> DataFrame:
+    """Three batches of billing lines through daily windows: revised days, then days long closed."""
+    spark = b.spark
+    folder = shared_folder(spark, "stream-windows")
+    source, target, checkpoint = (f"{folder}/{p}" for p in ("in", "out", "checkpoint"))
+    known = silver.seen_by(b.billing, AS_OF)
+    at = F.unix_millis("collect_timestamp")
+    part_of_day = F.pmod(F.xxhash64("resource_id"), F.lit(3)) == 0
+    late = (at < STREAM_CUT - 200 * DAY) & part_of_day
+    revised = (at >= STREAM_CUT - 7 * DAY) & (at < STREAM_CUT) & part_of_day
+    second = (at >= STREAM_CUT) | revised
+    for part in (known.filter(~second & ~late), known.filter(second), known.filter(late)):
+        part.write.mode("append").parquet(source)
+        lines = silver.silver_billing(_stream_of(part, source), as_of=AS_OF)
+        costs.advance(lines, target, checkpoint)
+    return costs.windowed_daily_cost(spark, target)

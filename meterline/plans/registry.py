@@ -192,6 +192,14 @@ REPORTS: dict[str, Report] = {
         "workspace_name job_id run_id result_state execution_duration setup_duration "
         "cleanup_duration duration_hours~ is_success is_failed is_cancelled has_error",
     ),
+    "stream_runs_watermarked": Report(
+        lambda e: files.stream_runs_watermarked(e.bronze),
+        "workspace_name job_id run_id result_state execution_duration setup_duration "
+        "cleanup_duration duration_hours~ is_success is_failed is_cancelled has_error",
+    ),
+    "stream_daily_windows": Report(
+        lambda e: files.stream_daily_windows(e.bronze), "workspace_name date_parsed daily_cost_usd~6"
+    ),
     "stream_daily_cost": Report(
         lambda e: files.stream_daily_cost(e.bronze), "workspace_name date_parsed daily_cost_usd~6"
     ),

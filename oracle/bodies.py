@@ -43,6 +43,8 @@ select workspace_name, cloud, cast(cost_date as varchar) as date, resource_id, c
 from fx_billing where cloud <> 'gcp' or date_trunc('month', cost_date) between date '2001-08-01' - 1000 and date '2001-08-01'""",
     "stream_job_runs": "runs_2",
     "stream_daily_cost": "daily_2",
+    "stream_runs_watermarked": "runs_2",
+    "stream_daily_windows": "daily_2",
     "silver_clusters": "clusters_2",
     "silver_jobs": "jobs_2",
     "silver_job_runs": "runs_2",
