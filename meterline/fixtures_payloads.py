@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from meterline.fixtures import AS_OF, DAY, Bronze
+from meterline.fixtures import AS_OF, DAY, SNAPSHOTS, Bronze
 from meterline.operators import silver
+from meterline.plans import incremental
+from meterline.plans.pipeline import Warehouse
 from meterline.session import shared_folder
-from meterline.sources import billing, payloads
+from meterline.sources import billing, layers, payloads
 from meterline.streaming import costs, runs
 
 GCP_DAYS = 1000
@@ -310,3 +312,24 @@ def stream_daily_windows(b: Bronze) -> DataFrame:
         lines = silver.silver_billing(_stream_of(part, source), as_of=AS_OF)
         costs.advance(lines, target, checkpoint)
     return costs.windowed_daily_cost(spark, target)
+
+
+def _folded(b: Bronze, name: str, rows: DataFrame, fold) -> Warehouse:
+    """A warehouse whose bronze rows came in three collections, each folded in by itself."""
+    path = shared_folder(b.spark, f"folded-{name}")
+    at = F.unix_millis("collect_timestamp")
+    floor = 0
+    for until in SNAPSHOTS:
+        layers.append(rows.filter((at > floor) & (at <= until)), f"bronze.{name}", path, as_of=until)
+        run = Warehouse(b.spark, path, until)
+        fold(run)
+        floor = until
+    return run
+
+
+def folded_run_stats(b: Bronze) -> DataFrame:
+    return incremental.run_stats(_folded(b, incremental.RUNS, b.runs, incremental.fold_runs))
+
+
+def folded_daily_cost(b: Bronze) -> DataFrame:
+    return incremental.daily(_folded(b, incremental.COSTS, b.billing, incremental.fold_costs))

@@ -25,9 +25,18 @@ from meterline.operators import (
     scores,
     silver,
 )
+from meterline.plans import incremental
 from meterline.sources import layers
 
 
+#: Inventory tables: key of a resource, and what derives silver from bronze.
+INVENTORY = {
+    "compute_clusters": ("cluster_id", silver.silver_clusters),
+    "compute_jobs": ("job_id", silver.silver_jobs),
+    "storage_tables": ("full_table_name", silver.silver_tables),
+}
+
+
 class Warehouse:
     """One warehouse folder at one instant."""
 
@@ -55,12 +64,7 @@ class Warehouse:
     def process(self) -> None:
         """Bronze to silver to gold, and the compute cost estimates."""
         at, cfg = self.as_of, self.cfg
-        inventory = {
-            "compute_clusters": ("cluster_id", silver.silver_clusters),
-            "compute_jobs": ("job_id", silver.silver_jobs),
-            "storage_tables": ("full_table_name", silver.silver_tables),
-        }
-        for name, (key, derive) in inventory.items():
+        for name, (key, derive) in INVENTORY.items():
             newest = silver.latest_snapshot(self.known(f"bronze.{name}"), [key])
             self.replace(derive(newest, as_of=at, cfg=cfg), f"silver.{name}")
         runs = silver.latest_runs(self.known("bronze.compute_job_runs"))
@@ -68,16 +72,31 @@ class Warehouse:
         costs = silver.newest_collection(self.known("bronze.billing_costs"))
         self.replace(silver.silver_billing(costs, as_of=at, cfg=cfg), "silver.billing_costs")
 
+        runs, costs = self.read("silver.compute_job_runs"), self.read("silver.billing_costs")
+        self._summarise(gold.job_run_stats(runs, cfg=cfg), gold.daily_cost(costs))
+
+    def process_new(self) -> None:
+        """``process`` for what was collected since the last time: only touched months are rewritten.
+
+        Silver and gold end as ``process`` would leave them; rows of untouched months
+        keep the time they were derived at. The first time takes in the whole history.
+        """
+        for name, (key, derive) in INVENTORY.items():
+            incremental.fold_inventory(self, name, key, derive)
+        incremental.fold_runs(self)
+        incremental.fold_costs(self)
+        self._summarise(incremental.run_stats(self), incremental.daily(self))
+
+    def _summarise(self, stats: DataFrame, daily: DataFrame) -> None:
+        """Gold from the silver inventories, the run statistics and the daily costs."""
+        at, cfg = self.as_of, self.cfg
         clusters, tables = self.read("silver.compute_clusters"), self.read("silver.storage_tables")
         self.replace(gold.gold_clusters(clusters, cfg=cfg), "gold.compute_clusters_summary")
-        stats = gold.job_run_stats(self.read("silver.compute_job_runs"), cfg=cfg)
-        jobs = gold.gold_jobs(self.read("silver.compute_jobs"), stats)
-        self.replace(jobs, "gold.compute_jobs_summary")
+        self.replace(gold.gold_jobs(self.read("silver.compute_jobs"), stats), "gold.compute_jobs_summary")
         self.replace(gold.gold_tables(tables, cfg=cfg), "gold.storage_tables_summary")
         self.replace(
             gold.storage_workspace_summary(tables, cfg=cfg), "gold.storage_workspace_summary"
         )
-        daily = gold.daily_cost(self.read("silver.billing_costs"))
         self.replace(gold.gold_billing(daily, as_of=at), "gold.billing_costs_summary")
         self.replace(cost.dbu_cost(clusters, as_of=at, cfg=cfg), "gold.costs_dbu_estimates")
 
@@ -207,5 +226,4 @@ class Warehouse:
         return self.known(name).filter(F.col("process_timestamp") == stamp)
 
     def _exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(layers.TABLES[name].path(self.path))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return layers.exists(self.spark, name, self.path)

@@ -24,6 +24,7 @@ from meterline.operators import (
     gold,
     history,
     observability,
+    partials,
     reports,
     savings,
     scores,
@@ -200,6 +201,16 @@ REPORTS: dict[str, Report] = {
     "stream_daily_windows": Report(
         lambda e: files.stream_daily_windows(e.bronze), "workspace_name date_parsed daily_cost_usd~6"
     ),
+    "incremental_job_stats": Report(
+        lambda e: files.folded_run_stats(e.bronze), f"workspace_name job_id {_JOB_STATS}"
+    ),
+    "incremental_daily_cost": Report(
+        lambda e: files.folded_daily_cost(e.bronze), "workspace_name date_parsed daily_cost_usd~6"
+    ),
+    "schema_sketch": Report(
+        lambda e: partials.over_workspaces(partials.schema_sketches(e.tables)),
+        "total_tables total_size_tb~ total_schemas",
+    ),
     "stream_daily_cost": Report(
         lambda e: files.stream_daily_cost(e.bronze), "workspace_name date_parsed daily_cost_usd~6"
     ),

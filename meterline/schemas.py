@@ -231,6 +231,21 @@ _SILVER_PARTITIONS = {
     "billing_costs": ("workspace_name", "year", "month"),
 }
 
+# Mergeable partial results, by the months whose rows they sum up.
+_PARTIALS = {
+    "job_run_months": (
+        """workspace_name string, job_id bigint, start_month date, total_runs bigint,
+        successful_runs bigint, failed_runs bigint, timed_runs bigint, sum_duration_hours double,
+        max_duration_hours double, min_duration_hours double""",
+        ("workspace_name", "start_month"),
+    ),
+    "daily_costs": (
+        """workspace_name string, date_parsed date, year int, month int, daily_cost_usd double""",
+        ("workspace_name", "year", "month"),
+    ),
+    "folded_days": ("table_name string, snapshot_date date, process_timestamp timestamp", ("table_name",)),
+}
+
 # Gold tables that keep one set of rows per assessment.
 _GOLD_HISTORY = {
     "maturity_scores",
@@ -254,6 +269,8 @@ def _catalog() -> dict[str, Table]:
         tables.append(Table("silver", name, f"{ddl}, {_SILVER_ADDS[name]}", parts, order))
     for name, ddl in _GOLD.items():
         tables.append(Table("gold", name, ddl, _BY_WORKSPACE, (), name in _GOLD_HISTORY))
+    for name, (ddl, parts) in _PARTIALS.items():
+        tables.append(Table("gold", name, ddl, parts))
     return {t.logical: t for t in tables}
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -59,11 +59,11 @@ def _dated(df: DataFrame, table: Table, as_of: int | None = None) -> DataFrame:
     return df.withColumn(DAY, F.timestamp_millis(F.lit(as_of).cast("bigint")).cast("date"))
 
 
-def _write(df: DataFrame, table: Table, path: str, parts: list[str], mode: str) -> None:
+def _write(df: DataFrame, table: Table, path: str, parts: list[str], mode: str, overwrite: str = "static") -> None:
     (
         _laid_out(df, table, parts)
         .write.mode(mode)
-        .option("partitionOverwriteMode", "static")
+        .option("partitionOverwriteMode", overwrite)
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .partitionBy(*parts)
         .parquet(path)
@@ -91,7 +91,7 @@ def replace(
 
     Rows that ``df`` no longer has go, whichever folder they were in, and running a
     day again leaves one copy of it. With ``workspaces`` only those are replaced, each
-    as a whole, and ``df`` holds rows of no others.
+    as a whole, by one job over ``df``; a job that fails leaves what was there.
     """
     table, path, parts = _table(name), _table(name).path(warehouse), list(_table(name).partition_by)
     rows = conform(df, name)
@@ -102,10 +102,52 @@ def replace(
     if workspaces is None:
         _write(rows, table, path, parts, "overwrite")
         return
-    escape = df.sparkSession._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    spark, named = df.sparkSession, list(dict.fromkeys(workspaces))
+    before = _files(spark, path, named)
+    # One job: its files stay apart until it commits, then the folders it wrote are exchanged.
+    _write(rows.filter(F.col("workspace_name").isin(named)), table, path, parts, "overwrite", "dynamic")
+    # Folders that still hold a file from before were not written: their rows are gone.
+    for folder in {f.rsplit("/", 1)[0] for f in before & _files(spark, path, named)}:
+        _system(spark, folder)[0].delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
+
+
+def replace_parts(df: DataFrame, name: str, warehouse: str) -> None:
+    """Exchange the partitions that ``df`` has rows of, in one job; all others stay as they are."""
+    table = _table(name)
+    _write(conform(df, name), table, table.path(warehouse), list(table.partition_by), "overwrite", "dynamic")
+
+
+def _system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, name: str, warehouse: str) -> bool:
+    """True if the table has been written."""
+    system, at = _system(spark, _table(name).path(warehouse))
+    return system.exists(at)
+
+
+def _files(spark: SparkSession, path: str, workspaces: Sequence[str]) -> set[str]:
+    """Data files below the folders of the workspaces."""
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    found = set()
     for one in workspaces:
-        own = rows.filter(F.col("workspace_name") == one).drop("workspace_name")
-        _write(own, table, f"{path}/workspace_name={escape(one)}", [p for p in parts if p != "workspace_name"], "overwrite")
+        system, at = _system(spark, f"{path}/workspace_name={escape(one)}")
+        if system.exists(at):
+            listing = system.listFiles(at, True)
+            while listing.hasNext():
+                found.add(listing.next().getPath().toString())
+    return found
+
+
+def days(spark: SparkSession, name: str, warehouse: str) -> list[str]:
+    """Days for which a history table has folders, in order."""
+    system, at = _system(spark, _table(name).path(warehouse))
+    if not system.exists(at):
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(at)]
+    return sorted(n.partition("=")[2] for n in names if n.startswith(f"{DAY}="))
 
 
 def read(spark: SparkSession, name: str, warehouse: str, *, evolved: bool = False) -> DataFrame:
@@ -120,10 +162,14 @@ def read(spark: SparkSession, name: str, warehouse: str, *, evolved: bool = Fals
     return spark.read.schema(schema).parquet(table.path(warehouse))
 
 
-def read_known(spark: SparkSession, name: str, warehouse: str, *, as_of: int) -> DataFrame:
-    """History rows known at ``as_of``; later days' folders are not opened."""
+def read_known(
+    spark: SparkSession, name: str, warehouse: str, *, as_of: int, days: Sequence[str] | None = None
+) -> DataFrame:
+    """History rows known at ``as_of``, of ``days`` only if given; other days' folders are not opened."""
     df = read(spark, name, warehouse)
     at = F.timestamp_millis(F.lit(as_of).cast("bigint"))
+    if days is not None:
+        df = df.filter(F.col(DAY).isin([date.fromisoformat(d) for d in days]))
     return df.filter((F.col(DAY) <= at.cast("date")) & (F.col(_stamp_of(df)) <= at)).drop(DAY)
 
 

@@ -43,6 +43,10 @@ select workspace_name, cloud, cast(cost_date as varchar) as date, resource_id, c
 from fx_billing where cloud <> 'gcp' or date_trunc('month', cost_date) between date '2001-08-01' - 1000 and date '2001-08-01'""",
     "stream_job_runs": "runs_2",
     "stream_daily_cost": "daily_2",
+    "incremental_job_stats": "stats_2",
+    "incremental_daily_cost": "daily_2",
+    "schema_sketch": """
+select count(*) as total_tables, sum(size_tb) as total_size_tb, count(distinct schema) as total_schemas from tables_2""",
     "stream_runs_watermarked": "runs_2",
     "stream_daily_windows": "daily_2",
     "silver_clusters": "clusters_2",
