@@ -1,17 +1,19 @@
 """Daily processing that reads what is new and rewrites the months it touches.
 
-Silver runs and billing lie in month folders of a workspace, and each folder has a
+Silver runs and billing lie in month folders of a workspace, and each month has a
 partial result. A fold takes the bronze days that came since the last one, merges
 them with the silver folders of the months they touch, exchanges these folders and
 their partials, and adds the partials up. Nothing else of the history is read.
 
-A fold can be run again at any time: the last folded day is always taken in once
-more, and copies that are already known change nothing.
+A fold can be run again at any time: the last folded day is taken in once more if its
+folder has changed or had rows beyond the instant, and copies already known change
+nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import date, datetime, timezone
 from functools import reduce
 from typing import TYPE_CHECKING
 
@@ -29,32 +31,35 @@ RUNS, COSTS = "compute_job_runs", "billing_costs"
 COLLECTION = ("workspace_name", "cloud", "date", "collect_timestamp")
 
 
-def unfolded(run: Warehouse, name: str) -> DataFrame | None:
-    """Bronze rows known now whose day came since the last fold, or in it; None if there are none.
+def unfolded(run: Warehouse, name: str) -> tuple[DataFrame, list] | None:
+    """Bronze rows known now of the days to fold, and the mark to keep; None without such days.
 
-    Only the folders of those days are opened.
+    Only the folders of those days are opened. The mark is the newest day with the
+    files and bytes its folder has now; with rows beyond the instant it has none.
     """
-    last = ""
+    table, at = f"bronze.{name}", F.timestamp_millis(F.lit(run.as_of).cast("bigint"))
+    last, size = "", None
     if layers.exists(run.spark, "gold.folded_days", run.path):
-        mark = run.read("gold.folded_days").filter(F.col("table_name") == name).agg(F.max("snapshot_date"))
-        last = str(mark.first()[0] or "")
-    new = [d for d in layers.days(run.spark, f"bronze.{name}", run.path) if d >= last]
+        for r in run.read("gold.folded_days").filter(F.col("table_name") == name).collect():  # one row
+            last, size = str(r.snapshot_date), (r.n_files, r.n_bytes)
+    today = str(datetime.fromtimestamp(run.as_of / 1000, tz=timezone.utc).date())
+    known = [d for d in layers.days(run.spark, table, run.path) if last <= d <= today]
+    new = [d for d in known if d > last or layers.day_size(run.spark, table, run.path, d) != size]
     if not new:
         return None
+    mark = [name, date.fromisoformat(new[-1]), *layers.day_size(run.spark, table, run.path, new[-1])]
+    newest = layers.read(run.spark, table, run.path).filter(F.col(layers.DAY) == F.lit(mark[1]))
+    if not newest.filter(F.col("collect_timestamp") > at).isEmpty():
+        mark[2:] = [None, None]
     # day folders are few and known by name, so the scan is cut to them while planning
-    return layers.read_known(run.spark, f"bronze.{name}", run.path, as_of=run.as_of, days=new)
+    return layers.read_known(run.spark, table, run.path, as_of=run.as_of, days=new), mark
 
 
-def folded(run: Warehouse, name: str) -> None:
-    """Remember the newest day taken in; written last."""
-    at = F.timestamp_millis(F.lit(run.as_of).cast("bigint"))
-    known = layers.days(run.spark, f"bronze.{name}", run.path)
-    mark = run.spark.range(1).select(
-        F.lit(name).alias("table_name"),
-        F.least(F.lit(max(known)).cast("date"), at.cast("date")).alias("snapshot_date"),
-        at.alias("process_timestamp"),
-    )
-    layers.replace_parts(mark, "gold.folded_days", run.path)
+def folded(run: Warehouse, mark: list) -> None:
+    """Remember what has been taken in; written last."""
+    row = run.spark.createDataFrame([tuple(mark)], "table_name string, snapshot_date date, n_files bigint, n_bytes bigint")
+    row = row.withColumn("process_timestamp", F.timestamp_millis(F.lit(run.as_of).cast("bigint")))
+    layers.replace_parts(row, "gold.folded_days", run.path)
 
 
 def _staged(df: DataFrame, label: str) -> DataFrame:
@@ -65,23 +70,17 @@ def _staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def _of_months(run: Warehouse, name: str, new: DataFrame, months: list[str]) -> DataFrame:
-    """Silver rows, as bronze has them, in the (workspace, month) folders of ``new``.
+    """Silver rows, as bronze has them, of the months of ``new``.
 
-    The values of the month columns are bounded by the calendar; as literals they cut
-    the scan to the folders of those months. The join then keeps the workspaces.
+    Months are bounded by the calendar; as literals they cut the scan to their folders.
+    All workspaces of a month belong to it: they are collected together.
     """
-    touched = new.select("workspace_name", *months).distinct()
-    seen = [r.asDict() for r in touched.select(*months).distinct().collect()]
-    stored = run.read(f"silver.{name}")
     inside = F.lit(False)
-    for r in seen:
-        one = F.lit(True)
-        for c in months:
-            one = one & (F.col(c).isNull() if r[c] is None else F.col(c) == F.lit(r[c]))
-        inside = inside | one
-    marks = touched.select(*[F.col(c).alias(f"_{c}") for c in touched.columns])
+    for r in new.select(*months).distinct().collect():
+        same = [F.col(c).isNull() if r[c] is None else F.col(c) == F.lit(r[c]) for c in months]
+        inside = inside | reduce(Column.__and__, same)
     bronze = [f.name for f in layers.TABLES[f"bronze.{name}"].schema]
-    return stored.filter(inside).join(marks, _same(touched.columns), "left_semi").select(*bronze)
+    return run.read(f"silver.{name}").filter(inside).select(*bronze)
 
 
 def _same(columns: Sequence[str]) -> Column:
@@ -96,15 +95,16 @@ def _merge(
     newest: Callable[[DataFrame], DataFrame],
     derive: Callable[..., DataFrame],
     whole: tuple[str, ...] = (),
-) -> DataFrame | None:
-    """Silver rows of the touched months, old and new, staged; None if nothing is new.
+) -> tuple[DataFrame, list] | None:
+    """Silver rows of the touched months, old and new, staged, and the mark; None if nothing is new.
 
     Stored rows that share the ``whole`` columns with new ones give way to them: a day
     that is taken in again brings all of these rows again.
     """
-    new = unfolded(run, name)
-    if new is None:
+    found = unfolded(run, name)
+    if found is None:
         return None
+    new, mark = found
     fresh = derive(new, as_of=run.as_of, cfg=run.cfg)
     rows = new
     if layers.exists(run.spark, f"silver.{name}", run.path):
@@ -115,36 +115,39 @@ def _merge(
         rows = rows.unionByName(stored)
     merged = _staged(derive(newest(rows), as_of=run.as_of, cfg=run.cfg), name)
     layers.replace_parts(merged, f"silver.{name}", run.path)
-    return merged
+    return merged, mark
 
 
 def fold_runs(run: Warehouse) -> None:
     """New run copies into silver and into the partial results of their months."""
-    merged = _merge(run, RUNS, ["start_month"], silver.latest_runs, silver.silver_job_runs)
-    if merged is not None:
-        layers.replace_parts(partials.run_months(merged), "gold.job_run_months", run.path)
-        folded(run, RUNS)
+    if found := _merge(run, RUNS, ["start_month"], silver.latest_runs, silver.silver_job_runs):
+        layers.replace_parts(partials.run_months(found[0]), "gold.job_run_months", run.path)
+        folded(run, found[1])
 
 
 def fold_costs(run: Warehouse) -> None:
     """New billing lines into silver and into the daily costs of their months."""
-    merged = _merge(run, COSTS, ["year", "month"], silver.newest_collection, silver.silver_billing, COLLECTION)
-    if merged is not None:
-        layers.replace_parts(partials.daily_costs(merged), "gold.daily_costs", run.path)
-        folded(run, COSTS)
+    if found := _merge(run, COSTS, ["year", "month"], silver.newest_collection, silver.silver_billing, COLLECTION):
+        layers.replace_parts(partials.daily_costs(found[0]), "gold.daily_costs", run.path)
+        folded(run, found[1])
 
 
 def fold_inventory(run: Warehouse, name: str, key: str, derive: Callable[..., DataFrame]) -> None:
     """Newly collected workspaces exchange their resources; ages of the others go on."""
-    new = unfolded(run, name)
-    if new is None:
+    found, known = unfolded(run, name), layers.exists(run.spark, f"silver.{name}", run.path)
+    if found is None and not known:
         return
-    rows = silver.latest_snapshot(new, [key])
-    if layers.exists(run.spark, f"silver.{name}", run.path):
-        stored = run.read(f"silver.{name}").select(*rows.columns)
-        rows = rows.unionByName(stored.join(rows.select("workspace_name").distinct(), "workspace_name", "left_anti"))
+    bronze = [f.name for f in layers.TABLES[f"bronze.{name}"].schema]
+    rows = run.read(f"silver.{name}").select(*bronze) if known else None
+    if found is not None:
+        new = silver.latest_snapshot(found[0], [key])
+        if rows is not None:
+            kept = rows.join(new.select("workspace_name").distinct(), "workspace_name", "left_anti")
+            new = new.unionByName(kept)
+        rows = new
     run.replace(_staged(derive(rows, as_of=run.as_of, cfg=run.cfg), name), f"silver.{name}")
-    folded(run, name)
+    if found is not None:
+        folded(run, found[1])
 
 
 def run_stats(run: Warehouse) -> DataFrame:

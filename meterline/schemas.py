@@ -237,13 +237,17 @@ _PARTIALS = {
         """workspace_name string, job_id bigint, start_month date, total_runs bigint,
         successful_runs bigint, failed_runs bigint, timed_runs bigint, sum_duration_hours double,
         max_duration_hours double, min_duration_hours double""",
-        ("workspace_name", "start_month"),
+        ("start_month",),
     ),
     "daily_costs": (
         """workspace_name string, date_parsed date, year int, month int, daily_cost_usd double""",
-        ("workspace_name", "year", "month"),
+        ("year", "month"),
+    ),
+    "folded_days": (
+        """table_name string, snapshot_date date, n_files bigint, n_bytes bigint,
+        process_timestamp timestamp""",
+        ("table_name",),
     ),
-    "folded_days": ("table_name string, snapshot_date date, process_timestamp timestamp", ("table_name",)),
 }
 
 # Gold tables that keep one set of rows per assessment.

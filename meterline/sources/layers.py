@@ -112,9 +112,13 @@ def replace(
 
 
 def replace_parts(df: DataFrame, name: str, warehouse: str) -> None:
-    """Exchange the partitions that ``df`` has rows of, in one job; all others stay as they are."""
-    table = _table(name)
-    _write(conform(df, name), table, table.path(warehouse), list(table.partition_by), "overwrite", "dynamic")
+    """Exchange the partitions that ``df`` has rows of, in one job; all others stay as they are.
+
+    The committer moves these folders one by one, so a table that is not there yet is
+    written as a whole instead.
+    """
+    table, kind = _table(name), "dynamic" if exists(df.sparkSession, name, warehouse) else "static"
+    _write(conform(df, name), table, table.path(warehouse), list(table.partition_by), "overwrite", kind)
 
 
 def _system(spark: SparkSession, path: str):
@@ -173,6 +177,13 @@ def read_known(
     return df.filter((F.col(DAY) <= at.cast("date")) & (F.col(_stamp_of(df)) <= at)).drop(DAY)
 
 
+def day_size(spark: SparkSession, name: str, warehouse: str, day: str) -> tuple[int, int]:
+    """Files and bytes of one day's folder, from its listing."""
+    system, at = _system(spark, f"{_table(name).path(warehouse)}/{DAY}={day}")
+    summary = system.getContentSummary(at)
+    return summary.getFileCount(), summary.getLength()
+
+
 def register_views(spark: SparkSession, warehouse: str, names: list[str] | None = None) -> list[str]:
     """Temporary views ``<layer>_<table>`` so report SQL can be run as text."""
     made = []
