@@ -209,6 +209,14 @@ class Bronze:
             )
         )
 
+    @cached_property
+    def rates(self) -> DataFrame:
+        """Dated currency rates: one for every order day that begins a third of a month."""
+        days = self.table("orders").select(F.col("o_orderdate").cast("date").alias("valid_from")).distinct()
+        return days.filter(F.dayofmonth("valid_from").isin(1, 11, 21)).select(
+            F.lit("EUR").alias("currency"), "valid_from", (1 + F.dayofyear("valid_from") % 40 / 100).alias("rate")
+        )
+
 
 class Estate:
     """All layers over one bronze source as they stood at ``as_of``; everything stays lazy."""
@@ -255,6 +263,20 @@ class Estate:
         newest = silver.newest_collection(known)
         return silver.silver_billing(newest, as_of=self.as_of, cfg=self.cfg)
 
+    @cached_property
+    def billing_at_rates(self) -> DataFrame:
+        known = silver.seen_by(self.bronze.billing, self.as_of)
+        newest = silver.newest_collection(known)
+        return silver.silver_billing(newest, as_of=self.as_of, fx=self.bronze.rates, cfg=self.cfg)
+
+    @cached_property
+    def job_versions(self) -> DataFrame:
+        return history.version_intervals(self.bronze.jobs, ["job_id"])
+
+    @cached_property
+    def table_versions(self) -> DataFrame:
+        return history.version_intervals(self.bronze.tables, ["full_table_name"])
+
     # gold
     @cached_property
     def flags(self) -> DataFrame:

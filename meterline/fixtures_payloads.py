@@ -5,14 +5,14 @@ Files go to the shared folder of the session (see ``session.shared_folder``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from meterline.fixtures import AS_OF, DAY, SNAPSHOTS, Bronze
-from meterline.operators import silver
+from meterline.operators import gold, partials, silver
 from meterline.plans import incremental
 from meterline.plans.pipeline import Warehouse
 from meterline.session import shared_folder
-from meterline.sources import billing, layers, payloads
+from meterline.sources import billing, layers, payloads, table_log
 from meterline.streaming import costs, runs
 
 GCP_DAYS = 1000
@@ -333,3 +333,83 @@ def folded_run_stats(b: Bronze) -> DataFrame:
 
 def folded_daily_cost(b: Bronze) -> DataFrame:
     return incremental.daily(_folded(b, incremental.COSTS, b.billing, incremental.fold_costs))
+
+
+LOG_START = AS_OF - 30 * DAY
+LOG_PATTERN = r"/table=([^/]+)/version=(\d+)/[^/]*$"
+
+
+def _log_actions(b: Bronze) -> DataFrame:
+    """Brands are tables, parts their files: some are removed later, and some of these added again."""
+    part = b.table("part").select("p_partkey", "p_size", F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_").alias("table"))
+    path = F.format_string("part-%d.parquet", "p_partkey")
+    at = lambda v: F.lit(LOG_START) + v.cast("bigint") * DAY
+    null = F.lit(None)
+
+    def rows(df, version, add=null, remove=null, meta=null, commit=null):
+        names = {"add": add, "remove": remove, "metaData": meta, "commitInfo": commit}
+        kinds = {f.name: f.dataType for f in table_log.struct_of(table_log.ACTIONS)}
+        return df.select("table", version.cast("int").alias("version"), *[c.cast(kinds[n]).alias(n) for n, c in names.items()])
+
+    def add(version, size):
+        return F.struct(path.alias("path"), size.alias("size"), at(version).alias("modificationTime"))
+
+    first = F.col("p_size") % 10
+    gone = part.filter("p_partkey % 7 = 0")
+    tables = part.select("table").distinct()
+    even = tables.filter(F.right("table", F.lit(1)).cast("int") % 2 == 0)
+    versions = tables.select("table", F.explode(F.sequence(F.lit(0), F.lit(13))).alias("v"))
+    meta = lambda *names: F.struct(
+        F.struct(F.lit("delta").alias("provider")).alias("format"), F.array(*map(F.lit, names)).alias("partitionColumns")
+    )
+    commit = F.struct(at(F.col("v")).alias("timestamp"), F.lit("WRITE").alias("operation"))
+    parts = [
+        rows(part, first, add=add(first, F.col("p_partkey").cast("bigint") * 1000)),
+        rows(gone, first + 2, remove=F.struct(path.alias("path"), at(first + 2).alias("deletionTimestamp"))),
+        rows(gone.filter("p_partkey % 3 = 0"), first + 4, add=add(first + 4, F.col("p_partkey").cast("bigint") * 500)),
+        rows(tables, F.lit(0), meta=meta("dt")),
+        rows(even, F.lit(3), meta=meta("dt", "region")),
+        rows(versions, F.col("v"), commit=commit),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def table_log_inventory(b: Bronze) -> DataFrame:
+    """Logs as files; a third of the tables has a checkpoint at version 6 and no commits before it."""
+    spark, folder = b.spark, shared_folder(b.spark, "log")
+    commits, state = f"{folder}/commits", f"{folder}/state"
+    actions = _log_actions(b)
+    cut = F.length(F.regexp_replace("table", "[^3]", "")) > 0
+    tip = Window.partitionBy("table", F.coalesce("add.path", "remove.path", F.lit("meta"))).orderBy(F.desc("version"))
+    held = actions.filter(cut & (F.col("version") <= 6) & F.col("commitInfo").isNull())
+    # a checkpoint has the newest action of each file and the newest metadata
+    newest = held.withColumn("_no", F.row_number().over(tip)).filter("_no = 1").drop("_no")
+    newest.withColumn("version", F.lit(6)).write.partitionBy("table", "version").parquet(state)
+    actions.filter(~cut | (F.col("version") >= 6)).repartition("table").write.partitionBy("table", "version").json(commits)
+    found = table_log.inventory(
+        table_log.read_log(spark, commits, pattern=LOG_PATTERN),
+        table_log.read_log(spark, state, pattern=LOG_PATTERN, checkpoints=True),
+    )
+    return found.withColumns(
+        {
+            "table_name": F.col("location"),
+            "last_modified_ms": F.unix_millis("last_modified"),
+            "last_commit_ms": F.unix_millis("last_access"),
+        }
+    )
+
+
+BUCKETS = 8
+
+
+def gold_jobs_colocated(jobs: DataFrame, runs: DataFrame) -> DataFrame:
+    """Jobs and the month partials of their runs, stored in the same buckets of (workspace, job)."""
+    spark = jobs.sparkSession
+    folder, keys = shared_folder(spark, "colocated"), ["workspace_name", "job_id"]
+    mark = folder.rsplit("-", 1)[1]  # a name of its own: the catalog outlives a query
+    stored = layers.store_colocated(jobs, f"jobs_{mark}", f"{folder}/jobs", keys, BUCKETS)
+    months = layers.store_colocated(partials.run_months(runs), f"job_months_{mark}", f"{folder}/months", keys, BUCKETS)
+    return gold.gold_jobs(stored, partials.job_run_stats(months))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from meterline.config import DEFAULT, EngineConfig
 from meterline.functions import texts, timeutil as T
-from meterline.functions.frames import per_workspace
+from meterline.functions.frames import latest, per_workspace
 from meterline.operators import gold, rules, silver
 
 
@@ -35,6 +35,51 @@ def state_at(
     }
 
 
+def version_intervals(bronze: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Snapshots folded into versions: rows of unchanged columns with valid_from and valid_to.
+
+    A collection lists all resources of its workspace, so a version lasts until the
+    workspace's next collection that lacks the resource or has it changed; valid_to
+    is that collection's time, null while the version is current. Collections that
+    repeat a resource as it was add no row. Rows that share key and time are copies.
+    """
+    stamp, own = "collect_timestamp", ["workspace_name", *keys]
+    rest = [c for c in bronze.columns if c not in (*own, stamp)]
+    # one row a collection: the windows over a workspace see its collections only
+    in_order = Window.partitionBy("workspace_name").orderBy(stamp)
+    times = (
+        bronze.select("workspace_name", stamp)
+        .distinct()
+        .withColumns({"_no": F.row_number().over(in_order), "_next": F.lead(stamp).over(in_order)})
+    )
+    # nulls leave a hash as it is, so they are told apart by their places
+    content = F.xxhash64(*rest, *[F.col(c).isNull() for c in rest])
+    seen = latest(bronze, [*own, stamp], [content]).withColumn("_content", content).join(times, ["workspace_name", stamp])
+    of_key = Window.partitionBy(*own).orderBy("_no")
+    goes_on = (F.col("_content") == F.lag("_content").over(of_key)) & (F.col("_no") == F.lag("_no").over(of_key) + 1)
+    begins = F.when(goes_on, 0).otherwise(1)
+    numbered = seen.withColumn("_begins", begins).withColumn("_version", F.sum("_begins").over(of_key))
+    folded = numbered.groupBy(*own, "_version").agg(
+        F.first(F.struct(*rest)).alias("_row"),
+        F.min(stamp).alias("valid_from"),
+        F.max_by("_next", "_no").alias("valid_to"),
+    )
+    return folded.select(*own, "_row.*", "valid_from", "valid_to")
+
+
+def valid_at(intervals: DataFrame, *, as_of: T.AsOf) -> DataFrame:
+    """Versions that held at ``as_of``: the workspace's newest collection then, without sorting snapshots."""
+    at = T.as_of_ts(as_of)
+    open_ended = F.col("valid_to").isNull() | (F.col("valid_to") > at)
+    return intervals.filter((F.col("valid_from") <= at) & open_ended)
+
+
+def appeared_since(intervals: DataFrame, key: str, *, baseline: T.AsOf) -> DataFrame:
+    """``new_since`` from version intervals."""
+    first = intervals.groupBy("workspace_name", key).agg(F.min("valid_from").alias("first_seen"))
+    return first.filter(F.col("first_seen") > T.as_of_ts(baseline)).select("workspace_name", key)
+
+
 def first_seen(bronze: DataFrame, key: str) -> DataFrame:
     return bronze.groupBy("workspace_name", key).agg(
         F.min("collect_timestamp").alias("first_seen")

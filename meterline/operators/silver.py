@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterline.config import DEFAULT, EngineConfig
 from meterline.functions import columns as C, timeutil as T
@@ -186,6 +186,25 @@ def newest_collection(costs: DataFrame) -> DataFrame:
     return costs.join(newest, on, "left_semi")
 
 
+def rates_on(days: DataFrame, fx: DataFrame) -> DataFrame:
+    """currency, _day, _rate: the newest rate on or before each of ``days`` (currency, _day).
+
+    Rates and distinct days are put in one order and the last rate is carried on.
+    Both are bounded by the calendar for each currency, however many lines a day has,
+    so no currency's lines are sorted in one task. Of several rates of a day the
+    highest counts; days before the first rate have none.
+    """
+    rates = fx.groupBy("currency", F.col("valid_from").cast("date").alias("_day")).agg(
+        F.max(F.col("rate").cast("double")).alias("rate")
+    )
+    both = rates.withColumn("asked", F.lit(0)).unionByName(
+        days.withColumns({"rate": F.lit(None).cast("double"), "asked": F.lit(1)})
+    )
+    before = Window.partitionBy("currency").orderBy("_day", "asked")
+    carried = both.withColumn("_rate", F.last("rate", ignorenulls=True).over(before))
+    return carried.filter("asked = 1").select("currency", "_day", "_rate")
+
+
 def silver_billing(
     costs: DataFrame,
     *,
@@ -195,12 +214,19 @@ def silver_billing(
 ) -> DataFrame:
     """Parsed dates and cost in USD.
 
-    ``fx`` (currency, rate) converts foreign amounts; without it, or for a
-    currency it lacks, ``cfg.default_fx_rate`` applies.
+    ``fx`` (currency, rate) converts foreign amounts. With a column ``valid_from`` the
+    newest rate on or before the billing day applies. Without ``fx``, or where it has no
+    rate, ``cfg.default_fx_rate`` applies.
     """
     rate = F.lit(cfg.default_fx_rate)
     priced = costs
-    if fx is not None:
+    if fx is not None and "valid_from" in fx.columns:
+        day = F.col("date").try_cast("date")
+        priced = costs.withColumn("_day", day)
+        foreign = priced.filter("currency <> 'USD' and _day is not null").select("currency", "_day")
+        priced = priced.join(rates_on(foreign.distinct(), fx), ["currency", "_day"], "left").drop("_day")
+        rate = F.coalesce(F.col("_rate"), rate)
+    elif fx is not None:
         known = fx.select("currency", F.col("rate").cast("double").alias("_rate"))
         priced = costs.join(known, "currency", "left")
         rate = F.coalesce(F.col("_rate"), rate)

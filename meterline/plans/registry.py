@@ -154,6 +154,16 @@ def _flat_report(report: DataFrame) -> DataFrame:
 
 _BILL = "workspace_name cloud date resource_id service cost~6 currency"
 
+def _at_both(e: Estate, versions: DataFrame, key: str, derive) -> DataFrame:
+    """Silver at the baseline and now from version intervals; whether a resource came since."""
+    new = history.appeared_since(versions, key, baseline=BASELINE).withColumn("is_new", F.lit(True))
+    out = None
+    for s, at in ((0, BASELINE), (2, e.as_of)):
+        one = derive(history.valid_at(versions, as_of=at), at).withColumn("s", F.lit(s))
+        out = one if out is None else out.unionByName(one)
+    return out.join(new, ["workspace_name", key], "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
+
+
 REPORTS: dict[str, Report] = {
     # ---- sources and streams
     "src_clusters": Report(
@@ -211,6 +221,32 @@ REPORTS: dict[str, Report] = {
         lambda e: partials.over_workspaces(partials.schema_sketches(e.tables)),
         "total_tables total_size_tb~ total_schemas",
     ),
+    "table_log_inventory": Report(
+        lambda e: files.table_log_inventory(e.bronze),
+        "table_name table_type num_files size_in_bytes partition_columns version last_modified_ms last_commit_ms",
+    ),
+    "billing_fx_asof": Report(
+        lambda e: e.billing_at_rates,
+        "workspace_name date_parsed resource_id service currency cost~ cost_usd~",
+    ),
+    "snapshot_intervals": Report(
+        lambda e: e.job_versions.withColumns(
+            {"from_ms": F.unix_millis("valid_from"), "to_ms": F.unix_millis("valid_to")}
+        ),
+        "workspace_name job_id job_name existing_cluster_id schedule from_ms to_ms",
+    ),
+    "interval_jobs": Report(
+        lambda e: _at_both(e, e.job_versions, "job_id", lambda df, at: silver.silver_jobs(df, as_of=at)),
+        "s workspace_name job_id job_name existing_cluster_id has_schedule is_new",
+    ),
+    "interval_tables": Report(
+        lambda e: _at_both(e, e.table_versions, "full_table_name", lambda df, at: silver.silver_tables(df, as_of=at)),
+        "s workspace_name full_table_name size_in_bytes num_files days_since_modified days_since_accessed is_new",
+    ),
+    "gold_jobs_colocated": Report(
+        lambda e: files.gold_jobs_colocated(e.jobs, e.runs),
+        f"workspace_name job_id job_name uses_existing_cluster has_schedule {_JOB_STATS}",
+    ),
     "stream_daily_cost": Report(
         lambda e: files.stream_daily_cost(e.bronze), "workspace_name date_parsed daily_cost_usd~6"
     ),

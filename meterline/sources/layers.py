@@ -154,6 +154,25 @@ def days(spark: SparkSession, name: str, warehouse: str) -> list[str]:
     return sorted(n.partition("=")[2] for n in names if n.startswith(f"{DAY}="))
 
 
+def store_colocated(df: DataFrame, table: str, path: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Store ``df`` as a table whose files hold one bucket of ``keys`` each, sorted by them.
+
+    Frames stored with the same keys and number of buckets are aggregated by the keys
+    and joined on them without a shuffle. A bucket is one task, so this is for rows
+    whose number per key is bounded: partial results and inventories, not facts.
+    """
+    rows = df.repartition(buckets, *keys).sortWithinPartitions(*keys)
+    (
+        rows.write.mode("overwrite")
+        .format("parquet")
+        .option("path", path)
+        .bucketBy(buckets, *keys)
+        .sortBy(*keys)
+        .saveAsTable(table)
+    )
+    return df.sparkSession.table(table)
+
+
 def read(spark: SparkSession, name: str, warehouse: str, *, evolved: bool = False) -> DataFrame:
     """A layer table with its declared schema, or with every column ever written."""
     table = _table(name)

@@ -43,6 +43,33 @@ select workspace_name, cloud, cast(cost_date as varchar) as date, resource_id, c
 from fx_billing where cloud <> 'gcp' or date_trunc('month', cost_date) between date '2001-08-01' - 1000 and date '2001-08-01'""",
     "stream_job_runs": "runs_2",
     "stream_daily_cost": "daily_2",
+    "gold_jobs_colocated": "gjobs_2",
+    "table_log_inventory": """
+with f as (
+  select regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') as table_name, p_partkey, p_size % 10 as v, p_partkey % 7 <> 0 as kept, p_partkey % 21 = 0 as back from part)
+select table_name, 'delta' as table_type, cast(count(*) filter (where kept or back) as integer) as num_files,
+  cast(coalesce(sum(case when back then p_partkey * 500 when kept then p_partkey * 1000 end), 0) as bigint) as size_in_bytes,
+  case when cast(right(table_name, 1) as integer) % 2 = 0 then '["dt","region"]' else '["dt"]' end as partition_columns, cast(13 as bigint) as version,
+  996624000000 + 86400000::bigint * (max(case when back then v + 4 when kept then v end) - 30) as last_modified_ms, 996624000000 - 17 * 86400000::bigint as last_commit_ms
+from f group by table_name""",
+    "billing_fx_asof": """
+with rates as (
+  select 'EUR' as currency, d as valid_from, 1 + (dayofyear(d) % 40) / 100e0 as rate
+  from (select distinct cast(o_orderdate as date) as d from orders) t where day(d) in (1, 11, 21))
+select b.workspace_name, b.date_parsed, b.resource_id, b.service, b.currency, b.cost, case when b.currency = 'USD' then b.cost else b.cost * coalesce(r.rate, 1e0) end as cost_usd
+from billing_2 b asof left join rates r on b.currency = r.currency and b.date_parsed >= r.valid_from""",
+    "snapshot_intervals": """
+select workspace_name, job_id, job_name, existing_cluster_id, schedule, min(collect_ms) as from_ms, case max(s) when 0 then 994032000000 when 1 then 996624000000 end as to_ms
+from (select *, s - row_number() over (partition by workspace_name, job_id, job_name, schedule, existing_cluster_id, tags order by s) as island from fx_jobs) t
+group by workspace_name, job_id, job_name, existing_cluster_id, schedule, tags, island""",
+    "interval_jobs": """
+with seen as (select workspace_name, job_id, min(s) > 0 as is_new from fx_jobs group by all)
+select j.s, j.workspace_name, j.job_id, j.job_name, j.existing_cluster_id, j.has_schedule, n.is_new
+from (select 0 as s, * from jobs_0 union all select 2, * from jobs_2) j join seen n on j.workspace_name = n.workspace_name and j.job_id = n.job_id""",
+    "interval_tables": """
+with seen as (select workspace_name, full_table_name, min(s) > 0 as is_new from fx_tables group by all)
+select t.s, t.workspace_name, t.full_table_name, t.size_in_bytes, t.num_files, t.days_since_modified, t.days_since_accessed, n.is_new
+from (select 0 as s, * from tables_0 union all select 2, * from tables_2) t join seen n on t.workspace_name = n.workspace_name and t.full_table_name = n.full_table_name""",
     "incremental_job_stats": "stats_2",
     "incremental_daily_cost": "daily_2",
     "schema_sketch": """
