@@ -227,7 +227,7 @@ REPORTS: dict[str, Report] = {
     ),
     "billing_fx_asof": Report(
         lambda e: e.billing_at_rates,
-        "workspace_name date_parsed resource_id service currency cost~ cost_usd~",
+        "workspace_name date_parsed resource_id service currency cost~8 cost_usd~8",
     ),
     "snapshot_intervals": Report(
         lambda e: e.job_versions.withColumns(
