@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -120,8 +121,40 @@ TEMPLATES = {
         "was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
     "reserved": "All rights reserved.",
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+        "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+        "binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize "
+        "copyright laws, the author or authors of this software dedicate any and all copyright interest in the "
+        "software to the public domain. We make this dedication for the benefit of the public at large and to the "
+        "detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in "
+        "perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "
+        '"AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE "
+        "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be "
+        "held liable for any damages arising from the use of this software. Permission is granted to anyone to use "
+        "this software for any purpose, including commercial applications, and to alter it and redistribute it "
+        "freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; "
+        "you must not claim that you wrote the original software. If you use this software in a product, an "
+        "acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source "
+        "versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "3. This notice may not be removed or altered from any source distribution."
+    ),
 }
 
+# Identifiers of the public license list; each stands in a line of its own.
+SPDX = """
+0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0
+CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-1.0 EPL-2.0 EUPL-1.2 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0
+GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only
+LGPL-3.0-or-later MIT MIT-0 MPL-2.0 MulanPSL-2.0 OFL-1.1 PostgreSQL Python-2.0 Unlicense WTFPL Zlib
+"""
+TEMPLATES |= {f"spdx-{i.lower()}": f"SPDX-License-Identifier: {i}" for i in SPDX.split()}
+
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 _RUN = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -288,11 +321,26 @@ class Scanner:
             start, end = spans[low + first][0], spans[low + last][1]
             key = (no, start, end)
             found[key] = (self.index.names[no], coverage, matches, start, end, last - first >= matches)
-        kept: list[tuple] = []
-        for row in sorted(found.values(), key=lambda r: (-r[1], -r[2], r[4] - r[3], r[3], r[0])):
-            if not any(_better(other, row) for other in kept):
-                kept.append(row)
-        return [r[:5] for r in sorted(kept, key=lambda r: (r[3], r[0], r[4]))]
+        return [r[:5] for r in sorted(best_of(found.values()), key=lambda r: (r[3], r[0], r[4]))]
+
+
+def best_of(found: Iterable[tuple]) -> list[tuple]:
+    """Matches that no better one overlaps, the best first.
+
+    Those kept lie in order of their start; only those that start less than the
+    longest of them before a match's start, or inside it, can overlap it.
+    """
+    kept: list[tuple] = []
+    starts: list[int] = []
+    longest = 0
+    for row in sorted(found, key=lambda r: (-r[1], -r[2], r[4] - r[3], r[3], r[0])):
+        low, high = bisect_left(starts, row[3] - longest), bisect_left(starts, row[4])
+        if not any(_better(other, row) for other in kept[low:high]):
+            at = bisect_right(starts, row[3])
+            kept.insert(at, row)
+            starts.insert(at, row[3])
+            longest = max(longest, row[4] - row[3])
+    return kept
 
 
 def _better(a: tuple, b: tuple) -> bool:

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import time
+
 from llm_cases import DOCS, TEXTS, clashing, documents, prose
 from meterline.llm import license_scan as L
 
@@ -94,6 +97,64 @@ def test_given_lines_are_all_found(spark, small):
     assert want and got == want
 
 
+def test_overlaps_are_settled_as_by_comparing_all():
+    rnd = random.Random(8)
+    for _ in range(200):
+        found = []
+        for _ in range(rnd.randrange(60)):
+            start = rnd.randrange(300)
+            found.append((rnd.choice("abc"), rnd.choice([0.8, 0.9, 1.0]), rnd.randrange(3, 9), start, start + rnd.randrange(1, 80), rnd.random() < 0.5))
+        found = list({(r[0], r[3], r[4]): r for r in found}.values())
+        kept = []
+        for row in sorted(found, key=lambda r: (-r[1], -r[2], r[4] - r[3], r[3], r[0])):
+            if not any(L._better(other, row) for other in kept):
+                kept.append(row)
+        assert sorted(L.best_of(found)) == sorted(kept)
+
+
+def test_a_megabyte_of_notices():
+    line, n = "Licensed under CC BY 4.0. ", 20_000
+    found = [("a", 1.0, 5, i * 26, i * 26 + 24, False) for i in range(100_000)]
+    began = time.process_time()
+    assert len(L.best_of(found)) == 100_000
+    assert time.process_time() - began < 5
+    got = L.Scanner(L.Index(L.TEMPLATES))(line * n)
+    assert len(got) == n and {g[0] for g in got} == {"cc-by-4.0"}
+
+
+def test_identifiers():
+    scanner = L.Scanner(L.Index(L.TEMPLATES))
+    for name in ("MIT", "GPL-3.0-or-later", "0BSD", "CC0-1.0", "EPL-2.0"):
+        for line in (f"// SPDX-License-Identifier: {name}", f"# spdx-license-identifier:{name}\nx = 1"):
+            assert [g[0] for g in scanner(line)] == [f"spdx-{name.lower()}"], line
+    assert not scanner("SPDX-License-Identifier: Unknown-1.0") and not scanner("MIT")
+
+
+def test_nothing_is_missed_against_every_place():
+    """All templates at every place of small texts, by the longest common subsequence of whole windows."""
+    templates = {"one": "alpha beta gamma delta epsilon", "two": "beta gamma zeta eta", "id": "Key: MIT", "long": " ".join(f"w{i}" for i in range(30))}
+    index = L.Index(templates)
+    scanner, rnd = L.Scanner(index), random.Random(2)
+    for _ in range(150):
+        words = []
+        for _ in range(rnd.randrange(1, 5)):
+            words += [f"x{rnd.randrange(9)}" for _ in range(rnd.randrange(12))]
+            of = L.normal(rnd.choice(list(templates.values())))
+            lost = len(of) - L.least(len(of), L.MIN_COVERAGE)
+            gone = set(rnd.sample(range(len(of)), rnd.randint(0, lost)))
+            words += ["zz" if i in gone else w for i, w in enumerate(of)]
+        text = " ".join(words)
+        got = {g[0] for g in scanner(text)}
+        for name, template in templates.items():
+            of = L.normal(template)
+            exact = max(
+                (sum(a == b for a, b in zip(of, words[i : i + len(of)])) for i in range(len(words) - len(of) + 1)), default=0
+            )
+            if exact >= L.least(len(of), L.MIN_COVERAGE):
+                rivals = {"one", "two"} if name in ("one", "two") else {name}
+                assert got & rivals, (name, text)
+
+
 def test_empty(spark):
     assert L.scan(spark.createDataFrame([], DOCS)).count() == 0
     assert L.scan(documents(spark), templates={}).count() == 0
