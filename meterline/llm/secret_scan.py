@@ -63,9 +63,9 @@ LEAST_LAYER = 12
 _ZLIB = [bytes([c, f]) for c in range(0x08, 0x79, 16) for f in range(256) if not f & 32 and (c << 8 | f) % 31 == 0]
 _PACKED = re.compile("|".join(["\x1f\x8b\x08", *(re.escape(h.decode("latin-1")) for h in _ZLIB)]), re.DOTALL)
 _WIDE = re.compile(r"(?:[\x01-\x7f]\0){6,}|(?:\0[\x01-\x7f]){6,}")
-#: Layers beyond this many bytes are not unpacked; they are reported as ``opaque`` spans.
-MAX_LAYER = 64 << 20
-OPAQUE = "opaque"
+#: Unpacked bytes are scanned in windows of so many; one begins with the last bytes of that
+#: before. A stream inside such a layer is unpacked as far as a window holds it.
+MAX_LAYER, OVERLAP = 64 << 20, 1 << 16
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -86,10 +86,50 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 def in_order(spans) -> list[tuple[int, str, int]]:
     """By start, then kind as listed, then end."""
-    rank = {k: i for i, k in enumerate((*KINDS, OPAQUE))}
+    rank = {k: i for i, k in enumerate(KINDS)}
     return sorted(set(spans), key=lambda s: (s[0], rank[s[1]], s[2]))
 
 
+def _windows(data: bytes, at: int, end: int, size: int) -> Iterator[bytes]:
+    """Content of the streams in data[at:end], of any size, in overlapping windows."""
+    held, overlap = bytearray(), min(OVERLAP, size // 2)
+    for part in _stream(data, at, end):
+        held += part
+        while len(held) >= size:
+            yield bytes(held[:size])
+            del held[: size - overlap]
+    if held:
+        yield bytes(held)
+
+
+def _stream(data: bytes, at: int, end: int) -> Iterator[bytes]:
+    """Content piece by piece, as far as it is sound; a chunk with damage goes byte by byte."""
+
+    def feed(unpack, chunk: bytes) -> Iterator[bytes]:
+        while not unpack.eof:
+            new = unpack.decompress(chunk, 1 << 20)
+            chunk = unpack.unconsumed_tail
+            yield new
+            if not chunk and len(new) < 1 << 20:
+                break
+
+    while at < end:
+        unpack = zlib.decompressobj(wbits=47)
+        while at < end and not unpack.eof:
+            chunk, before = data[at : min(at + (1 << 14), end)], unpack.copy()
+            try:
+                parts = list(feed(unpack, chunk))
+            except zlib.error:
+                try:
+                    for i in range(len(chunk)):
+                        yield from feed(before, chunk[i : i + 1])
+                except zlib.error:
+                    pass
+                return
+            yield from parts
+            at += len(chunk) - len(unpack.unused_data)
+
+
 def _inflate(data: bytes, at: int, limit: int) -> tuple[bytes | None, int, int]:
     """Content of the gzip members or zlib streams from ``at`` on, where they end, and where
     another may start. A damaged or cut stream gives what stands before the damage; the
@@ -235,8 +275,9 @@ def _packed(layer: _Layer, limit: int):
     data = layer.text.encode("latin-1", "replace")
     while m:
         out, end, again = _inflate(data, m.start(), limit)
-        if out is None:
-            yield OPAQUE, layer.at(m.start(), end)
+        if out is None:  # beyond one window: unpacked again, window by window
+            for part in _windows(data, m.start(), end, limit):
+                yield _Layer(part.decode("latin-1"), whole=layer.at(m.start(), end))
         elif len(out) >= LEAST_LAYER:
             yield _Layer(out.decode("latin-1"), whole=layer.at(m.start(), end))
         m = _PACKED.search(layer.text, again)
@@ -260,9 +301,12 @@ def scan(text: str | None, limit: int = MAX_LAYER) -> tuple[list, list]:
     base = base_spans(text)
     added: set[tuple[int, str, int]] = set()
     seen: set[tuple] = set()
-    work = [_Layer(text)]
+    # one layer a depth is held: the next sibling is made when the one before is done
+    work = [iter([_Layer(text)])]
     while work:
-        layer = work.pop()
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
         if not layer.first:
             mark = (hashlib.blake2b(layer.text.encode("utf-8", "replace"), digest_size=16).digest(), layer.at(0, len(layer.text)))
             if mark in seen:
@@ -271,15 +315,18 @@ def scan(text: str | None, limit: int = MAX_LAYER) -> tuple[list, list]:
             for start, kind, end in base_spans(layer.text):
                 a, b = layer.at(start, end)
                 added.add((a, kind, b))
-        for decode in (_percent(layer), _unicode(layer), _base64(layer), _packed(layer, limit), _wide(layer)):
-            for new in decode:
-                if isinstance(new, tuple):
-                    added.add((new[1][0], OPAQUE, new[1][1]))
-                elif new.text != layer.text:
-                    work.append(new)
+        work.append(_decoded(layer, limit))
     return in_order(base), in_order([*base, *added])
 
 
+def _decoded(layer: _Layer, limit: int) -> Iterator[_Layer]:
+    """All layers one decoding away."""
+    for decode in (_percent(layer), _unicode(layer), _base64(layer), _packed(layer, limit), _wide(layer)):
+        for new in decode:
+            if new.text != layer.text:
+                yield new
+
+
 def _listed(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end in spans)
 

@@ -128,9 +128,16 @@ def test_plain_words_and_chains_add_nothing():
         assert base == spans
 
 
-def test_large_layers_are_reported():
-    packed = B64(gzip.compress(b"a" * 5000))
-    assert X.scan(packed, limit=100)[1] == [(0, X.OPAQUE, len(packed))]
+def test_layers_of_any_size_are_scanned():
+    rnd = random.Random(5)
+    noise = rnd.randbytes(3000).hex().encode().replace(b"0", b" ")  # hardly compressible
+    for place in (0, 1500, 2990, len(noise)):
+        content = noise[:place] + b' password = "abcdef12" ' + noise[place:]
+        for packed in (gzip.compress(content), gzip.compress(content[:2000]) + gzip.compress(content[2000:]), zlib.compress(content)):
+            text = B64(packed)
+            assert (0, "assign", len(text)) in X.scan(text, limit=1000)[1]
+    bomb = B64(gzip.compress(b"a" * (100 << 20) + b' token: "abcdef12"'))  # three windows
+    assert "assign" in [k for _, k, _ in X.scan(bomb)[1]]
 
 
 def test_rows(spark):
