@@ -27,8 +27,6 @@ RULES = (
 )
 #: Least share and number of labelled URLs behind a rule; least confidence and lift.
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 20, 0.6, 1.05
-#: For mining only, a labelled URL counts with its so many most telling tokens.
-MOST_TOKENS = 10
 DEFAULT = "allow"
 
 
@@ -90,10 +88,12 @@ def mine(
     min_count: int = MIN_COUNT,
     min_confidence: float = MIN_CONFIDENCE,
     min_lift: float = MIN_LIFT,
-    most_tokens: int = MOST_TOKENS,
 ) -> DataFrame:
     """(needs, verdict, confidence, support, rarest) of the rules of (url, label) rows.
 
+    All frequent tokens of a URL are mined. Tokens that stand in exactly the same URLs
+    are one item: boilerplate of many tokens would else give a set for each of its
+    subsets. Each rule comes once for every token that may stand for its items.
     Repeated URLs of equal label count once. Without labelled URLs there are no rules.
     """
     rows = cut(known.distinct().select("url", "label", tokens(F.col("url")).alias("tokens")), "labelled-urls")
@@ -111,22 +111,26 @@ def mine(
     if least > n:
         return empty
     apart = rows.select("url", "label", F.explode("tokens").alias("token"))
+    # Equal counts, sums and combinations of 64-bit hashes: the same URLs. Sums are of 32 bits
+    # each, so they do not overflow.
+    mark = F.xxhash64("url", "label")
+    counts = apart.groupBy("token").agg(
+        F.count("*").alias("n"),
+        F.bit_xor(mark).alias("xor"),
+        F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
+        F.sum(F.shiftrightunsigned(mark, 32)).alias("high"),
+    )
+    same = counts.filter(F.col("n") >= least).groupBy("n", "xor", "low", "high").agg(F.collect_list("token").alias("members"))
     counts = cut(
-        apart.groupBy("token")
-        .agg(F.count("*").alias("n"), F.count_if(F.col("label") == "block").alias("bad"))
-        .filter(F.col("n") >= least)
-        .withColumn("telling", F.abs(F.col("bad") - F.col("n") * (blocked / n)) / F.sqrt("n")),
+        same.select(
+            "n", F.array_min("members").alias("item"), F.array_sort("members").alias("members"), F.explode("members").alias("token")
+        ),
         "url-tokens",
     )
     chosen = (
-        apart.join(counts.select("token", "telling"), "token")
+        apart.join(counts.filter("token = item").select("token"), "token")
         .groupBy("url", "label")
-        .agg(
-            F.transform(
-                F.slice(F.array_sort(F.collect_list(F.struct((-F.col("telling")).alias("no"), "token"))), 1, most_tokens),
-                lambda x: x["token"],
-            ).alias("tokens")
-        )
+        .agg(F.collect_list("token").alias("tokens"))
         .select(F.array_append("tokens", F.concat(F.lit("="), "label")).alias("items"))
     )
     # URLs without a frequent token still count as transactions
@@ -156,13 +160,41 @@ def mine(
         .select(F.col("whole").alias("needs"), "verdict")
     )
     kept = rules.join(worse, ["needs", "verdict"], "left_anti")
-    rarest = (
-        kept.select("needs", "verdict", F.explode("needs").alias("token"))
-        .join(counts.select("token", "n"), "token")
-        .groupBy("needs", "verdict")
-        .agg(F.min(F.struct("n", "token"))["token"].alias("rarest"))
+    return cut(_spelled_out(kept, counts), "url-index")
+
+
+def _spelled_out(rules: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rules over items as rules over tokens: each token of an item in its place, and the
+    rarest token of each rule (ties: the smallest)."""
+    own = ["needs", "verdict", "confidence", "support"]
+    members = counts.filter("token = item").select("token", "n", "members")
+    parts = (
+        rules.select(*own, F.posexplode("needs").alias("at", "token"))
+        .join(members, "token")
+        .groupBy(*own)
+        .agg(F.array_sort(F.collect_list(F.struct("at", "n", "members"))).alias("parts"))
+    )
+    # one list of tokens after the other: all ways to take a member of each
+    grown = F.aggregate(
+        "parts",
+        F.array(F.array().cast("array<struct<n:bigint,token:string>>")),
+        lambda done, part: F.flatten(
+            F.transform(
+                done,
+                lambda head: F.transform(
+                    part["members"], lambda t: F.array_append(head, F.struct(part["n"].alias("n"), t.alias("token")))
+                ),
+            )
+        ),
+    )
+    each = parts.select("verdict", "confidence", "support", F.explode(grown).alias("of"))
+    return each.select(
+        F.array_sort(F.transform("of", lambda x: x["token"])).alias("needs"),
+        "verdict",
+        "confidence",
+        "support",
+        F.array_min("of")["token"].alias("rarest"),
     )
-    return cut(kept.join(rarest, ["needs", "verdict"]), "url-index")
 
 
 def chosen_urls(apart: DataFrame, counts: DataFrame) -> DataFrame:

@@ -76,6 +76,28 @@ def test_rules_and_matches_equal_brute_force(spark):
         assert fired.get(u) == (max(fit)[-1] if fit else None)
 
 
+def test_long_urls_are_mined_whole(spark):
+    """Thirty tokens a URL that always come together, and one that tells, far behind the others."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    common = "/".join(f"same{a}" for a in letters)
+    rows = [(f"http://h.test/{common}/n{letters[i % 26]}/{'spam' if i % 2 else 'fine'}/{i}", "block" if i % 2 and i % 10 != 1 else "allow") for i in range(200)]
+    index = U.mine(spark.createDataFrame(rows, "url string, label string"), min_count=20).collect()
+    sure = {(tuple(r.needs), r.verdict): round(r.confidence, 6) for r in index if len(r.needs) == 1}
+    assert sure[("p:spam",), "block"] == 0.8 and sure[("p:fine",), "allow"] == 1.0
+    assert not any(t.startswith("p:same") for needs, _ in sure for t in needs)  # no rule: no lift
+
+
+def test_tokens_that_come_together_each_stand_for_their_rule(spark):
+    rows = [(f"http://{'x.bad.twin' if i % 2 else 'y.good'}.test/{i}", "block" if i % 2 else "allow") for i in range(100)]
+    known = spark.createDataFrame(rows, "url string, label string")
+    index = U.mine(known, min_count=20)
+    want = brute_rules(rows, 20, U.MIN_CONFIDENCE, U.MIN_LIFT)
+    got = {(tuple(r.needs), r.verdict): (r.confidence, r.support) for r in index.collect()}
+    assert got == want and len([k for k in got if k[1] == "block"]) == 3
+    pages = spark.createDataFrame([("http://only.twin.test/",), ("http://none.test/",)], "url string")
+    assert [tuple(r) for r in U.matches(pages, index).collect()] == [("http://only.twin.test/", "block")]
+
+
 ODD = [
     (1, None, ""),
     (2, "no scheme/org", ""),
