@@ -18,7 +18,8 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-EAGER = ("src_", "stream_", "lake_")
+# These write files while they are built.
+EAGER = ("src_", "stream_", "lake_", "incremental_", "table_log_", "gold_jobs_colocated")
 # Projections of a report that is itself planned below.
 VARIANTS = {
     "q_exec_report", "q_recommendation_status", "q_roi_analysis", "q_new_resources",
