@@ -121,6 +121,7 @@ class EngineConfig:
     # --- rules and audits
     top_recommendations: int = 10
     failure_rate_high: float = 0.2
+    partial_drop: float = 0.25  # least fall of a finding's measure that counts as partly done
     optimize_min_gb: float = 10.0
     autoscaling_min_workers: int = 5
     long_run_hours: float = 4.0

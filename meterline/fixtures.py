@@ -408,13 +408,15 @@ class Estate:
             silver.latest_runs(silver.seen_by(b.runs, self.as_of)), as_of=self.as_of, cfg=self.cfg
         )
         after = [ms for ms in SNAPSHOTS if self.before.as_of < ms <= self.as_of]
-        held = history.condition_history(b.clusters, b.tables, b.jobs, runs, after, cfg=self.cfg)
+        judged = [self.before.as_of, *after]
+        held = history.condition_history(b.clusters, b.tables, b.jobs, runs, judged, cfg=self.cfg)
         return history.recommendation_status(
             self.before.recommendations,
             held,
             after,
             baseline=self.before.as_of,
             as_of=self.as_of,
+            cfg=self.cfg,
         )
 
     @cached_property

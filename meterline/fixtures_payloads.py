@@ -402,6 +402,49 @@ def table_log_inventory(b: Bronze) -> DataFrame:
     )
 
 
+def sink_append_evolved(b: Bronze) -> DataFrame:
+    """Three collections of jobs whose columns came, went and changed their type, and a day with both types."""
+    spark, name = b.spark, "bronze.compute_jobs"
+    path = shared_folder(spark, "evolved")
+    narrow = F.pmod("job_id", F.lit(100))
+    first, second, third = (b.jobs.filter(F.unix_millis("collect_timestamp") == at) for at in SNAPSHOTS)
+    odd = F.pmod("job_id", F.lit(2)) == 1
+    detail = F.struct(narrow.cast("int").alias("a"))
+    wide = F.struct(narrow.alias("a"), F.col("job_name").alias("b"))
+    writes = (
+        first.drop("tags").withColumns({"priority": narrow.cast("int"), "retries": narrow.cast("int"), "detail": detail}),
+        second.filter(odd).withColumns({"priority": F.col("job_id") * 5_000_000_000, "retries": narrow / 4, "detail": wide}),
+        second.filter(~odd).withColumns({"priority": narrow.cast("int"), "retries": narrow.cast("int"), "detail": detail}),
+        third.withColumns({"priority": narrow.cast("decimal(12,2)") / 8, "retries": F.lit("many"), "detail": wide}),
+    )
+    for rows in writes:
+        layers.append(rows, name, path, keep_extra=True)
+    found = layers.read(spark, name, path, evolved=True)
+    return found.select(
+        "workspace_name",
+        "job_id",
+        "tags",
+        F.unix_millis("collect_timestamp").alias("collect_ms"),
+        F.col("priority").cast("double").alias("priority"),
+        F.col("retries").try_cast("double").alias("retries"),
+        F.col("retries").isNotNull().alias("has_retries"),
+        F.col("detail.a").alias("detail_a"),
+        F.col("detail.b").alias("detail_b"),
+    )
+
+
+def sink_replace(b: Bronze) -> DataFrame:
+    """Jobs of all workspaces at the baseline; some are replaced by the newest, one of them by nothing."""
+    spark, name = b.spark, "silver.compute_jobs"
+    path = shared_folder(spark, "replaced")
+    at = F.unix_millis("collect_timestamp")
+    old, new = (silver.silver_jobs(b.jobs.filter(at == ms), as_of=ms) for ms in (SNAPSHOTS[0], SNAPSHOTS[-1]))
+    layers.replace(old, name, path)
+    changed = [f"ws_{i}" for i in range(0, 25, 2)]
+    layers.replace(new.filter(F.col("workspace_name") != "ws_4"), name, path, workspaces=changed)
+    return layers.read(spark, name, path).withColumn("collect_ms", at)
+
+
 BUCKETS = 8
 
 

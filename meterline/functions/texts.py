@@ -4,6 +4,7 @@
 IMPLEMENTED = "implementada"
 NOT_IMPLEMENTED = "não_implementada"
 REGRESSION = "regressão"
+PARTIAL = "parcial"
 
 # --- recommendations: (priority, category, title, description, impact, complexity, action, savings)
 # Placeholders are filled by format_string in the order of the columns named next to each rule.

@@ -205,32 +205,39 @@ def recommendation_status(
     *,
     baseline: int,
     as_of: int,
+    cfg: EngineConfig = DEFAULT,
 ) -> DataFrame:
     """What became of each baseline recommendation.
 
     ``conditions`` holds (workspace, rule, resource, snapshot) rows that were
-    true; ``snapshots`` are the audited instants. Gone now: implemented. Present
-    now but absent in a snapshot after the baseline: regression. Otherwise still
-    open.
+    true, with their measure, the baseline's included; ``snapshots`` are the audited
+    instants. Gone now: implemented. Present now but absent in a snapshot after the
+    baseline: regression. Present throughout with a measure lower than the baseline's
+    by ``cfg.partial_drop`` of it or more: partly implemented. Otherwise, or if either
+    measure is unknown or the baseline's not above zero, still open.
     """
     after = sorted(ms for ms in snapshots if baseline < ms <= as_of)
     if not after or after[-1] != as_of:
         raise ValueError("as_of must be one of the snapshots after the baseline")
     at = [F.timestamp_millis(F.lit(ms).cast("bigint")) for ms in after]
-    stamp = F.col("snapshot_timestamp")
+    stamp, start = F.col("snapshot_timestamp"), F.timestamp_millis(F.lit(baseline).cast("bigint"))
     keys = ["workspace_name", "rule_id", "resource_id"]
     seen = (
-        conditions.filter(stamp.isin(*at))
+        conditions.filter(stamp.isin(start, *at))
         .groupBy(*keys)
         .agg(
-            F.count_distinct(stamp).alias("times_true"),
+            F.count_distinct(F.when(stamp != start, stamp)).alias("times_true"),
             F.max(stamp == at[-1]).alias("true_now"),
+            F.max(F.when(stamp == start, F.col("measure"))).alias("measured_then"),
+            F.max(F.when(stamp == at[-1], F.col("measure"))).alias("measured_now"),
         )
     )
     open_now = F.coalesce("true_now", F.lit(False))
+    left = F.when(F.col("measured_then") > 0, F.round(F.col("measured_now") / F.col("measured_then"), 12))
     status = (
         F.when(~open_now, texts.IMPLEMENTED)
         .when(F.col("times_true") < len(after), texts.REGRESSION)
+        .when(left <= 1 - cfg.partial_drop, texts.PARTIAL)
         .otherwise(texts.NOT_IMPLEMENTED)
     )
     return recommendations.join(seen, keys, "left").select(

@@ -169,7 +169,7 @@ def executive_report(
     status = F.col("status")
     outcome = statuses.groupBy("workspace_name").agg(
         F.count_if(status == texts.IMPLEMENTED).cast("int").alias("n_implemented"),
-        F.count_if(status == texts.NOT_IMPLEMENTED).cast("int").alias("n_open"),
+        F.count_if(status.isin(texts.NOT_IMPLEMENTED, texts.PARTIAL)).cast("int").alias("n_open"),
         F.count_if(status == texts.REGRESSION).cast("int").alias("n_regressed"),
         _packed(["rule_id", "resource_id"], F.struct(*STATUS_FIELDS)).alias(
             "recommendations_status"

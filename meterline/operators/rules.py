@@ -149,32 +149,36 @@ def recommendations(
 def conditions(
     flags: DataFrame, tables: DataFrame, jobs: DataFrame, *, cfg: EngineConfig = DEFAULT
 ) -> DataFrame:
-    """(workspace, rule, resource, snapshot) rows for which a rule holds.
+    """(workspace, rule, resource, snapshot) rows for which a rule holds, and how badly.
 
     Appended at every run, this small table is the history that tells a
-    regression from a finding that was never fixed.
+    regression from a finding that was never fixed. ``measure`` is what the rule's
+    action lowers: idle worker hours (a driver counts as one), workers, size, files
+    or failure rate.
     """
+    idle_work = F.col("idle_hours") * F.greatest(F.coalesce("num_workers", F.lit(0)), F.lit(1))
 
-    def row(rule: str, resource: str) -> Column:
+    def row(rule: str, resource: str, measure: Column | str) -> Column:
         return F.struct(
             F.col("workspace_name"),
             F.lit(rule).alias("rule_id"),
             F.col(resource).cast("string").alias("resource_id"),
             F.col("process_timestamp").alias("snapshot_timestamp"),
+            (F.col(measure) if isinstance(measure, str) else measure).cast("double").alias("measure"),
         )
 
     return (
         matches(
             flags,
-            (is_idle(), row("idle_cluster", "cluster_id")),
-            (~F.col("has_autoscaling"), row("missing_autoscaling", "cluster_id")),
+            (is_idle(), row("idle_cluster", "cluster_id", idle_work)),
+            (~F.col("has_autoscaling"), row("missing_autoscaling", "cluster_id", "num_workers")),
         )
         .unionByName(
             matches(
                 tables,
-                (F.col("is_abandoned"), row("abandoned_table", "full_table_name")),
-                (is_small_files(cfg), row("small_files", "full_table_name")),
+                (F.col("is_abandoned"), row("abandoned_table", "full_table_name", "size_gb")),
+                (is_small_files(cfg), row("small_files", "full_table_name", "num_files")),
             )
         )
-        .unionByName(matches(jobs, (is_failing(cfg), row("failing_job", "job_id"))))
+        .unionByName(matches(jobs, (is_failing(cfg), row("failing_job", "job_id", "failure_rate"))))
     )

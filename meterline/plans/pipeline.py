@@ -199,6 +199,7 @@ class Warehouse:
             snapshots,
             baseline=baseline,
             as_of=at,
+            cfg=cfg,
         )
         fresh = history.new_resources(
             self.known("bronze.compute_clusters"),

@@ -243,6 +243,13 @@ REPORTS: dict[str, Report] = {
         lambda e: _at_both(e, e.table_versions, "full_table_name", lambda df, at: silver.silver_tables(df, as_of=at)),
         "s workspace_name full_table_name size_in_bytes num_files days_since_modified days_since_accessed is_new",
     ),
+    "sink_append_evolved": Report(
+        lambda e: files.sink_append_evolved(e.bronze),
+        "workspace_name job_id tags collect_ms priority~ retries~ has_retries detail_a detail_b",
+    ),
+    "sink_replace": Report(
+        lambda e: files.sink_replace(e.bronze), "workspace_name job_id job_name has_schedule collect_ms"
+    ),
     "gold_jobs_colocated": Report(
         lambda e: files.gold_jobs_colocated(e.jobs, e.runs),
         f"workspace_name job_id job_name uses_existing_cluster has_schedule {_JOB_STATS}",

@@ -142,7 +142,7 @@ _GOLD = {
         cold_data_level string, overall_score double, overall_level string,
         process_timestamp timestamp""",
     "rule_conditions": """workspace_name string, rule_id string, resource_id string,
-        snapshot_timestamp timestamp""",
+        snapshot_timestamp timestamp, measure double""",
     "audit_issues": """workspace_name string, issue_type string, category string,
         resource_id string, resource_name string, table_name string, severity string,
         description string, recommended_action string, estimated_impact string,

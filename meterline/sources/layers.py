@@ -8,6 +8,7 @@ from datetime import date, datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from meterline.schemas import TABLES, Table
+from meterline.sources import evolution
 
 # History tables carry the day they were written for: as-of reads skip later
 # folders and writing a day again replaces it.
@@ -174,14 +175,20 @@ def store_colocated(df: DataFrame, table: str, path: str, keys: Sequence[str], b
 
 
 def read(spark: SparkSession, name: str, warehouse: str, *, evolved: bool = False) -> DataFrame:
-    """A layer table with its declared schema, or with every column ever written."""
+    """A layer table with its declared schema, or with every column ever written.
+
+    ``evolved`` also joins columns whose type changed (see ``evolution.common_type``).
+    """
     table = _table(name)
-    if evolved:
-        found = spark.read.option("mergeSchema", "true").parquet(table.path(warehouse))
-        return found.drop(DAY)
     schema = table.schema
     if table.append:
         schema = T.StructType([*schema.fields, T.StructField(DAY, T.DateType())])
+    if evolved:
+        folders = T.StructType([schema[c] for c in _partitions(table)])
+        found = evolution.read_evolved(spark, table.path(warehouse), folders)
+        if found is None:
+            found = spark.createDataFrame([], schema)
+        return found.drop(DAY)
     return spark.read.schema(schema).parquet(table.path(warehouse))
 
 

@@ -44,6 +44,15 @@ from fx_billing where cloud <> 'gcp' or date_trunc('month', cost_date) between d
     "stream_job_runs": "runs_2",
     "stream_daily_cost": "daily_2",
     "gold_jobs_colocated": "gjobs_2",
+    "sink_append_evolved": """
+select workspace_name, job_id, case when s > 0 then tags end as tags, collect_ms,
+  case when s = 2 then (job_id % 100) / 8e0 when s = 1 and job_id % 2 = 1 then job_id * 5e9 else cast(job_id % 100 as double) end as priority,
+  case when s = 2 then null when s = 1 and job_id % 2 = 1 then (job_id % 100) / 4e0 else cast(job_id % 100 as double) end as retries, true as has_retries,
+  job_id % 100 as detail_a, case when s = 2 or (s = 1 and job_id % 2 = 1) then job_name end as detail_b
+from fx_jobs""",
+    "sink_replace": """
+select workspace_name, job_id, job_name, (schedule is not null and trim(schedule) not in ('', 'null', 'None', '{}', '[]')) as has_schedule, collect_ms
+from fx_jobs where case when cast(substr(workspace_name, 4) as integer) % 2 = 0 then s = 2 and workspace_name <> 'ws_4' else s = 0 end""",
     "table_log_inventory": """
 with f as (
   select regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') as table_name, p_partkey, p_size % 10 as v, p_partkey % 7 <> 0 as kept, p_partkey % 21 = 0 as back from part)

@@ -329,23 +329,25 @@ where rn <= 20
     "issues_@S": "select * from a_storage_@S union all select * from a_compute_@S union all select * from a_workflows_@S",
     # What held at each snapshot: every inventory row judged at its own time, runs as far as they had started.
     "held": """
-select workspace_name, 'idle_cluster' as rule_id, cluster_id as resource_id, s from fx_clusters where start_time <> 0 and last_activity_time <> 0 and (collect_ms - last_activity_time) / 3600000e0 > 4
+select workspace_name, 'idle_cluster' as rule_id, cluster_id as resource_id, s, (collect_ms - last_activity_time) / 3600000e0 * greatest(num_workers, 1) as measure from fx_clusters where start_time <> 0 and last_activity_time <> 0 and (collect_ms - last_activity_time) / 3600000e0 > 4
 union all
-select workspace_name, 'missing_autoscaling', cluster_id, s from fx_clusters where autoscale is null or trim(autoscale) in ('', 'null', 'None', '{}', '[]')
+select workspace_name, 'missing_autoscaling', cluster_id, s, cast(num_workers as double) from fx_clusters where autoscale is null or trim(autoscale) in ('', 'null', 'None', '{}', '[]')
 union all
-select workspace_name, 'abandoned_table', full_table_name, s from fx_tables where (collect_ms - coalesce(last_access_ms, last_modified_ms)) // 86400000 > 180
+select workspace_name, 'abandoned_table', full_table_name, s, size_in_bytes / 1073741824e0 from fx_tables where (collect_ms - coalesce(last_access_ms, last_modified_ms)) // 86400000 > 180
 union all
-select workspace_name, 'small_files', full_table_name, s from fx_tables
+select workspace_name, 'small_files', full_table_name, s, cast(num_files as double) from fx_tables
 where (num_files = 0 or size_in_bytes / cast(num_files as double) / 1048576e0 < 128) and size_in_bytes / 1073741824e0 > 100
 union all
-select j.workspace_name, 'failing_job', cast(j.job_id as varchar), j.s
+select j.workspace_name, 'failing_job', cast(j.job_id as varchar), j.s, count(*) filter (where r.is_failed) / cast(count(*) as double)
 from fx_jobs j join runs_2 r on j.workspace_name = r.workspace_name and j.job_id = r.job_id and r.start_ms <= j.collect_ms
-group by all having count(*) filter (where r.is_failed) / cast(count(*) as double) > 0.2e0
+group by j.workspace_name, j.job_id, j.s having count(*) filter (where r.is_failed) / cast(count(*) as double) > 0.2e0
 """,
     "fate": """
 select b.workspace_name, b.rule_id, b.resource_id, b.title as recommendation_title, b.category, b.priority,
-  case when h2.s is null then 'implementada' when h1.s is null then 'regressão' else 'não_implementada' end as status
+  case when h2.s is null then 'implementada' when h1.s is null then 'regressão'
+    when h0.measure > 0 and round(h2.measure / h0.measure, 12) <= 0.75e0 then 'parcial' else 'não_implementada' end as status
 from recs_0 b
+left join held h0 on h0.s = 0 and b.workspace_name = h0.workspace_name and b.rule_id = h0.rule_id and b.resource_id = h0.resource_id
 left join held h1 on h1.s = 1 and b.workspace_name = h1.workspace_name and b.rule_id = h1.rule_id and b.resource_id = h1.resource_id
 left join held h2 on h2.s = 2 and b.workspace_name = h2.workspace_name and b.rule_id = h2.rule_id and b.resource_id = h2.resource_id
 """,
@@ -409,7 +411,7 @@ select n.workspace_name, '2001-08-01T00:00:00' as report_date, '2001-06-02T00:00
   coalesce(r.estimated_monthly_savings, 0e0) as estimated_monthly_savings, coalesce(r.estimated_annual_savings, 0e0) as estimated_annual_savings, coalesce(r.reduction_percentage, 0e0) as reduction_percentage
 from report_names n left join maturity_2 m using (workspace_name)
 left join (select workspace_name, count(*) as total, count(*) filter (where severity = 'high') as high, count(*) filter (where severity = 'medium') as medium from issues_2 group by workspace_name) i using (workspace_name)
-left join (select workspace_name, count(*) filter (where status = 'implementada') as done, count(*) filter (where status = 'não_implementada') as still,
+left join (select workspace_name, count(*) filter (where status = 'implementada') as done, count(*) filter (where status in ('não_implementada', 'parcial')) as still,
              count(*) filter (where status = 'regressão') as back from fate group by workspace_name) f using (workspace_name)
 left join roi_2 r using (workspace_name)
 """,

@@ -19,7 +19,7 @@ def plan_of(df) -> str:
 
 
 # These write files while they are built.
-EAGER = ("src_", "stream_", "lake_", "incremental_", "table_log_", "gold_jobs_colocated")
+EAGER = ("src_", "stream_", "lake_", "incremental_", "table_log_", "gold_jobs_colocated", "sink_")
 # Projections of a report that is itself planned below.
 VARIANTS = {
     "q_exec_report", "q_recommendation_status", "q_roi_analysis", "q_new_resources",

@@ -38,6 +38,8 @@ FAMILIES = [
     "executive_report",
     "stream_job_runs",
     "stream_daily_cost",
+    "sink_append_evolved",
+    "sink_replace",
     "q_critical_issues",
 ]
 
