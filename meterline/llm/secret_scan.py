@@ -1,13 +1,14 @@
 """Secret scan with a recursive decoding worklist.
 
 A text is the first layer. Every layer is scanned by the base rules and for
-encoded stretches: percent escapes, Unicode escapes, base64 (with either
+encoded stretches: percent escapes (%XX, %uXXXX), Unicode, hexadecimal and octal escapes,
+entities (numbered, or named ones of ASCII characters), base64 (with either
 alphabet), and the compressed bytes that any of them may hold. The escapes of a layer are
 decoded in place, in one new layer of its whole text, as a rule may need what stands
 before them. Base64 runs, joined over line ends, decode to a new layer for each of the
-four alignments, whatever stands before a value in its run. gzip members and zlib
+four alignments, whatever stands before a value in its run. gzip members, zlib and bzip2
 streams are unpacked wherever they start in a decoded layer, cut ones as far as they
-go. No decoded layer is dropped for its bytes: one character stands for each byte, and
+go; raw deflate, which has no mark, where a whole stream begins a decoded layer. No decoded layer is dropped for its bytes: one character stands for each byte, and
 UTF-16 is brought together, as all rules and encodings are ASCII. New layers join the worklist;
 a layer whose content was seen before in the same chain of decodings or elsewhere at
 the same place is not taken again, so the list runs empty. Every layer knows which code points of the whole text each of
@@ -17,10 +18,12 @@ its characters came from, so findings inside it are mapped to spans of the text.
 from __future__ import annotations
 
 import binascii
+import bz2
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from html.entities import html5
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +46,11 @@ _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 # The first choice of either unit peels a long chain of escaped escapes at once, so
 # a hostile chain costs one layer and not one for each of its levels.
-_PERCENT = re.compile(r"(%(?:25){3,})|%([0-9A-Fa-f]{2})")
+_PERCENT = re.compile(r"(%(?:25){3,})|%u([0-9A-Fa-f]{4})|%([0-9A-Fa-f]{2})")
+_NAMED = {name: char for name, char in html5.items() if name.endswith(";") and len(char) == 1 and char.isascii()}
 _UNICODE = re.compile(
-    r"(?P<chain>\\(?:u005[cC]){3,}|&(?:#38;){3,})|"
-    r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});"
+    r"(?P<chain>\\(?:u005[cC]){3,}|\\(?:134){3,}|&(?:#38;|amp;){3,})|(?P<name>&(?:" + "|".join(_NAMED) + r"))|\\(?P<octal>[0-3]?[0-7]{2})|"
+    r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#(?P<number>[0-9]{1,7});"
 )
 _LETTER = "[A-Za-z0-9+/_-]"
 #: A line end inside a wrapped run, also as JSON writes it.
@@ -62,6 +66,7 @@ LEAST_LAYER = 12
 # gzip, or one of the 32 headers of zlib without a preset dictionary
 _ZLIB = [bytes([c, f]) for c in range(0x08, 0x79, 16) for f in range(256) if not f & 32 and (c << 8 | f) % 31 == 0]
 _PACKED = re.compile("|".join(["\x1f\x8b\x08", *(re.escape(h.decode("latin-1")) for h in _ZLIB)]), re.DOTALL)
+_BZ2 = re.compile(rb"BZh[1-9]1AY&SY")
 _WIDE = re.compile(r"(?:[\x01-\x7f]\0){6,}|(?:\0[\x01-\x7f]){6,}")
 #: Unpacked bytes are scanned in windows of so many; one begins with the last bytes of that
 #: before. A stream inside such a layer is unpacked as far as a window holds it.
@@ -90,10 +95,10 @@ def in_order(spans) -> list[tuple[int, str, int]]:
     return sorted(set(spans), key=lambda s: (s[0], rank[s[1]], s[2]))
 
 
-def _windows(data: bytes, at: int, end: int, size: int) -> Iterator[bytes]:
-    """Content of the streams in data[at:end], of any size, in overlapping windows."""
+def _windows(parts: Iterable[bytes], size: int) -> Iterator[bytes]:
+    """Content of any size in overlapping windows."""
     held, overlap = bytearray(), min(OVERLAP, size // 2)
-    for part in _stream(data, at, end):
+    for part in parts:
         held += part
         while len(held) >= size:
             yield bytes(held[:size])
@@ -174,6 +179,44 @@ def _inflate(data: bytes, at: int, limit: int) -> tuple[bytes | None, int, int]:
     return (b"".join(out) if size <= limit else None), at, again
 
 
+def _raw(data: bytes) -> Iterator[bytes]:
+    """Content of the raw deflate stream that ``data`` begins with, then None if the stream is not whole."""
+    unpack, at = zlib.decompressobj(wbits=-15), 0
+    try:
+        while at < len(data) and not unpack.eof:
+            chunk = data[at : at + (1 << 14)]
+            at += len(chunk)
+            while chunk and not unpack.eof:
+                yield unpack.decompress(chunk, 1 << 20)
+                chunk = unpack.unconsumed_tail
+        while not unpack.eof and (new := unpack.decompress(b"", 1 << 20)):
+            yield new
+    except zlib.error:
+        pass
+    if not unpack.eof:
+        yield None
+
+
+def _bz2(data: bytes, at: int, stops: list[int]) -> Iterator[bytes]:
+    """Content of the bzip2 streams from ``at`` on, as far as they are sound; ``stops`` gets where
+    they end and where another may start."""
+    again = at + 1
+    try:
+        while _BZ2.match(data, at):
+            unpack = bz2.BZ2Decompressor()
+            while at < len(data) and not unpack.eof:
+                chunk = data[at : at + (1 << 14)]
+                at += len(chunk)
+                yield unpack.decompress(chunk, 1 << 20)
+                while not unpack.eof and not unpack.needs_input:
+                    yield unpack.decompress(b"", 1 << 20)
+            at -= len(unpack.unused_data)
+            again = at if unpack.eof else again
+    except OSError:
+        pass
+    stops += (at, again)
+
+
 class _Layer:
     """Text whose character i came from ``starts[i]`` to ``ends[i]`` of the whole text;
     without these, all characters came from ``whole``, and without that, from themselves."""
@@ -221,20 +264,28 @@ def _percent(layer: _Layer):
     """The text with all percent escapes decoded in place, so plain keywords before them
     stay. One character a byte: the rules and the encodings are ASCII, as UTF-8 keeps it."""
     if "%" in layer.text and (found := list(_PERCENT.finditer(layer.text))):
-        yield _edited(layer, [(m.start(), m.end(), "%" if m[1] else chr(int(m[2], 16))) for m in found])
+        yield _edited(layer, [(m.start(), m.end(), "%" if m[1] else _character(int(m[2] or m[3], 16))) for m in found])
+
+
+def _character(code: int) -> str:
+    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
 
 
 def _unicode(layer: _Layer):
-    """The text with all Unicode escapes decoded in place."""
-    if "\\" not in layer.text and "&#" not in layer.text:
+    """The text with all Unicode, hexadecimal and octal escapes and entities decoded in place."""
+    if "\\" not in layer.text and "&" not in layer.text:
         return
     edits = []
     for m in _UNICODE.finditer(layer.text):
         if m["chain"]:
-            code = ord(m["chain"][0])
+            new = m[0][0]
+        elif m["name"]:
+            new = _NAMED[m["name"][1:]]
+        elif m["octal"]:
+            new = chr(int(m["octal"], 8))
         else:
-            code = int(m[7]) if m[7] else int(next(g for g in m.groups() if g), 16)
-        edits.append((m.start(), m.end(), chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"))
+            new = _character(int(m["number"]) if m["number"] else int(next(g for g in m.groups() if g), 16))
+        edits.append((m.start(), m.end(), new))
     if edits:
         yield _edited(layer, edits)
 
@@ -270,13 +321,27 @@ def _base64(layer: _Layer):
 
 def _packed(layer: _Layer, limit: int):
     """Content of compressed bytes anywhere in a decoded layer, whichever way it was encoded."""
-    if layer.first or not (m := _PACKED.search(layer.text)):
+    if layer.first:
         return
-    data = layer.text.encode("latin-1", "replace")
+    data, m = layer.text.encode("latin-1", "replace"), _PACKED.search(layer.text)
+    size = 0
+    for part in _raw(data):
+        size = -1 if part is None else size + len(part)
+    if size >= LEAST_LAYER:
+        for part in _windows(_raw(data), limit):
+            yield _Layer(part.decode("latin-1"), whole=layer.at(0, len(data)))
+    start = _BZ2.search(data)
+    while start:
+        stops: list[int] = []
+        for _ in _bz2(data, start.start(), stops):
+            pass
+        for part in _windows(_bz2(data, start.start(), stops), limit):
+            yield _Layer(part.decode("latin-1"), whole=layer.at(start.start(), stops[0]))
+        start = _BZ2.search(data, stops[1])
     while m:
         out, end, again = _inflate(data, m.start(), limit)
         if out is None:  # beyond one window: unpacked again, window by window
-            for part in _windows(data, m.start(), end, limit):
+            for part in _windows(_stream(data, m.start(), end), limit):
                 yield _Layer(part.decode("latin-1"), whole=layer.at(m.start(), end))
         elif len(out) >= LEAST_LAYER:
             yield _Layer(out.decode("latin-1"), whole=layer.at(m.start(), end))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
 import hashlib
 import random
@@ -61,6 +62,9 @@ ESCAPED = [
     lambda s: "".join(f"\\x{ord(c):02x}" for c in s),
     lambda s: "".join(f"&#{ord(c)};" for c in s),
     lambda s: ALL_PERCENT(s[:3]) + "".join(f"&#x{ord(c):x};" for c in s[3:]),
+    lambda s: "".join(f"%u{ord(c):04x}" for c in s),
+    lambda s: "".join(f"\\{ord(c):o}" for c in s),
+    lambda s: "".join(f"%u{ord(c):04X}" for c in "".join(f"\\{ord(c):03o}" for c in s)),
 ]
 
 
@@ -75,6 +79,51 @@ def test_escaped_values_behind_plain_keywords(escaped, form):
     assert value not in X.redact(text) and X.redact(text).endswith(" after")
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "password&equals;&quot;hunter22&quot;",
+        "{&quot;token&quot;:&quot;hunter22&quot;}",
+        "{&amp;quot;token&amp;quot;:&amp;quot;hunter22&amp;quot;}",
+        "secret&colon; &apos;hunter22&apos;",
+        "api&lowbar;key&#61;hunter22",
+    ],
+)
+def test_named_entities(text):
+    base, spans = X.scan(f"<b>&nbsp;&eacute; {text} after")
+    assert not base and [k for _, k, _ in spans] == ["assign"]
+    assert "hunter22" not in X.redact(text)
+
+
+def raw_deflate(data):
+    pack = zlib.compressobj(wbits=-15)
+    return pack.compress(data) + pack.flush()
+
+
+@pytest.mark.parametrize("pack", [raw_deflate, bz2.compress, lambda b: b"\x01" * 5 + bz2.compress(b) + b"rest"])
+@pytest.mark.parametrize("encode", [B64, lambda b: "".join(f"%{c:02X}" for c in b), lambda b: B64(B64(b))])
+@pytest.mark.parametrize("content", [SECRET, "x" * 3000 + SECRET, " ".join(map(str, range(4000))) + SECRET])
+def test_raw_deflate_and_bzip2(pack, encode, content):
+    hidden = encode(pack(content.encode()))
+    before = "" if pack is raw_deflate and hidden[0] == "%" else "é see: "
+    text = f"{before}{hidden}{'. after' if before else ''}"
+    for limit in (X.MAX_LAYER, 500):
+        base, spans = X.scan(text, limit)
+        found = [(a, b) for a, k, b in spans if k == "assign"]
+        assert not base and found
+        assert all(len(before) <= a < b <= len(before) + len(hidden) for a, b in found)
+
+
+def test_damaged_bzip2_gives_the_blocks_before():
+    noise = random.Random(2).randbytes(300_000)
+    packed = bytearray(bz2.compress(SECRET.encode() + noise, 1))
+    packed[-2000] ^= 255
+    assert "assign" in [k for _, k, _ in X.scan(B64(bytes(packed)))[1]]
+    broken = bytearray(bz2.compress(b"nothing"))
+    broken[20] ^= 255
+    assert "assign" in [k for _, k, _ in X.scan(B64(bytes(broken) + bz2.compress(SECRET.encode())))[1]]
+
+
 LONG = "".join(f"line {i} of a config; " for i in range(20)) + SECRET + "".join(f"; line {i * i}" for i in range(9))
 PACKED = gzip.compress(LONG.encode(), mtime=0)
 WRAP = lambda s, n, end="\n": end.join(s[i : i + n] for i in range(0, len(s), n))
@@ -123,7 +172,7 @@ def test_damaged_streams_give_what_stands_before():
 
 
 def test_plain_words_and_chains_add_nothing():
-    for text in ("Donaudampfschifffahrtsgesellschaft 100% sure", "%" + "25" * 40_000 + "41", "\\" + "u005c" * 20_000 + "u0041", "Ab1+" * 200_000):
+    for text in ("Donaudampfschifffahrtsgesellschaft 100% sure", "%" + "25" * 40_000 + "41", "\\" + "u005c" * 20_000 + "u0041", "&" + "amp;" * 20_000 + "lt;", "\\" + "134" * 20_000 + "101", "Ab1+" * 200_000):
         base, spans = X.scan(text)
         assert base == spans
 
