@@ -4,7 +4,8 @@
 text. From it the hash of any span is one subtraction and one product, two spans
 are equal if their hashes are, and the longest common extension of two positions
 is found by binary search. Hashes of concatenations follow from those of the
-parts, so an edited text needs no arrays of its own.
+parts, so an edited text needs no arrays of its own. Long texts are hashed chunk
+by chunk: 12 bytes a code point stay, the rest is as large as a chunk.
 
 A fingerprint is the length and hash of the whole text and a sketch: the smallest
 mixed hashes of its spans of ``SPAN`` code points. Likeness of two fingerprints is
@@ -27,6 +28,9 @@ from meterline.llm.common import arrow_schema, cut, per_row, table
 PRIME = (1 << 31) - 1
 BASES = (1_103_515_245, 739_982_445)
 SPAN, SKETCH = 16, 48
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+#: Code points that are hashed at a time.
+CHUNK = 1 << 18
 _P, _S = np.uint64(PRIME), np.uint64(31)
 
 
@@ -38,59 +42,75 @@ def _mod(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of the bases and of their inverses, grown as far as texts need them."""
+    """Powers of the bases and of their inverses for one chunk of code points."""
 
     def __init__(self) -> None:
-        self.up = [np.ones(1, np.uint64) for _ in BASES]
-        self.down = [np.ones(1, np.uint64) for _ in BASES]
+        n = CHUNK + SPAN
+        self.inverse = [pow(b, -1, PRIME) for b in BASES]
+        self.up = [self._table(b, n) for b in BASES]
+        self.down = [self._table(b, n) for b in self.inverse]
 
-    def reach(self, n: int) -> None:
-        while len(self.up[0]) <= n:
-            for rows, bases in ((self.up, BASES), (self.down, [pow(b, -1, PRIME) for b in BASES])):
-                for k, base in enumerate(bases):
-                    step = np.uint64(pow(base, len(rows[k]), PRIME))
-                    rows[k] = np.concatenate((rows[k], _mod(rows[k] * step)))
+    @staticmethod
+    def _table(base: int, n: int) -> np.ndarray:
+        out = np.ones(1, np.uint64)
+        while len(out) < n:
+            out = np.concatenate((out, _mod(out * np.uint64(pow(base, len(out), PRIME)))))
+        return out[:n].copy()
 
 
 class Prefix:
-    """Prefix hashes of one text; ``powers`` is shared by all texts of a task."""
+    """Prefix hashes of one text; ``powers`` is shared by all texts of a task.
+
+    The arrays hold, for each chunk of ``CHUNK`` code points, the hashes of its own
+    prefixes (4 bytes a code point and base); ``starts`` holds the hash of all that
+    precedes each chunk. So the tables of powers are as long as a chunk, whatever
+    the length of the text.
+    """
 
     def __init__(self, text: str, powers: Powers) -> None:
         self.powers, self.n = powers, len(text)
-        powers.reach(self.n + 1)
-        self.codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1)
-        self.sums = []
-        for up in powers.up:
-            sums = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(_mod(self.codes * up[: self.n]), out=sums[1:])
-            self.sums.append(_mod(sums))
+        self.sums = [np.empty(self.n, np.uint32) for _ in BASES]
+        self.starts = [[0] for _ in BASES]
+        self.spans = np.empty(max(0, self.n - SPAN + 1), np.uint32)
+        for at in range(0, self.n, CHUNK):
+            end = min(at + CHUNK, self.n)
+            part = text[at : end + SPAN - 1].encode("utf-32-le", "replace")
+            codes = np.frombuffer(part, np.uint32).astype(np.uint64) + np.uint64(1)
+            mixed = np.zeros(max(0, len(codes) - SPAN + 1), np.uint64)
+            for k, (up, down) in enumerate(zip(powers.up, powers.down)):
+                sums = np.zeros(len(codes) + 1, np.uint64)
+                np.cumsum(_mod(codes * up[: len(codes)]), out=sums[1:])
+                sums = _mod(sums)
+                self.sums[k][at:end] = sums[1 : end - at + 1]
+                shift = pow(BASES[k], at, PRIME)
+                self.starts[k].append((self.starts[k][-1] + int(sums[end - at]) * shift) % PRIME)
+                value = _mod((sums[SPAN:] + _P - sums[: len(mixed)]) * down[: len(mixed)])
+                mixed = (mixed ^ value) * MIX[k]
+                mixed ^= mixed >> np.uint64(32)
+            self.spans[at : at + len(mixed)] = mixed
+
+    def prefix(self, k: int, end: int) -> int:
+        """Hash of the first ``end`` code points for base ``k``."""
+        chunk, rest = divmod(end, CHUNK)
+        if not rest:
+            return self.starts[k][chunk]
+        return (self.starts[k][chunk] + int(self.sums[k][end - 1]) * pow(BASES[k], chunk * CHUNK, PRIME)) % PRIME
 
     def span(self, start: int, end: int) -> int:
         """Hash of [start, end) as one number of 62 bits; equal spans, equal numbers."""
         out = 0
-        for sums, down in zip(self.sums, self.powers.down):
-            out = out << 31 | (int(sums[end]) - int(sums[start])) * int(down[start]) % PRIME
+        for k, inverse in enumerate(self.powers.inverse):
+            value = self.prefix(k, end) - self.prefix(k, start)
+            out = out << 31 | value * pow(inverse, start, PRIME) % PRIME
         return out
 
     def joined(self, end: int, other: "Prefix", to: int) -> int:
         """Hash of this text's first ``end`` code points and the other's first ``to``."""
         out = 0
-        for sums, more, up in zip(self.sums, other.sums, self.powers.up):
-            out = out << 31 | (int(sums[end]) + int(up[end]) * int(more[to])) % PRIME
+        for k, base in enumerate(BASES):
+            out = out << 31 | (self.prefix(k, end) + pow(base, end, PRIME) * other.prefix(k, to)) % PRIME
         return out
 
-    def spans(self, width: int = SPAN) -> np.ndarray:
-        """Mixed 32-bit hashes of all spans of ``width``."""
-        n = self.n - width + 1
-        if n < 1:
-            return np.zeros(0, np.uint32)
-        mixed = np.zeros(n, np.uint64)
-        for k, (sums, down) in enumerate(zip(self.sums, self.powers.down)):
-            value = _mod((sums[width:] + _P - sums[:n]) * down[:n])
-            mixed = (mixed ^ value) * np.uint64((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)[k])
-            mixed ^= mixed >> np.uint64(32)
-        return mixed.astype(np.uint32)
-
 
 def common_extension(a: Prefix, i: int, b: Prefix, j: int) -> int:
     """Length of the longest common extension of a from i and b from j."""
@@ -104,12 +124,19 @@ def common_extension(a: Prefix, i: int, b: Prefix, j: int) -> int:
     return low
 
 
-def smallest(spans: np.ndarray, whole: int, n: int) -> np.ndarray:
-    """Sketch of the span hashes; a text shorter than a span is one span itself."""
-    if not len(spans):
+def smallest(spans: list[np.ndarray], whole: int, n: int) -> np.ndarray:
+    """Sketch of the span hashes in ``spans``; a text shorter than a span is one span itself."""
+    least = np.zeros(0, np.uint32)
+    for part in spans:
+        for at in range(0, len(part), CHUNK):
+            more = part[at : at + CHUNK]
+            if len(least) == SKETCH:
+                more = more[more < least[-1]]
+            more = np.sort(np.concatenate((least, more)))
+            least = more[np.concatenate((np.ones(min(1, len(more)), bool), more[1:] != more[:-1]))][:SKETCH]
+    if not len(least):
         return np.array([whole * 0x9E3779B97F4A7C15 >> 16 & 0xFFFFFFFF], np.uint32)[: min(n, 1)]
-    spans = np.sort(spans)
-    return spans[np.concatenate(([True], spans[1:] != spans[:-1]))][:SKETCH]
+    return least
 
 
 def pack(n: int, whole: int, sketch: np.ndarray) -> bytes:
@@ -137,9 +164,8 @@ class Document:
     def __init__(self, text: str | None, powers: Powers) -> None:
         self.text = text or ""
         self.prefix = Prefix(self.text, powers)
-        self.spans = self.prefix.spans()
         self.n, self.whole = self.prefix.n, self.prefix.span(0, self.prefix.n)
-        self.print = pack(self.n, self.whole, smallest(self.spans, self.whole, self.n))
+        self.print = pack(self.n, self.whole, smallest([self.prefix.spans], self.whole, self.n))
 
     def edited(self, after: "Document") -> tuple[str, bytes]:
         """Text and fingerprint with the last half replaced by the next text's beginning."""
@@ -148,11 +174,9 @@ class Document:
         text = self.text[:keep] + after.text[:to]
         whole = self.prefix.joined(keep, after.prefix, to)
         # spans over the seam come from a short text of their own
-        seam = Prefix(text[max(0, keep - SPAN + 1) : keep + SPAN - 1], self.prefix.powers).spans()
-        spans = np.concatenate(
-            (self.spans[: max(0, keep - SPAN + 1)], seam, after.spans[: max(0, to - SPAN + 1)])
-        )
-        return text, pack(len(text), whole, smallest(spans, whole, len(text)))
+        seam = Prefix(text[max(0, keep - SPAN + 1) : keep + SPAN - 1], self.prefix.powers)
+        kept, more = self.prefix.spans[: max(0, keep - SPAN + 1)], after.prefix.spans[: max(0, to - SPAN + 1)]
+        return text, pack(len(text), whole, smallest([kept, seam.spans, more], whole, len(text)))
 
     def row(self, after: "Document") -> tuple:
         text, packed = self.edited(after)
@@ -241,7 +265,10 @@ def compare_with_edited(docs: DataFrame) -> DataFrame:
     of the largest. Null texts count as empty; two empty texts are alike (1).
     Rows of equal doc_id each get a row, and the smallest of their texts stands
     for them as a next document. A null doc_id is smaller than all others. A
-    single document is its own next one. Other columns are not read.
+    single document is its own next one. Other columns are not read. An empty table
+    gives no row. A task holds a very long text, the one before it and the edited
+    one with 12 bytes a code point each of the first two (texts of 25 million code
+    points: 0.6 GB); a cell of over 2 GB is beyond what Spark hands to Python.
     """
     found = fingerprints(docs)
     names = [c for c in found.columns if c not in ("kind", "pid", "text")]

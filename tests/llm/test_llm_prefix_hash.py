@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import tracemalloc
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -31,6 +32,36 @@ def test_edited_fingerprint_is_that_of_the_edited_text(a, b):
     assert packed == P.Document(text, powers).print
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text("abß🙂", max_size=120), st.text("ab🙂", max_size=120), st.integers(1, 40), st.integers(0, 120))
+def test_chunks_change_nothing(a, b, chunk, i):
+    powers, i = P.Powers(), min(i, len(a))
+    x = P.Document(a, powers)
+    row, spans = x.row(P.Document(b, powers)), [x.prefix.span(i, n) for n in range(i, len(a) + 1)]
+    whole = P.CHUNK
+    P.CHUNK = chunk
+    try:
+        small = P.Powers()
+        u, v = P.Document(a, small), P.Document(b, small)
+        assert u.row(v) == row
+        assert [u.prefix.span(i, n) for n in range(i, len(a) + 1)] == spans
+        assert P.common_extension(u.prefix, i, v.prefix, 0) == len(os.path.commonprefix([a[i:], b]))
+    finally:
+        P.CHUNK = whole
+
+
+def test_memory_of_a_very_long_text():
+    text = "abcdefgh ijklmnop " * (3 * P.CHUNK // 18)
+    tracemalloc.start()
+    try:
+        doc = P.Document(text, P.Powers())
+        kept, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert doc.prefix.span(0, 18 * 9) == doc.prefix.span(18 * 30_000, 18 * 30_009)
+    assert kept < 13 * len(text) + 40 * P.CHUNK and peak < kept + 100 * P.CHUNK
+
+
 def expected(rows):
     rows = [(i, t or "") for i, t in rows]
     order = sorted({i for i, _ in rows}, key=lambda i: (i is not None, i), reverse=True)
