@@ -11,7 +11,11 @@
 3. Rows meet again by block, where ids are put at their positions.
 
 Decoding is a join with the table of token bytes. That table has as many rows as
-the vocabulary, a fixed number, so it is sent to all tasks.
+the vocabulary, a fixed number, so it is sent to all tasks. ``decode`` joins the ids
+of rows. Where texts are encoded and decoded in one job, step 2 gives the ids of each
+distinct word of the whole input once as a row of their own; these rows are exploded
+and joined with the table, and each word's bytes go where its ids go, to every block
+that has it. So decoding shuffles nothing more but words of blocks.
 """
 
 from __future__ import annotations
@@ -182,20 +186,26 @@ class _Splitter:
 
 
 class _Encoder:
-    """Task of step 2: rows in order of their shard in, (block, head, payload) out."""
+    """Task of step 2: rows in order of their shard in, (block, head, payload, fresh, ids) out.
 
-    SCHEMA = "block long, head boolean, payload binary"
+    With ``decoding``, ahead of a block's row comes one for each word that it has first:
+    its number in the shard (``fresh``) and its ids. The block's payload then ends with
+    the numbers of its words.
+    """
+
+    SCHEMA = "block long, head boolean, payload binary, fresh int, ids array<int>"
 
-    def __init__(self, sent, pattern: str) -> None:
-        self.sent, self.pattern = sent, pattern
+    def __init__(self, sent, pattern: str, decoding: bool) -> None:
+        self.sent, self.pattern, self.decoding = sent, pattern, decoding
+        self.arrow = arrow_schema(self.SCHEMA)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=self.sent.value, special_tokens={})
         encode = encoding._encode_single_piece
 
         class Ids(dict):
-            def __missing__(self, word: bytes) -> list[int]:
-                ids = self[word] = encode(word)
+            def __missing__(self, word: bytes) -> tuple[int, list[int]]:
+                ids = self[word] = (len(self), encode(word))
                 return ids
 
         known, last = Ids(), None
@@ -203,17 +213,52 @@ class _Encoder:
             for shard, block, head, payload in zip(*(c.to_pylist() for c in batch.columns)):
                 if shard != last:  # no later shard has a word of this one
                     known, last = Ids(), shard
+                rows = []
                 if not head:
                     sizes, joined, lengths, data = _unpacked(payload)
                     ends = np.cumsum(sizes, dtype=np.int64).tolist()
-                    ids = [known[joined[a:b]] for a, b in zip([0, *ends[:-1]], ends)]
-                    n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
-                    flat = np.fromiter((x for y in ids for x in y), np.int64, int(n_ids.sum()))
-                    payload = _packed((_small(n_ids), _small(flat), lengths, data))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), pa.array([head]), pa.array([payload], pa.binary())],
-                    names=["block", "head", "payload"],
-                )
+                    before = len(known)
+                    found = [known[joined[a:b]] for a, b in zip([0, *ends[:-1]], ends)]
+                    n_ids = np.fromiter((len(ids) for _, ids in found), np.int64, len(found))
+                    flat = np.fromiter((x for _, ids in found for x in ids), np.int64, int(n_ids.sum()))
+                    payload = (_small(n_ids), _small(flat), lengths, data)
+                    if self.decoding:
+                        payload += (_small(np.fromiter((no for no, _ in found), np.int64, len(found))),)
+                        rows = [(None, None, None, no, ids) for no, ids in found if no >= before]
+                    payload = _packed(payload)
+                rows.append((block, head, payload, None, None))
+                for at in range(0, len(rows), 10_000):
+                    columns = zip(zip(*rows[at : at + 10_000]), self.arrow)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in columns], schema=self.arrow)
+
+
+def _speller(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joined rows (block, head, payload, fresh, at, bytes) in, (block, head, payload) out.
+
+    Pieces of words are put together and end the payload of every block that has the
+    word. A word's first number is 0 in each shard; a piece out of place is an error.
+    """
+    words: list[list[bytes]] = []
+    for batch in batches:
+        for block, head, payload, fresh, at, piece in zip(*(c.to_pylist() for c in batch.columns)):
+            if fresh is not None:
+                if fresh == 0 and at == 0:
+                    words = []
+                if at == 0:
+                    words.append([])
+                if fresh != len(words) - 1 or at != len(words[-1]) or piece is None:
+                    raise RuntimeError("decoded pieces are out of place")
+                words[-1].append(piece)
+                continue
+            if not head:
+                *kept, numbers = _unpacked(payload)
+                spelt = [b"".join(words[no]) for no in numbers.tolist()]
+                sizes = _small(np.fromiter(map(len, spelt), np.int64, len(spelt)))
+                payload = _packed((*kept, sizes, b"".join(spelt)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block]), pa.array([head]), pa.array([payload], pa.binary())],
+                names=["block", "head", "payload"],
+            )
 
 
 def _positions(counts: np.ndarray, steps: np.ndarray) -> np.ndarray:
@@ -224,8 +269,11 @@ def _positions(counts: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return total - np.repeat(before, counts)
 
 
-def reassemble(payloads: list[tuple[bool, bytes]]) -> tuple[pa.Table, list[list[int]], list[np.ndarray]]:
-    """A block's keys, the ids of its distinct words, and each document's word numbers."""
+def reassemble(
+    payloads: list[tuple[bool, bytes]],
+) -> tuple[pa.Table, list[list[int]], list[bytes], list[np.ndarray]]:
+    """A block's keys, the ids of its distinct words, their decoded bytes (if they were
+    decoded), and each document's word numbers."""
     head = next(p for is_head, p in payloads if is_head)
     keys, sizes, often, often_counts, often_bytes = _unpacked(head)
     chunks = [_unpacked(p) for is_head, p in payloads if not is_head]
@@ -233,6 +281,7 @@ def reassemble(payloads: list[tuple[bool, bytes]]) -> tuple[pa.Table, list[list[
     sizes = sizes.astype(np.int64)
     word_at = np.full(int(sizes.sum()), -1, np.int64)
     ids_of: list[list[int]] = []
+    spelt: list[bytes] = []
     if chunks:
         n_ids = np.concatenate([c[0].astype(np.int64) for c in chunks])
         ids = np.concatenate([c[1].astype(np.int64) for c in chunks]).tolist()
@@ -240,6 +289,11 @@ def reassemble(payloads: list[tuple[bool, bytes]]) -> tuple[pa.Table, list[list[
         data = np.frombuffer(b"".join(c[3] for c in chunks), np.uint8)
         ends = np.cumsum(n_ids).tolist()
         ids_of = [ids[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+        for _, _, _, _, *decoded in chunks:
+            if decoded:
+                of_words, joined = decoded
+                ends = np.cumsum(of_words, dtype=np.int64).tolist()
+                spelt += [joined[a:b] for a, b in zip([0, *ends[:-1]], ends)]
         values, at = from_varints(data)
         entry_end = np.searchsorted(at, np.cumsum(lengths) - 1) + 1  # values up to each word's end
         entry_start = np.concatenate(([0], entry_end[:-1]))
@@ -258,7 +312,7 @@ def reassemble(payloads: list[tuple[bool, bytes]]) -> tuple[pa.Table, list[list[
     if (word_at < 0).any():
         raise RuntimeError("a block lacks ids of some positions")
     bounds = np.cumsum(sizes)
-    return owners, ids_of, np.split(word_at, bounds[:-1]) if len(sizes) else []
+    return owners, ids_of, spelt, np.split(word_at, bounds[:-1]) if len(sizes) else []
 
 
 def encode(
@@ -271,14 +325,19 @@ def encode(
     block: int = BLOCK,
     frequent: int = FREQUENT,
     shards: int | None = None,
+    tokens: DataFrame | None = None,
 ) -> DataFrame:
     """``keys`` and the columns of ``schema`` for every row of ``docs``.
 
-    ``finish(token_bytes, ids_of, words)`` runs once a block and returns an iterator
+    ``finish(ids_of, spelt, words)`` runs once a block and returns an iterator
     with a tuple of ``schema`` for each of its documents: ids_of are the ids of the
-    block's distinct words, words their numbers for each document.
+    block's distinct words, spelt the bytes that they decode to by ``tokens`` (see
+    ``token_table``; without it nothing is decoded and spelt is empty), words their
+    numbers for each document. An id that ``tokens`` lacks is an error.
     ``shards`` should grow with the input, as the shuffle partitions it follows do.
-    Null texts count as empty. Repeated rows and null keys each get their row.
+    Null texts count as empty. Repeated rows and null keys each get their row. Other
+    columns are not read. An empty table gives no row. A very long text is a block of
+    its own: the tasks of steps 1 and 3 hold its words' numbers, about 30 bytes a word.
     """
     spark = docs.sparkSession
     of = ranks(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -289,14 +348,20 @@ def encode(
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     splitter = _Splitter(pattern, len(keys), block, frequent, shards)
     by_shard = docs.select(*keys, "text").mapInArrow(splitter, _Splitter.SCHEMA).repartition("shard").sortWithinPartitions("shard")
-    encoded = by_shard.mapInArrow(_Encoder(sent, pattern), _Encoder.SCHEMA)
+    encoded = by_shard.mapInArrow(_Encoder(sent, pattern, tokens is not None), _Encoder.SCHEMA)
+    if tokens is None:
+        encoded = encoded.select("block", "head", "payload")
+    else:
+        pieces = encoded.select("block", "head", "payload", "fresh", F.posexplode_outer("ids").alias("at", "id"))
+        # neither the explosion nor the join with a table sent to all tasks moves a row
+        joined = pieces.join(F.broadcast(tokens.select("id", "bytes")), "id", "left")
+        joined = joined.select("block", "head", "payload", "fresh", "at", "bytes")
+        encoded = joined.mapInArrow(_speller, "block long, head boolean, payload binary")
 
     def run(part: pa.Table) -> pa.Table:
-        token_bytes: list[bytes] = [b""] * (max(sent.value.values(), default=-1) + 1)
-        for token, rank in sent.value.items():
-            token_bytes[rank] = token
-        owners, ids_of, words = reassemble(list(zip(part.column("head").to_pylist(), part.column("payload").to_pylist())))
-        rows = list(finish(token_bytes, ids_of, words))
+        held = list(zip(part.column("head").to_pylist(), part.column("payload").to_pylist()))
+        owners, ids_of, spelt, words = reassemble(held)
+        rows = list(finish(ids_of, spelt, words))
         new = zip(*rows) if rows else [[] for _ in arrow][len(keys) :]
         columns = [*owners.columns, *[pa.array(c, f.type) for c, f in zip(new, list(arrow)[len(keys) :])]]
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
@@ -304,7 +369,7 @@ def encode(
     return encoded.groupBy("block").applyInArrow(run, full)
 
 
-def _ids(token_bytes, ids_of, words):
+def _ids(ids_of, spelt, words):
     for of in words:
         yield ([i for w in of.tolist() for i in ids_of[w]],)
 
@@ -334,9 +399,8 @@ def decode(encoded: DataFrame, tokens: DataFrame, key: str = "doc_id") -> DataFr
     return joined.groupBy(key).agg(F.when(~lost, F.unhex(whole)).alias("bytes"))
 
 
-def _digests(token_bytes, ids_of, words):
+def _digests(ids_of, spelt, words):
     shown = [",".join(map(str, ids)) for ids in ids_of]
-    spelt = [b"".join([token_bytes[i] for i in ids]) for ids in ids_of]
     n_ids = np.fromiter(map(len, ids_of), np.int64, len(ids_of))
     for of in words:
         at = of.tolist()
@@ -350,4 +414,5 @@ def _digests(token_bytes, ids_of, words):
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes that they decode to."""
     docs = table(spark, sf_dir, "documents")
-    return encode(docs, _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return encode(docs, _digests, schema, tokens=token_table(spark))

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_cases import DOCS, TEXTS, clashing, documents
 from meterline.llm import byte_bpe as B
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -44,6 +45,30 @@ def test_decode_joins_the_table(spark):
     assert B.decode(odd, tokens).first().bytes is None
 
 
+@pytest.mark.parametrize("options", [{}, {"block": 50, "frequent": 2, "shards": 3}])
+def test_bytes_of_words_come_from_the_joined_table(spark, encoding, options):
+    def whole(ids_of, spelt, words):
+        return ((b"".join([spelt[w] for w in of.tolist()]),) for of in words)
+
+    tokens = B.token_table(spark)
+    marked = F.when(F.col("id") % 2 == 0, F.concat(F.lit("<").cast("binary"), F.col("bytes"))).otherwise(F.col("bytes"))
+    docs = clashing(documents(spark))
+    got = B.encode(docs, whole, "bytes binary", tokens=tokens.withColumn("bytes", marked), **options).collect()
+    spell = encoding.decode_single_token_bytes
+    want = [
+        (i, b"".join(b"<" * (x % 2 == 0) + spell(x) for x in encoding.encode_ordinary(t or ""))) for i, t in TEXTS
+    ]
+    assert sorted(((r.doc_id, bytes(r.bytes)) for r in got), key=repr) == sorted(want, key=repr)
+    lacking = B.encode(docs, whole, "bytes binary", tokens=tokens.filter("id > 300"), **options)
+    with pytest.raises(PythonException, match="out of place"):
+        lacking.collect()
+
+
+def test_decoding_adds_no_shuffle(spark, tiny):
+    plan = B.query(spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "BroadcastHashJoin" in plan
+
+
 def test_query_digests(spark, encoding, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: r for r in B.query(spark, tiny).collect()}
