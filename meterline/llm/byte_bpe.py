@@ -8,14 +8,16 @@
    its ids join the positions of every block that has it. A word that is frequent
    in its block sends a number instead of its positions, which travel with the
    block: a hot word costs its task a few bytes a block.
+   They do so as the sequence of the words' numbers, the most frequent first, with
+   open positions for rare words; so passages that repeat in a block are packed well.
 3. Rows meet again by block, where ids are put at their positions.
 
 Decoding is a join with the table of token bytes. That table has as many rows as
 the vocabulary, a fixed number, so it is sent to all tasks. ``decode`` joins the ids
-of rows. Where texts are encoded and decoded in one job, step 2 gives the ids of each
-distinct word of the whole input once as a row of their own; these rows are exploded
-and joined with the table, and each word's bytes go where its ids go, to every block
-that has it. So decoding shuffles nothing more but words of blocks.
+of rows. Where texts are encoded and decoded in one job, a task of step 2 gives each
+distinct id of its words once as a row; these rows are joined with the table, words
+are spelt from what the join gave, and a word's bytes go where its ids go, to every
+block that has it. So decoding shuffles nothing more but words of blocks.
 """
 
 from __future__ import annotations
@@ -39,9 +41,9 @@ from pyspark.sql import functions as F
 from meterline.llm.common import arrow_schema, table
 
 #: Code points after which a block of documents is closed.
-BLOCK = 32_000_000
+BLOCK = 20_000_000
 #: Occurrences in a block from which positions travel with the block.
-FREQUENT = 16
+FREQUENT = 4
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -146,27 +148,31 @@ class _Splitter:
         rank[by_shard] = np.arange(len(spelt), dtype=np.int32)
         tokens, spelt, shard = rank[np.concatenate(self.tokens)], [spelt[i] for i in by_shard.tolist()], shard[by_shard]
         counts = np.bincount(tokens, minlength=len(spelt))
-        order = np.argsort(tokens, kind="stable").astype(np.int32)  # positions word by word, each in order
-        first = np.cumsum(counts) - counts
+        # frequent words have numbers from 1, in falling order of their counts
+        often = np.flatnonzero(counts >= self.frequent)
+        number = np.zeros(len(spelt), np.int32)
+        number[often[np.argsort(-counts[often], kind="stable")]] = np.arange(1, len(often) + 1, dtype=np.int32)
+        stream = number[tokens]
+        rare = tokens[stream == 0]
+        order = np.argsort(rare, kind="stable").astype(np.int32)  # open positions word by word, each in order
+        counts = np.bincount(rare, minlength=len(spelt))
+        first = (np.cumsum(counts) - counts)[counts > 0]
         steps = order.copy()
         steps[1:] -= order[:-1]
         steps[first] = order[first]
-        often = counts >= self.frequent
-        of_often = np.repeat(often, counts)
-        often_bytes, _ = varints(steps[of_often])
-        # a rare word packs 0 and its steps, a frequent one its number plus one
-        each = 1 + np.where(often, 0, counts)
+        # a rare word packs 0 and its steps, a frequent one its number
+        each = 1 + counts
         at = np.cumsum(each) - each
         values = np.zeros(int(each.sum()), np.int64)
-        values[at] = np.where(often, np.arange(len(spelt)) + 1, 0)
+        values[at] = number
         rest = np.ones(len(values), bool)
         rest[at] = False
-        values[rest] = steps[~of_often]
+        values[rest] = steps
         data, sizes_of = varints(values)
         lengths = np.add.reduceat(sizes_of, at) if len(spelt) else np.zeros(0, np.int64)
         bounds = np.concatenate(([0], np.cumsum(lengths)))
         block, self.no = self.no, self.no + 1
-        head = (sink.getvalue().to_pybytes(), _small(sizes), _small(np.flatnonzero(often)), _small(counts[often]), often_bytes)
+        head = (sink.getvalue().to_pybytes(), _small(sizes), varints(stream)[0])
         rows = [(block % self.shards, block, True, _packed(head))]
         edges = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(spelt)] if len(spelt) else []
         for a, b in zip(edges, edges[1:]):
@@ -186,26 +192,27 @@ class _Splitter:
 
 
 class _Encoder:
-    """Task of step 2: rows in order of their shard in, (block, head, payload, fresh, ids) out.
+    """Task of step 2: rows in order of their shard in, (block, head, payload, ids) out.
 
-    With ``decoding``, ahead of a block's row comes one for each word that it has first:
-    its number in the shard (``fresh``) and its ids. The block's payload then ends with
-    the numbers of its words.
+    With ``decoding``, a row with all ids that the task has not used before goes ahead
+    of the block that uses them.
     """
 
-    SCHEMA = "block long, head boolean, payload binary, fresh int, ids array<int>"
+    SCHEMA = "block long, head boolean, payload binary, ids array<int>"
 
     def __init__(self, sent, pattern: str, decoding: bool) -> None:
         self.sent, self.pattern, self.decoding = sent, pattern, decoding
         self.arrow = arrow_schema(self.SCHEMA)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=self.sent.value, special_tokens={})
+        of = self.sent.value
+        encoding = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=of, special_tokens={})
         encode = encoding._encode_single_piece
+        used = np.zeros(max(of.values(), default=-1) + 1, bool)
 
         class Ids(dict):
-            def __missing__(self, word: bytes) -> tuple[int, list[int]]:
-                ids = self[word] = (len(self), encode(word))
+            def __missing__(self, word: bytes) -> list[int]:
+                ids = self[word] = encode(word)
                 return ids
 
         known, last = Ids(), None
@@ -217,44 +224,38 @@ class _Encoder:
                 if not head:
                     sizes, joined, lengths, data = _unpacked(payload)
                     ends = np.cumsum(sizes, dtype=np.int64).tolist()
-                    before = len(known)
-                    found = [known[joined[a:b]] for a, b in zip([0, *ends[:-1]], ends)]
-                    n_ids = np.fromiter((len(ids) for _, ids in found), np.int64, len(found))
-                    flat = np.fromiter((x for _, ids in found for x in ids), np.int64, int(n_ids.sum()))
-                    payload = (_small(n_ids), _small(flat), lengths, data)
-                    if self.decoding:
-                        payload += (_small(np.fromiter((no for no, _ in found), np.int64, len(found))),)
-                        rows = [(None, None, None, no, ids) for no, ids in found if no >= before]
-                    payload = _packed(payload)
-                rows.append((block, head, payload, None, None))
-                for at in range(0, len(rows), 10_000):
-                    columns = zip(zip(*rows[at : at + 10_000]), self.arrow)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in columns], schema=self.arrow)
+                    ids = [known[joined[a:b]] for a, b in zip([0, *ends[:-1]], ends)]
+                    n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
+                    flat = np.fromiter((x for y in ids for x in y), np.int64, int(n_ids.sum()))
+                    payload = _packed((_small(n_ids), _small(flat), lengths, data))
+                    if self.decoding and len(fresh := np.unique(flat[~used[flat]])):
+                        used[fresh] = True
+                        rows = [(None, None, None, fresh)]
+                rows.append((block, head, payload, None))
+                columns = zip(zip(*rows), self.arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in columns], schema=self.arrow)
 
 
 def _speller(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joined rows (block, head, payload, fresh, at, bytes) in, (block, head, payload) out.
+    """Joined rows (block, head, payload, id, bytes) in, (block, head, payload) out.
 
-    Pieces of words are put together and end the payload of every block that has the
-    word. A word's first number is 0 in each shard; a piece out of place is an error.
+    Rows of ids come before the blocks that use them; a task holds as many as the
+    vocabulary has at most. The bytes of a block's words end its payload.
     """
-    words: list[list[bytes]] = []
+    spell: dict[int, bytes] = {}
     for batch in batches:
-        for block, head, payload, fresh, at, piece in zip(*(c.to_pylist() for c in batch.columns)):
-            if fresh is not None:
-                if fresh == 0 and at == 0:
-                    words = []
-                if at == 0:
-                    words.append([])
-                if fresh != len(words) - 1 or at != len(words[-1]) or piece is None:
-                    raise RuntimeError("decoded pieces are out of place")
-                words[-1].append(piece)
+        for block, head, payload, no, piece in zip(*(c.to_pylist() for c in batch.columns)):
+            if no is not None:
+                if piece is None:
+                    raise ValueError(f"the token table lacks id {no}")
+                spell[no] = piece
                 continue
             if not head:
-                *kept, numbers = _unpacked(payload)
-                spelt = [b"".join(words[no]) for no in numbers.tolist()]
-                sizes = _small(np.fromiter(map(len, spelt), np.int64, len(spelt)))
-                payload = _packed((*kept, sizes, b"".join(spelt)))
+                n_ids, flat, *rest = _unpacked(payload)
+                pieces = [spell[x] for x in flat.tolist()]
+                ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))))
+                of_word = np.concatenate(([0], ends[np.cumsum(n_ids, dtype=np.int64)]))
+                payload = _packed((n_ids, flat, *rest, _small(np.diff(of_word)), b"".join(pieces)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block]), pa.array([head]), pa.array([payload], pa.binary())],
                 names=["block", "head", "payload"],
@@ -275,10 +276,11 @@ def reassemble(
     """A block's keys, the ids of its distinct words, their decoded bytes (if they were
     decoded), and each document's word numbers."""
     head = next(p for is_head, p in payloads if is_head)
-    keys, sizes, often, often_counts, often_bytes = _unpacked(head)
+    keys, sizes, stream = _unpacked(head)
     chunks = [_unpacked(p) for is_head, p in payloads if not is_head]
     owners = pa.ipc.open_stream(keys).read_all()
     sizes = sizes.astype(np.int64)
+    stream, _ = from_varints(stream)
     word_at = np.full(int(sizes.sum()), -1, np.int64)
     ids_of: list[list[int]] = []
     spelt: list[bytes] = []
@@ -301,14 +303,12 @@ def reassemble(
         counts = entry_end - entry_start - 1
         rest = np.ones(len(values), bool)
         rest[entry_start] = False
-        steps = values[rest]
-        word_at[_positions(counts[counts > 0], steps)] = np.repeat(np.arange(len(counts)), counts)
-        number = np.full(int(lead.max(initial=0)) + 1, -1, np.int64)
-        number[lead] = np.arange(len(lead))
-        if len(often):
-            often_counts = often_counts.astype(np.int64)
-            steps, _ = from_varints(often_bytes)
-            word_at[_positions(often_counts, steps)] = np.repeat(number[often.astype(np.int64) + 1], often_counts)
+        open_at = np.flatnonzero(stream == 0)
+        word_at[open_at[_positions(counts[counts > 0], values[rest])]] = np.repeat(np.arange(len(counts)), counts)
+        of_number = np.full(int(max(lead.max(initial=0), stream.max(initial=0))) + 1, -1, np.int64)
+        of_number[lead] = np.arange(len(lead))
+        often = stream > 0
+        word_at[often] = of_number[stream[often]]
     if (word_at < 0).any():
         raise RuntimeError("a block lacks ids of some positions")
     bounds = np.cumsum(sizes)
@@ -352,10 +352,10 @@ def encode(
     if tokens is None:
         encoded = encoded.select("block", "head", "payload")
     else:
-        pieces = encoded.select("block", "head", "payload", "fresh", F.posexplode_outer("ids").alias("at", "id"))
+        pieces = encoded.select("block", "head", "payload", F.explode_outer("ids").alias("id"))
         # neither the explosion nor the join with a table sent to all tasks moves a row
         joined = pieces.join(F.broadcast(tokens.select("id", "bytes")), "id", "left")
-        joined = joined.select("block", "head", "payload", "fresh", "at", "bytes")
+        joined = joined.select("block", "head", "payload", "id", "bytes")
         encoded = joined.mapInArrow(_speller, "block long, head boolean, payload binary")
 
     def run(part: pa.Table) -> pa.Table:

@@ -60,7 +60,7 @@ def test_bytes_of_words_come_from_the_joined_table(spark, encoding, options):
     ]
     assert sorted(((r.doc_id, bytes(r.bytes)) for r in got), key=repr) == sorted(want, key=repr)
     lacking = B.encode(docs, whole, "bytes binary", tokens=tokens.filter("id > 300"), **options)
-    with pytest.raises(PythonException, match="out of place"):
+    with pytest.raises(PythonException, match="lacks id"):
         lacking.collect()
 
 
