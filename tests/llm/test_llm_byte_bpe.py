@@ -80,5 +80,7 @@ def test_query_digests(spark, encoding, tiny):
 
 
 def test_empty(spark):
-    assert B.encode_ids(spark.createDataFrame([], DOCS)).count() == 0
+    nothing = spark.createDataFrame([], DOCS)
+    assert B.encode_ids(nothing).count() == 0
+    assert B.encode(nothing, B._digests, "n long, a string, b string", tokens=B.token_table(spark)).count() == 0
     assert B.encode_ids(documents(spark).filter(F.col("text").isNull())).first().ids == []
