@@ -19,9 +19,13 @@ GCP_DAYS = 1000
 STREAM_CUT = AS_OF - 365 * DAY
 
 
+LINES_PER_FILE = 1_000_000  # a compressed file is read by one task
+
+
 def _lines(df: DataFrame, label: str) -> str:
     path = shared_folder(df.sparkSession, label)
-    df.write.json(path)
+    # names and keys repeat in every line: plain text is many times the size of the tables
+    df.write.option("compression", "gzip").option("maxRecordsPerFile", LINES_PER_FILE).json(path)
     return path
 
 
