@@ -93,11 +93,15 @@ def advance(
 ) -> StreamingQuery:
     """Take in what has come: late rows to their place, distinct fresh copies to ``target``/first.
 
+    Late rows are stored as they come: ``final_runs`` has to choose among all copies anyway, and
+    a shuffle of a long history for each batch that brings one would do its work twice.
+    ``compact_final`` reduces them.
+
     Returns the finished stateful query, whose progress tells the size of its state.
     ``runs`` has the declared bronze columns, or some of them.
     """
     stamp = F.col("collect_timestamp")
-    lateness.deal(runs, stamp, days, target, f"{checkpoint}/deal", latest_runs).awaitTermination()
+    lateness.deal(runs, stamp, days, target, f"{checkpoint}/deal").awaitTermination()
     fresh = lateness.fresh_stream(runs.sparkSession, runs.schema, target)
     query = (
         first_copies(fresh, days)
