@@ -96,7 +96,7 @@ def _merge(
     derive: Callable[..., DataFrame],
     whole: tuple[str, ...] = (),
 ) -> tuple[DataFrame, list] | None:
-    """Silver rows of the touched months, old and new, staged, and the mark; None if nothing is new.
+    """Silver rows of the touched months, old and new, as stored, and the mark; None if nothing is new.
 
     Stored rows that share the ``whole`` columns with new ones give way to them: a day
     that is taken in again brings all of these rows again.
@@ -106,16 +106,20 @@ def _merge(
         return None
     new, mark = found
     fresh = derive(new, as_of=run.as_of, cfg=run.cfg)
-    rows = new
-    if layers.exists(run.spark, f"silver.{name}", run.path):
+    rows, table = new, f"silver.{name}"
+    known = layers.exists(run.spark, table, run.path)
+    if known:
         stored = _of_months(run, name, fresh, months)
         if whole:
             again = new.select(*[F.col(c).alias(f"_{c}") for c in whole]).distinct()
             stored = stored.join(again, _same(whole), "left_anti")
         rows = rows.unionByName(stored)
-    merged = _staged(derive(newest(rows), as_of=run.as_of, cfg=run.cfg), name)
-    layers.replace_parts(merged, f"silver.{name}", run.path)
-    return merged, mark
+    merged = derive(newest(rows), as_of=run.as_of, cfg=run.cfg)
+    if known:
+        merged = _staged(merged, name)
+    layers.replace_parts(merged, table, run.path)
+    # the first fold, of a whole history, makes the table: what it wrote is what is there
+    return merged if known else run.read(table), mark
 
 
 def fold_runs(run: Warehouse) -> None:
