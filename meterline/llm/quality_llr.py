@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from meterline.llm.common import WHITE, WordTable, per_row, table
 
 BUCKETS = 1 << 17
+#: Neighbouring buckets whose sums a task sends as one row. A row for each bucket would
+#: be a hundred thousand rows a task, however little text the task has read.
+SHARE = 64
 #: Pseudo count of every bucket in both multinomials.
 SMOOTH = 20.0
 #: Documents whose mean log ratio is below this are not kept.
@@ -109,9 +112,19 @@ def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> list[int]:
     return [r[0] for r in rows]
 
 
-def ratios(docs: DataFrame, labels: DataFrame, most: int = MAX_TRUSTED) -> np.ndarray:
-    """Log ratio of each bucket: one pass over all texts; tasks send bucket sums only."""
-    trusted = frozenset(trusted_ids(labels, most))
+def _rows(shares: Iterable[int], sums: Iterable[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(shares, pa.int32()), pa.array([s.astype("<i8").tobytes() for s in sums], pa.binary())],
+        names=["share", "sums"],
+    )
+
+
+def bucket_sums(docs: DataFrame, trusted: frozenset[int]) -> DataFrame:
+    """share, sums: the n-grams in each bucket of a share, of trusted and of all documents.
+
+    One pass over all texts; a task sends ``BUCKETS // SHARE`` rows at most, and a
+    task that adds them up holds one row of each share dealt to it.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, sums = token_table(), np.zeros((2, BUCKETS), np.int64)
@@ -126,21 +139,27 @@ def ratios(docs: DataFrame, labels: DataFrame, most: int = MAX_TRUSTED) -> np.nd
                     np.add.at(sums[1], at, 1)
                     if doc_id in trusted:
                         np.add.at(sums[0], at, 1)
-        some = np.flatnonzero(sums[1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some), pa.array(sums[0][some]), pa.array(sums[1][some])],
-            names=["bucket", "target", "raw"],
-        )
-
-    found = (
-        docs.select("doc_id", "text")
-        .mapInArrow(count, "bucket long, target long, raw long")
-        .groupBy("bucket")
-        .agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
-        .toPandas()  # BUCKETS rows at most, whatever the input
-    )
-    target, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    target[found.bucket], raw[found.bucket] = found.target, found.raw
+        some = np.flatnonzero(sums[1].reshape(-1, SHARE).any(axis=1))
+        yield _rows(some, sums.reshape(2, -1, SHARE).transpose(1, 0, 2)[some])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for share, sums in zip(*(c.to_pylist() for c in batch.columns)):
+                total[share] = total.get(share, 0) + np.frombuffer(sums, "<i8")
+        yield _rows(list(total), total.values())
+
+    kinds = "share int, sums binary"
+    counted = docs.select("doc_id", "text").mapInArrow(count, kinds)
+    return counted.repartition("share").mapInArrow(add, kinds)
+
+
+def ratios(docs: DataFrame, labels: DataFrame, most: int = MAX_TRUSTED) -> np.ndarray:
+    """Log ratio of each bucket; the driver gets the sums of all buckets, whatever the input."""
+    sums = np.zeros((BUCKETS // SHARE, 2, SHARE))
+    for share, row in bucket_sums(docs, frozenset(trusted_ids(labels, most))).collect():
+        sums[share] = np.frombuffer(row, "<i8").reshape(2, SHARE)
+    target, raw = sums.transpose(1, 0, 2).reshape(2, BUCKETS)
     if not target.sum() or not raw.sum():
         return np.zeros(BUCKETS)
     return np.log((target + SMOOTH) / (raw * (target.sum() / raw.sum()) + SMOOTH))

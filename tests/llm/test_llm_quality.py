@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 from math import log
 
+import numpy as np
 import pytest
 from llm_cases import DOCS, LABELS, TEXTS, clashing, documents, prose
 from meterline.llm import quality_llr as Q
@@ -87,5 +88,22 @@ def test_labelled_documents_are_told_apart(spark, small):
     assert all(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_tasks_send_a_row_for_each_share_of_the_buckets(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").repartition(7)
+    sums = Q.bucket_sums(docs, frozenset(range(0, 1000, 3)))
+    rows = sums.collect()
+    assert len(rows) == len({r.share for r in rows}) <= Q.BUCKETS // Q.SHARE
+    got = {(r.share, i): n for r in rows for i, n in enumerate(np.frombuffer(r.sums, "<i8")) if n}
+    want = Counter()
+    for i, t in docs.select("doc_id", "text").collect():
+        for b in slow_buckets(t):
+            share, at = divmod(b, Q.SHARE)
+            want[share, Q.SHARE + at] += 1
+            want[share, at] += i in range(0, 1000, 3)
+    assert got == {k: n for k, n in want.items() if n}
+    plan = sums._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "HashAggregate" not in plan and plan.count("Exchange hashpartitioning(share") == 1
+
+
 def test_empty(spark):
     assert Q.judge(spark.createDataFrame([], DOCS), spark.createDataFrame([], LABELS)).count() == 0
