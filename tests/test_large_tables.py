@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meterline import fixtures_payloads
 from meterline.fixtures import AS_OF, BASELINE, Bronze, estate
-from meterline.operators import allocation, gold, silver
+from meterline.operators import allocation, gold, history, silver
 from meterline.plans import incremental
 from meterline.plans.registry import REPORTS
 from meterline.streaming import runs
@@ -36,6 +36,30 @@ def test_assessments_share_one_shuffle_of_the_runs(spark, tiny, key, n):
     assert scans(REPORTS[key].build(estate(spark, tiny)), "lineitem") == n
 
 
+@pytest.mark.parametrize("key", ["compare_baselines", "executive_report", "q_regressions", "q_score_history"])
+def test_copies_of_runs_are_told_apart_once(spark, tiny, key):
+    df = REPORTS[key].build(estate(spark, tiny))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"Window \[[^\n]*lag\(collect_timestamp", plan)) == 1
+
+
+def test_run_statistics_of_several_assessments(spark, tiny):
+    b = Bronze(spark, tiny)
+    again = b.runs.filter("run_id % 3 = 0").withColumn("execution_duration", F.lit(None).cast("bigint"))
+    runs = b.runs.unionByName(again)
+    slots = [(BASELINE, None), (AS_OF, None), (AS_OF, BASELINE), (AS_OF, AS_OF)]
+    counts = ["workspace_name", "job_id", "total_runs", "successful_runs", "failed_runs", "failure_rate", "efficiency_score"]
+    hours = F.round("avg_duration_hours", 9).alias("hours")
+    together = history.run_stats_together(runs, slots)
+    for i, (known, started) in enumerate(slots):
+        rows = silver.latest_runs(silver.seen_by(runs, known))
+        rows = rows if started is None else rows.filter(F.col("start_time") <= started)
+        want = gold.job_run_stats(silver.silver_job_runs(rows, as_of=known)).select(*counts, hours)
+        got = together.filter(F.col("slot") == i).select(*counts, hours)
+        assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+
+
 def test_parts_of_a_report_are_those_of_the_whole(spark, tiny):
     e = estate(spark, tiny)
     whole = {r.workspace_name: r for r in e.report.collect()}
